@@ -65,7 +65,7 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     for i in range(2 * T):
         if not len(items):
             break
-        x = _mix(items + P_ROUND * np.uint64(i + 1))
+        x = _mix(items + np.uint64(int(P_ROUND) * (i + 1) & 0xFFFFFFFFFFFFFFFF))
         at = owner * T + (((x >> np.uint64(32)) * t >> np.uint64(32)).astype(np.int64) if i < T else i - T)
         np.minimum.at(bins, at, np.uint64(i << 32) | (x & low))
         if i < 8 or i % 8 == 0:

@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, packing, quality_rules, tokencount, urlfilter
+from . import embeddup, langid, mixing, neardup, packing, quality_gam, quality_rules, tokencount, tokenfile, urlfilter
 from .bpe import vocabulary
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op3_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), 2)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES)
 
@@ -24,6 +36,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), 1024)
 
 
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_gam.score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), 2048, 0)
 
@@ -32,14 +48,23 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_id,
         op2_minhash,
+        op3_embedding_neardup,
+        op4_token_files,
         op5_url_filter,
         op6_token_counts,
+        op7_quality_gam,
         op8_best_fit_packing,
         op9_quality_rules,
+        op10_mixing,
     )
 }
 
