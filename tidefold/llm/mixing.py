@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .bpe import encoder
 from .runtime import ship, stored
-from .tokencount import counter
 
 #: Sources are a small dimension: more than so many are refused. Production settings: most passes over a source, tokens of a block.
 MOST_SOURCES, REPEATS, BLOCK_TOKENS, SEED = 100_000, 2.0, 1 << 20, 5
@@ -73,9 +73,9 @@ def sized(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: st
     """(id, source, n_tokens) of every document; null texts have none."""
 
     def run(batches):
-        c = counter(path)
+        enc = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c.count(t or "") for t in b.column(2).to_pylist()], pa.int64())], names=["id", "source", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(enc.encode(t or "")) // 4 for t in b.column(2).to_pylist()], pa.int64())], names=["id", "source", "n_tokens"])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), text_col)
     return chosen.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, source string, n_tokens bigint")
