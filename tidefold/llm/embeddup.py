@@ -92,7 +92,7 @@ def _compare(group: pa.Table) -> pa.Table:
     filters, here = group.column("filters").to_pylist(), group.column("filter")[0].as_py()
     unit = _unit(group.column("x").to_pylist())
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    own = len(b) == 0  # a block against itself
+    own = group.column("i")[0].as_py() == group.column("j")[0].as_py()  # a block against itself; else either side may be empty
     b = a if own else b
     hit = unit[a] @ unit[b].T >= COSINE
     if own:
