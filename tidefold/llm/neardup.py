@@ -7,15 +7,17 @@ concentrated around the Jaccard similarity as with T independent hashes. Bands o
 make candidates: a pair at the threshold 0.75 is missed by all BANDS bands with probability
 (1 - 0.75^ROWS)^BANDS = 2e-6, and less above it.
 
-Texts with equal shingle sets are one class. Within a bucket no pairs are listed: members are
-compared with the bucket's smallest id, then, where members are still in different components,
-with twice as many further members each round until all untested pairs of differing components
-are tested. So every candidate pair is either tested on full sets or already in one component.
+Texts with equal shingle sets are one class. Members of a bucket are compared with the bucket's
+smallest id first. Where they are still in different components, a bucket of at most SMALL members
+lists the pairs left; in a larger one, the members outside the smallest id's component meet all
+others block by block, as products of incidence matrices, and no pairs are listed. So every
+candidate pair is either tested on full sets or already in one component.
 """
 
 from __future__ import annotations
 
 import gc
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +26,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .runtime import ship, stored
+from .runtime import ship, spread, stored
 
 SHINGLE, SIMILAR = 5, 75
 BANDS, ROWS = 48, 5
 T = BANDS * ROWS
+#: Members of a bucket whose pairs may be listed; rows of a block in larger ones; shingles of one matrix product.
+SMALL, BLOCK, COLUMNS = 24, 192, 8192
 #: Odd multipliers of the mixers (fixed values).
 P_SHINGLE, P_ROUND, P_MIX_A, P_MIX_B, P_BAND = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F))
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -131,6 +135,85 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a bigint, b bigint")
 
 
+def _matches(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Whether each set of a is similar to each of b, by intersections of all at once."""
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    flat = np.concatenate([*a, *b])
+    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = times > 1
+    place = np.cumsum(shared) - 1
+    row = np.repeat(np.arange(len(a) + len(b)), np.concatenate([la, lb]))
+    keep = shared[column]
+    row, column = row[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(a), len(b)), np.float64)
+    for start in range(0, int(shared.sum()), COLUMNS):
+        x, y = np.searchsorted(column, [start, start + COLUMNS])
+        m = np.zeros((len(a) + len(b), COLUMNS), np.float32)
+        m[row[x:y], column[x:y] - start] = 1
+        both += m[: len(a)] @ m[len(a) :].T
+    return 100 * both >= SIMILAR * (la[:, None] + lb[None] - both)
+
+
+def _block_links(ids: np.ndarray, label: np.ndarray, side: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning set of the links between side 0 and side 1, or within side 0 where there is no side 1."""
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1) if (side == 1).any() else a
+    hit = _matches([sets[k] for k in a], [sets[k] for k in b]) & (label[a][:, None] != label[b][None])
+    i, j = (x[k] for x, k in zip((a, b), np.nonzero(hit), strict=True))
+    root = np.arange(len(ids))
+    while len(i):
+        was = root.copy()
+        low = np.minimum(root[i], root[j])
+        np.minimum.at(root, i, low)
+        np.minimum.at(root, j, low)
+        root = root[root]
+        if (root == was).all():
+            break
+    out = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[out], ids[root[out]]
+
+
+def _blocks(labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links in large mixed buckets: members outside the component of the bucket's smallest id (x) against each other and against those in it (d)."""
+    home = labelled.where("id = pivot").select("key", F.col("label").alias("home"))
+    sided = labelled.join(home, "key").withColumn("x", F.col("label") != F.col("home"))
+    count = lambda c: F.ceil(F.sum(c.cast("int")) / BLOCK).cast("int")
+    blocks = sided.groupBy("key").agg(count(F.col("x")).alias("nx"), count(~F.col("x")).alias("nd")).where("nx > 0")
+    placed = sided.join(blocks, "key").select("key", "id", "label", "x", "nx", "nd", F.pmod(F.xxhash64("id"), F.when(F.col("x"), F.col("nx")).otherwise(F.col("nd"))).cast("int").alias("own"))
+    task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    own, nx, nd = F.col("own"), F.col("nx"), F.col("nd")
+    # tasks (i, j): i, j < nx two blocks of x; j >= nx a block of x and one of d
+    among = F.transform(F.sequence(F.lit(0), nx - 1), lambda k: task(F.least(own, k), F.greatest(own, k), own > k))
+    across = F.transform(F.sequence(F.lit(0), nd - 1), lambda k: task(own, nx + k, F.lit(0)))
+    of_d = F.transform(F.sequence(F.lit(0), nx - 1), lambda k: task(k, nx + own, F.lit(1)))
+    tasks = placed.select("key", "id", "label", F.explode(F.when(F.col("x"), F.when(nd > 0, F.concat(among, across)).otherwise(among)).otherwise(of_d)).alias("m"))
+    rows = tasks.select("key", "m.i", "m.j", "m.side", "id", "label").join(texts, "id").select("key", "i", "j", "side", "id", "label", "text")
+    rows = rows.repartition(spread(labelled.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        held: list[tuple] = []
+        now = None
+
+        def done():
+            side, ids, label = (np.array([r[k] for r in held], np.int64) for k in range(3))
+            x, y = _block_links(ids, label, side, [r[3] for r in held])
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+
+        for b in batches:
+            for key, i, j, side, ident, label, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (key, i, j) != now:
+                    if held:
+                        yield done()
+                    now, held = (key, i, j), []
+                held.append((side, ident, label, shingle_set(text)))
+        if held:
+            yield done()
+
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
 def _freed(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished steps now."""
     gc.collect()
@@ -153,39 +236,48 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # buckets with two members or more
     reps = sk.join(classes.select(F.col("rep").alias("id"), "d1", "d2"), ["id", "d1", "d2"]).dropDuplicates(["id"])
-    spread = stored(spark, reps.select("id", F.explode("bands").alias("key")), "bands")
-    many = spread.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("pivot")).where("n > 1").select("key", "pivot")
-    member = stored(spark, spread.join(many, "key").select("key", "id", "pivot"), "members")
+    buckets = stored(spark, reps.select("id", F.col("n_shingles").alias("size"), F.explode("bands").alias("key")), "bands")
+    many = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "size")).alias("p")).where("n > 1").select("key", "n", F.col("p.id").alias("pivot"), F.col("p.size").alias("pivot_size"))
+    member = stored(spark, buckets.join(many, "key"), "members")
     involved = member.select("id").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(involved, "id", "left_semi")
     # of rows that repeat an id, the text that stands for it
     texts = stored(spark, texts.dropDuplicates(["id"]) if _unique(sk) else _standing(texts, ids), "texts")
     _freed(spark)
 
-    links: DataFrame | None = None
+    links: list[DataFrame] = []
     label: DataFrame | None = None
-    step = 0
-    while True:
+
+    def labelled() -> DataFrame:
         if label is None:
-            labelled = member.withColumn("label", F.col("id"))
-        else:
-            labelled = member.join(label.select(F.col("node").alias("id"), "component"), "id", "left").select("key", "id", "pivot", F.coalesce("component", "id").alias("label"))
-        if step == 0:  # one partner each: the smallest pivot of all its buckets
-            pairs = labelled.groupBy("id").agg(F.min("pivot").alias("b")).where("id <> b").select(F.col("id").alias("a"), "b")
-        else:
-            mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("n")).where(f"x <> y and n > {2 ** (step - 1)}").select("key")
-            mixed = stored(spark, labelled.join(mixed, "key").withColumn("rank", F.row_number().over(Window.partitionBy("key").orderBy("id")) - 1), "mixed")
-            if mixed.isEmpty():
-                break
-            first, end = (0, 1) if step == 1 else (2 ** (step - 2), 2 ** (step - 1))
-            lead = mixed.where(f"rank >= {first} and rank < {end}").select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("rank").alias("rb"))
-            pairs = mixed.join(lead, "key").where("rank > rb and label <> lb").select(F.col("id").alias("a"), "b").distinct()
-        found = stored(spark, _verified(pairs, texts), "links")
-        if not found.isEmpty():
-            links = found if links is None else links.unionByName(found)
-            label = stored(spark, components(links), "labels")
-        _freed(spark)
-        step += 1
+            return member.withColumn("label", F.col("id"))
+        return member.join(label.select(F.col("node").alias("id"), "component"), "id", "left").select(*member.columns, F.coalesce("component", "id").alias("label"))
+
+    def take(found: DataFrame, label: DataFrame | None) -> DataFrame | None:
+        found = stored(spark, found, "links")
+        if found.isEmpty():
+            return label
+        links.append(found)
+        return stored(spark, components(reduce(DataFrame.unionByName, links)), "labels")
+
+    fits = lambda x, y: 100 * F.least(x, y) >= SIMILAR * F.greatest(x, y)  # noqa: E731  sizes that can be similar at all
+    with_pivot = fits("size", "pivot_size") & (F.col("id") != F.col("pivot"))
+    # one partner each: the smallest pivot of all its buckets
+    first = member.where(with_pivot).groupBy(F.col("id").alias("a")).agg(F.min("pivot").alias("b"))
+    label = take(_verified(first, texts), label)
+    # all pivots that are not in its component yet
+    home = labelled().where("id = pivot").select("key", F.col("label").alias("home"))
+    pairs = labelled().where(with_pivot).join(home, "key").where("label <> home").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    label = take(_verified(pairs, texts), label)
+    _freed(spark)
+    mixed = labelled().groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    mixed = stored(spark, labelled().where("n > 2").join(mixed, "key"), "mixed")
+    few = mixed.where(f"n <= {SMALL}")
+    other = few.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"))
+    pairs = few.where("id <> pivot").join(other, "key").where((F.col("id") > F.col("b")) & (F.col("b") != F.col("pivot")) & (F.col("label") != F.col("lb")) & fits("size", "sb"))
+    label = take(_verified(pairs.select(F.col("id").alias("a"), "b").distinct(), texts), label)
+    label = take(_blocks(mixed.where(f"n > {SMALL}"), texts), label)
+    _freed(spark)
 
     out = sk.select("id", "n_shingles")
     of = ids.join(classes, ["d1", "d2"]).select("id", "rep")
