@@ -3,15 +3,16 @@
 A file codes ids as ranks by frequency. It holds independent blocks of BLOCK ids; each starts with
 fresh models and has a checksum, so any block decodes alone. In a block, each id is predicted twice:
 by what followed the last two ids (order 2) and by what followed the last one (order 1), each with a
-small confidence. Adaptive counts for the order-2 confidence, for both confidences together, and for
-none (order 0) are added up; the mixture says how likely each prediction is right. An id that neither
-predicts is coded by order 0: an adaptive bucket of ranks, and its place in the bucket.
+small confidence. Adaptive counts for both confidences together and for none (order 0) are added up;
+the mixture says how likely each prediction is right. An id that neither predicts is coded by order 0:
+an adaptive bucket of ranks (four to an octave), and its place in the bucket as plain bits.
 
-All blocks of a file are coded in step: numpy handles position k of every block at once. The coder
-is a carry-less range coder with a 64-bit low and 16-bit output words.
+All blocks of a file are coded in step: numpy handles position k of every block at once. The coder keeps
+a 64-bit low and width, and puts out 32 bits when the width falls under 2^32; a carry goes back into
+words already out.
 
 File: magic, u32 ids, u32 blocks, u32 distinct ids, u32 crc of the rank table, rank table (u32 each);
-then for each block u32 ids, u32 payload bytes, u32 crc of the payload; then the payloads.
+then for each block u32 ids, u32 coded words, u32 words of plain bits, u32 crc of both; then their words.
 """
 
 from __future__ import annotations
@@ -20,82 +21,85 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TOKRC01\n"
-BLOCK = 4096
-SLOTS2, SLOTS1 = 1 << 12, 1 << 11
-_TOP, _BOT, _ALL = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(0xFFFFFFFFFFFFFFFF)
-_16, _48, _1, _F20 = np.uint64(16), np.uint64(48), np.uint64(1), np.uint64((1 << 20) - 1)
-_AGED = np.uint64(sum(((1 << 15) - 1) << (20 * k) for k in range(3)))
+MAGIC = b"TOKRC02\n"
+BLOCK = 2048
+SLOTS2, SLOTS1 = 1 << 10, 1 << 9
+#: Buckets of ranks (for up to 2^16 distinct ids, and for more), the total of their scaled counts, and after how many positions these are made anew.
+BUCKETS, SCALE, RENEW = (64, 128), 1 << 12, 64
+_U = np.uint64
+_WORD, _LEAST, _ALL, _F20 = _U(32), _U(1 << 32), _U(0xFFFFFFFFFFFFFFFF), _U((1 << 20) - 1)
+_AGED = _U(sum(((1 << 15) - 1) << (20 * k) for k in range(3)))
 #: What a coded event adds to its counts, and where they start (right by order 2, by order 1, by neither).
 _ADD = np.array([32 << (20 * k) for k in range(3)], np.uint64)
-_FIRST = np.uint64(32 | 16 << 20 | 64 << 40)
+_FIRST = _U(32 | 16 << 20 | 64 << 40)
 
 
-def _buckets(n: int) -> np.ndarray:
-    """First rank of each of 64 buckets, and n at the end: four to an octave, so sizes grow with rank."""
-    steps = [0, 1, 2, 3]
-    k = 0
-    while len(steps) < 64:
-        steps.append(int(4 * 2 ** (k / 4)) if int(4 * 2 ** (k / 4)) > steps[-1] else steps[-1] + 1)
-        k += 1
-    return np.array([*steps, max(n, steps[-1] + 1)], np.int64)
+def _bucket_of(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bucket, plain bits, place): ranks 0 to 3 have their own, then each octave has four buckets of a power of two."""
+    r = rank.astype(np.int64)
+    k = np.maximum(np.frexp(np.maximum(r, 1).astype(np.float64))[1] - 3, 0)  # plain bits
+    return np.where(r < 4, r, 4 * k + (r >> k)), k, r & ((1 << k) - 1)
+
+
+def _first_of(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first rank, plain bits) of buckets."""
+    k = np.maximum((bucket >> 2) - 1, 0)
+    return np.where(bucket < 4, bucket, (bucket - 4 * k) << k), k
 
 
 class _Models:
     """What coder and decoder both know at a position; one lane a block."""
 
-    def __init__(self, lanes: int, ranks: int):
-        self.lanes, self.base2, self.base1 = lanes, np.arange(lanes) * SLOTS2, np.arange(lanes) * SLOTS1
+    def __init__(self, lanes: int, distinct: int):
+        n = self.buckets = BUCKETS[distinct > 1 << 16]
+        self.base2, self.base1 = np.arange(lanes) * SLOTS2, np.arange(lanes) * SLOTS1
         self.t2 = np.zeros(lanes * SLOTS2, np.uint32)  # rank << 2 | confidence
         self.t1 = np.zeros(lanes * SLOTS1, np.uint32)
-        self.joint, self.two, self.none = (np.full(lanes * k, _FIRST) for k in (32, 4, 1))
-        self.at32, self.at4 = np.arange(lanes) * 32, np.arange(lanes) * 4
-        self.r1 = np.zeros(lanes, np.uint32)
-        self.r2 = np.zeros(lanes, np.uint32)
-        self.first = _buckets(ranks)
-        self.sizes = np.diff(self.first).astype(np.uint64)
-        self.of = np.searchsorted(self.first, np.arange(ranks), side="right").astype(np.int64) - 1
-        # order 0: counts of 64 buckets as 8 groups of 8
-        self.fine = np.full((lanes, 8, 8), 2, np.uint32)
-        self.coarse = np.full((lanes, 8), 16, np.uint32)
+        self.joint, self.none = np.full(lanes * 32, _FIRST), np.full(lanes, _FIRST)
+        self.at32 = np.arange(lanes) * 32
+        self.r1, self.r2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        self.at_b = np.arange(lanes) * n
+        self.counts = np.full((lanes, n), 4.0)
+        self.seen: list[np.ndarray] = []
+        self._scale()
+
+    def _scale(self) -> None:
+        sums = self.counts.cumsum(1)
+        ends = (sums * ((SCALE - self.buckets) / sums[:, -1:])).astype(np.int64) + np.arange(1, self.buckets + 1)
+        ends[:, -1] = SCALE
+        self.ends = ends
+        self.flat = np.concatenate([np.zeros((len(ends), 1), np.int64), ends], 1).ravel()  # borders, one more than buckets a lane
+        self.at_f = np.arange(len(ends)) * (self.buckets + 1)
 
     def look(self, n: int) -> None:
         """Predictions and mixed counts of the first n lanes."""
-        self.s2 = self.base2[:n] + ((self.r1[:n] * np.uint32(2654435761) + self.r2[:n] * np.uint32(2246822519)) >> np.uint32(20)).astype(np.int64)
-        self.s1 = self.base1[:n] + ((self.r1[:n] * np.uint32(2654435761)) >> np.uint32(21)).astype(np.int64)
-        self.e2, self.e1 = self.t2[self.s2], self.t1[self.s1]
+        h = self.r1[:n] * np.uint32(2654435761)
+        self.s1 = self.base1[:n] + (h >> np.uint32(23))
+        self.s2 = self.base2[:n] + ((h + self.r2[:n] * np.uint32(2246822519)) >> np.uint32(22))
+        self.e2, self.e1 = self.t2.take(self.s2), self.t1.take(self.s1)
         self.p2, self.p1 = self.e2 >> 2, self.e1 >> 2
-        c2, c1 = (self.e2 & 3).astype(np.int64), (self.e1 & 3).astype(np.int64)
-        self.j = self.at32[:n] + (c2 * 8 + c1 * 2 + (self.p2 == self.p1))
-        self.k = self.at4[:n] + c2
-        mixed = self.joint[self.j] + self.two[self.k] + self.none[:n]
-        self.f0, self.f1, self.f2 = mixed & _F20, (mixed >> np.uint64(20)) & _F20, mixed >> np.uint64(40)
+        self.c2, self.c1 = self.e2 & 3, self.e1 & 3
+        self.j = self.at32[:n] + ((self.c2 << 3) + (self.c1 << 1) + (self.p2 == self.p1))
+        self.m = self.joint.take(self.j)
+        mixed = self.m + self.none[:n]
+        self.f0, self.f1, self.f2 = mixed & _F20, (mixed >> _U(20)) & _F20, mixed >> _U(40)
 
-    def learn(self, event: np.ndarray, rank: np.ndarray) -> None:
+    def learn(self, i: int, event: np.ndarray, rank: np.ndarray, escaped: np.ndarray, bucket: np.ndarray) -> None:
         n = len(rank)
-        add = _ADD[event]
-        for table, at in ((self.joint, self.j), (self.two, self.k)):
-            table[at] = self._aged(table[at]) + add
-        self.none[:n] = self._aged(self.none[:n]) + add
-        for table, at, entry, said in ((self.t2, self.s2, self.e2, self.p2), (self.t1, self.s1, self.e1, self.p1)):
-            right, conf = said == rank, entry & 3
-            table[at] = np.where(right, (rank << 2) | np.minimum(conf + 1, 3), np.where(conf > 0, entry - 1, rank << 2))
+        add = _ADD.take(event)
+        self.joint[self.j] = self.m - ((self.m >> _U(5)) & _AGED) + add
+        none = self.none[:n]
+        self.none[:n] = none - ((none >> _U(5)) & _AGED) + add
+        new = rank << 2
+        for table, at, entry, said, conf in ((self.t2, self.s2, self.e2, self.p2, self.c2), (self.t1, self.s1, self.e1, self.p1, self.c1)):
+            table[at] = np.where(said == rank, entry + (conf < 3), np.where(conf > 0, entry - 1, new))
         self.r2[:n], self.r1[:n] = self.r1[:n], rank
-
-    @staticmethod
-    def _aged(c: np.ndarray) -> np.ndarray:
-        """Each of the three counts less a thirty-second; none falls below what it needs."""
-        return c - ((c >> np.uint64(5)) & _AGED)
-
-    def learn_bucket(self, lane: np.ndarray, g: np.ndarray, h: np.ndarray) -> None:
-        self.fine[lane, g, h] += 24
-        self.coarse[lane, g] += 24
-
-    def age(self, i: int) -> None:
-        """Every 64 positions the bucket counts lose a quarter."""
-        if i % 64 == 63:
-            self.fine -= self.fine >> 2
-            self.coarse = self.fine.sum(2, dtype=np.uint32)
+        self.seen.append(self.at_b[escaped] + bucket)
+        if i % RENEW == RENEW - 1:
+            fresh = np.bincount(np.concatenate(self.seen), minlength=self.counts.size).reshape(self.counts.shape)
+            self.counts = 0.75 * self.counts + fresh
+            self.seen = []
+            self._scale()
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -114,42 +118,48 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     lanes = -(-len(ids) // block)
     lengths = np.minimum(block, len(ids) - block * np.arange(lanes))
     head = np.array([len(ids), lanes, len(table), zlib.crc32(table.tobytes())], "<u4")
-    payloads = _encode(rank_of[inverse.ravel()], lanes, block, len(table)) if lanes else []
-    rows = np.array([(n, len(p), zlib.crc32(p)) for n, p in zip(lengths.tolist(), payloads, strict=True)], "<u4").reshape(-1, 3)
-    return b"".join([MAGIC, head.tobytes(), table.tobytes(), rows.tobytes(), *payloads])
+    parts = _encode(rank_of[inverse.ravel()], lanes, block, len(table)) if lanes else []
+    rows = np.array([(n, len(a) // 4, len(b) // 4, zlib.crc32(b, zlib.crc32(a))) for n, (a, b) in zip(lengths.tolist(), parts, strict=True)], "<u4").reshape(-1, 4)
+    return b"".join([MAGIC, head.tobytes(), table.tobytes(), rows.tobytes(), *(x for p in parts for x in p)])
+
 
+def _pack_bits(lane: np.ndarray, bits: np.ndarray, value: np.ndarray, lanes: int) -> list[bytes]:
+    """The plain bits of each lane (entries in order of lane and position), lowest first, in 32-bit words."""
+    value = value.astype(np.uint64)
+    total = np.bincount(lane, bits, lanes).astype(np.int64)
+    size = -(-total // 32)
+    first = np.concatenate([[0], np.cumsum(size)])
+    end = np.cumsum(bits)
+    before = np.concatenate([[0], np.cumsum(total)])[lane]
+    at = 32 * first[lane] + end - bits - before
+    words = np.zeros(int(first[-1]) + 1, np.uint64)
+    shifted = value << (at & 31).astype(np.uint64)
+    # no two entries share a bit, so sums are unions; sums of 32-bit halves are exact in doubles
+    for k, part in ((0, shifted & _U(0xFFFFFFFF)), (1, shifted >> _WORD)):
+        words += np.bincount((at >> 5) + k, part.astype(np.float64), len(words))[: len(words)].astype(np.uint64)
+    words = words.astype("<u4")
+    return [words[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
 
-def _encode(ranks: np.ndarray, lanes: int, block: int, distinct: int) -> list[bytes]:
+
+def _encode(ranks: np.ndarray, lanes: int, block: int, distinct: int) -> list[tuple[bytes, bytes]]:
     m = _Models(lanes, distinct)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
-    out = np.zeros((lanes, block // 2 + 64), np.uint16)
+    out = np.zeros((lanes, block // 2 + 16), np.uint32)
     used = np.zeros(lanes, np.int64)
-    steps = np.zeros((block, lanes), np.uint32)  # position by lane
     padded = np.zeros(lanes * block, np.uint32)
     padded[: len(ranks)] = ranks
-    steps[:] = padded.reshape(lanes, block).T
+    steps = np.ascontiguousarray(padded.reshape(lanes, block).T)
     last = len(ranks) - (lanes - 1) * block  # ids in the last lane
+    buckets, bits, places = (a.reshape(lanes, block) for a in _bucket_of(padded))
+    bucket_steps = np.ascontiguousarray(buckets.T)
+    escaped = np.zeros((block, lanes), bool)
 
-    def settle(at: slice | np.ndarray) -> None:
-        nonlocal out
-        lo, w = low[at], width[at]
-        lane = np.arange(lanes)[at]
-        while True:
-            same = (lo ^ (lo + w)) < _TOP
-            tight = ~same & (w < _BOT)
-            go = np.flatnonzero(same | tight)
-            if not len(go):
-                break
-            if tight.any():
-                w[tight] = (~lo[tight] + _1) & (_BOT - _1)
-            if used.max() + 4 > out.shape[1]:
-                out = np.concatenate([out, np.zeros_like(out)], 1)
-            who = lane[go]
-            out[who, used[who]] = (lo[go] >> _48).astype(np.uint16)
-            used[who] += 1
-            lo[go] <<= _16
-            w[go] <<= _16
-        low[at], width[at] = lo, w
+    def carry(who: np.ndarray) -> None:
+        at = used[who] - 1
+        while len(who):
+            out[who, at] += np.uint32(1)
+            over = out[who, at] == 0
+            who, at = who[over], at[over] - 1
 
     for i in range(block):
         n = lanes if i < last else lanes - 1
@@ -158,39 +168,41 @@ def _encode(ranks: np.ndarray, lanes: int, block: int, distinct: int) -> list[by
         rank = steps[i, :n]
         m.look(n)
         event = np.where(rank == m.p2, 0, np.where(rank == m.p1, 1, 2))
-        f0, f1, f2 = m.f0, m.f1, m.f2
-        r = width[:n] // (f0 + f1 + f2)
-        start = np.where(event == 0, np.uint64(0), np.where(event == 1, f0, f0 + f1))
-        low[:n] += start * r
-        width[:n] = np.where(event == 0, f0, np.where(event == 1, f1, f2)) * r
-        settle(slice(0, n))
         esc = np.flatnonzero(event == 2)
-        if len(esc):
-            b = m.of[rank[esc]]
-            g, h = b >> 3, b & 7
-            coarse, fine = m.coarse[esc], m.fine[esc, g]
-            cc, cf = coarse.cumsum(1), fine.cumsum(1)
-            k = np.arange(len(esc))
-            own = fine[k, h].astype(np.uint64)
-            start = (cc[k, g] - coarse[k, g] + cf[k, h]).astype(np.uint64) - own
-            r = width[esc] // cc[:, 7].astype(np.uint64)
-            lo = low[esc] + start * r
-            w = own * r
-            size = m.sizes[b]
-            r = w // size
-            low[esc] = lo + (rank[esc] - m.first[b]).astype(np.uint64) * r
-            width[esc] = r
-            settle(esc)
-            m.learn_bucket(esc, g, h)
-        m.learn(event, rank)
-        m.age(i)
-    if used.max() + 4 > out.shape[1]:
-        out = np.concatenate([out, np.zeros((lanes, 8), np.uint16)], 1)
-    for _ in range(4):  # the rest of low
-        out[np.arange(lanes), used] = (low >> _48).astype(np.uint16)
+        b = bucket_steps[i].take(esc)
+        scale = _U(SCALE)
+        start, size = np.where(event == 0, _U(0), m.f0), np.where(event == 0, m.f0, m.f1)
+        r = width[:n] // ((m.f0 + m.f1 + m.f2) * scale)
+        start, size = start * scale, size * scale
+        borders = m.at_f[esc] + b
+        lo, hi = m.flat.take(borders).astype(np.uint64), m.flat.take(borders + 1).astype(np.uint64)
+        f2 = m.f2.take(esc)
+        start[esc] = (m.f0 + m.f1).take(esc) * scale + f2 * lo
+        size[esc] = f2 * (hi - lo)
+        was = low[:n].copy()
+        low[:n] += start * r
+        over = np.flatnonzero(low[:n] < was)
+        if len(over):
+            carry(over)
+        width[:n] = size * r
+        go = np.flatnonzero(width[:n] < _LEAST)
+        if len(go):
+            if i + 4 >= out.shape[1]:
+                out = np.concatenate([out, np.zeros_like(out)], 1)
+            out[go, used[go]] = (low[go] >> _WORD).astype(np.uint32)
+            used[go] += 1
+            low[go] <<= _WORD
+            width[go] <<= _WORD
+        escaped[i, :n] = event == 2
+        m.learn(i, event, rank, esc, b)
+    out = np.concatenate([out, np.zeros((lanes, 2), np.uint32)], 1)
+    for _ in range(2):  # the rest of low
+        out[np.arange(lanes), used] = (low >> _WORD).astype(np.uint32)
         used += 1
-        low <<= _16
-    return [out[k, : used[k]].astype("<u2").tobytes() for k in range(lanes)]
+        low <<= _WORD
+    at = np.flatnonzero(escaped.T)  # by lane, then position
+    plain = _pack_bits(at // block, bits.ravel()[at], places.ravel()[at], lanes)
+    return [(out[k, : used[k]].astype("<u4").tobytes(), plain[k]) for k in range(lanes)]
 
 
 def decode(data: bytes) -> np.ndarray:
@@ -202,90 +214,72 @@ def decode(data: bytes) -> np.ndarray:
     if zlib.crc32(table.tobytes()) != crc:
         raise ValueError("the rank table is damaged")
     at = 24 + 4 * distinct
-    rows = np.frombuffer(data, "<u4", 3 * lanes, at).reshape(-1, 3).astype(np.int64)
-    at += 12 * lanes
-    ends = at + np.cumsum(rows[:, 1])
-    for k, (a, b) in enumerate(zip((ends - rows[:, 1]).tolist(), ends.tolist(), strict=True)):
-        if zlib.crc32(data[a:b]) != rows[k, 2]:
+    rows = np.frombuffer(data, "<u4", 4 * lanes, at).reshape(-1, 4).astype(np.int64)
+    at += 16 * lanes
+    ends = at + 4 * np.cumsum(rows[:, 1] + rows[:, 2])
+    begins = ends - 4 * (rows[:, 1] + rows[:, 2])
+    for k, (a, b) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
+        if zlib.crc32(data[a:b]) != rows[k, 3]:
             raise ValueError(f"block {k} is damaged")
     if not lanes:
         return np.zeros(0, np.uint32)
-    words = np.zeros((lanes, int(rows[:, 1].max()) // 2 + 8), np.uint16)
+    words, plain = (np.zeros((lanes, int(rows[:, c].max()) + 2), np.uint32) for c in (1, 2))
     for k in range(lanes):
-        part = np.frombuffer(data, "<u2", int(rows[k, 1]) // 2, int(ends[k] - rows[k, 1]))
-        words[k, : len(part)] = part
-    return table[_decode(words, rows[:, 0], distinct)]
+        part = np.frombuffer(data, "<u4", int(rows[k, 1] + rows[k, 2]), int(begins[k]))
+        words[k, : rows[k, 1]], plain[k, : rows[k, 2]] = part[: rows[k, 1]], part[rows[k, 1] :]
+    return table[_decode(words, plain, rows[:, 0], distinct)]
 
 
-def _decode(words: np.ndarray, lengths: np.ndarray, distinct: int) -> np.ndarray:
+def _decode(words: np.ndarray, plain: np.ndarray, lengths: np.ndarray, distinct: int) -> np.ndarray:
     lanes, block = len(words), int(lengths[0])
     m = _Models(lanes, distinct)
-    low, width = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
-    code = np.zeros(lanes, np.uint64)
-    for k in range(4):
-        code = code << _16 | words[:, k].astype(np.uint64)
-    read = np.full(lanes, 4, np.int64)
+    width = np.full(lanes, _ALL)
+    code = words[:, 0].astype(np.uint64) << _WORD | words[:, 1]  # less low
+    wide, read = words.shape[1], np.arange(lanes) * words.shape[1] + 2
+    flat_words, flat_plain = words.ravel(), plain.ravel()
+    bit = np.arange(lanes) * plain.shape[1] * 32
     steps = np.zeros((block, lanes), np.uint32)
-
-    def settle(at: slice | np.ndarray) -> None:
-        lo, w, c = low[at], width[at], code[at]
-        lane = np.arange(lanes)[at]
-        while True:
-            same = (lo ^ (lo + w)) < _TOP
-            tight = ~same & (w < _BOT)
-            go = np.flatnonzero(same | tight)
-            if not len(go):
-                break
-            if tight.any():
-                w[tight] = (~lo[tight] + _1) & (_BOT - _1)
-            who = lane[go]
-            c[go] = c[go] << _16 | words[who, read[who]].astype(np.uint64)
-            read[who] += 1
-            lo[go] <<= _16
-            w[go] <<= _16
-        low[at], width[at], code[at] = lo, w, c
-
     last = int(lengths[-1])
+    scale = _U(SCALE)
+    limit = np.arange(lanes) * wide + wide - 1
+    halves = [m.buckets >> k for k in range(1, m.buckets.bit_length())]
     for i in range(block):
         n = lanes if i < last else lanes - 1
         if not n:
             break
         m.look(n)
-        f0, f1, f2 = m.f0, m.f1, m.f2
-        r = width[:n] // (f0 + f1 + f2)
-        v = (code[:n] - low[:n]) // r
-        event = (v >= f0).astype(np.int64) + (v >= f0 + f1)
-        start = np.where(event == 0, np.uint64(0), np.where(event == 1, f0, f0 + f1))
-        low[:n] += start * r
-        width[:n] = np.where(event == 0, f0, np.where(event == 1, f1, f2)) * r
-        settle(slice(0, n))
+        r = width[:n] // ((m.f0 + m.f1 + m.f2) * scale)
+        v = code[:n] // r
+        one, two = m.f0 * scale, (m.f0 + m.f1) * scale
+        event = (v >= one).astype(np.int64) + (v >= two)
+        esc = np.flatnonzero(event == 2)
+        start, size = np.where(event == 0, _U(0), one), np.where(event == 0, m.f0, m.f1) * scale
         rank = np.where(event == 0, m.p2, m.p1)
-        esc = np.flatnonzero(event >= 2)
-        if len(esc):
-            event[esc] = 2
-            coarse = m.coarse[esc]
-            cc = coarse.cumsum(1)
-            r = width[esc] // cc[:, 7].astype(np.uint64)
-            v = np.minimum((code[esc] - low[esc]) // r, cc[:, 7].astype(np.uint64) - _1)
-            g = (v[:, None] >= cc).sum(1)
-            k = np.arange(len(esc))
-            before = (cc[k, g] - coarse[k, g]).astype(np.uint64)
-            fine = m.fine[esc, g]
-            cf = fine.cumsum(1)
-            h = np.minimum(((v - before)[:, None] >= cf).sum(1), 7)
-            own = fine[k, h].astype(np.uint64)
-            lo = low[esc] + (before + cf[k, h].astype(np.uint64) - own) * r
-            b = g * 8 + h
-            size = m.sizes[b]
-            r = own * r // size
-            place = np.minimum((code[esc] - lo) // r, size - _1)
-            low[esc] = lo + place * r
-            width[esc] = r
-            settle(esc)
-            rank[esc] = m.first[b] + place.astype(np.int64)
-            m.learn_bucket(esc, g, h)
+        f2, two = m.f2.take(esc), two.take(esc)
+        inner = np.minimum((v.take(esc) - two) // f2, _U(SCALE - 1)).astype(np.int64)
+        row = m.at_f[esc]
+        b = np.zeros(len(esc), np.int64)  # the last border at or under inner
+        for k in halves:
+            b += k * (m.flat.take(row + b + k) <= inner)
+        lo, hi = m.flat.take(row + b).astype(np.uint64), m.flat.take(row + b + 1).astype(np.uint64)
+        start[esc] = two + f2 * lo
+        size[esc] = f2 * (hi - lo)
+        first, bits = _first_of(b)
+        p = bit[esc]
+        w = p >> 5
+        pair = flat_plain.take(w).astype(np.uint64) | flat_plain.take(np.minimum(w + 1, len(flat_plain) - 1)).astype(np.uint64) << _WORD
+        place = (pair >> (p & 31).astype(np.uint64)).astype(np.int64) & ((1 << bits) - 1)
+        bit[esc] = p + bits
+        rank[esc] = first + place
+        code[:n] -= start * r
+        width[:n] = size * r
+        go = np.flatnonzero(width[:n] < _LEAST)
+        if len(go):
+            at = read[go]
+            code[go] = code[go] << _WORD | flat_words.take(np.minimum(at, limit[go]))
+            read[go] = at + 1
+            width[go] <<= _WORD
         steps[i, :n] = rank
-        m.learn(event, rank)
-        m.age(i)
+        m.learn(i, event, rank, esc, b)
     flat = np.ascontiguousarray(steps.T)
     return np.concatenate([flat[:-1].ravel(), flat[-1, :last]])
