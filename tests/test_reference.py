@@ -153,8 +153,8 @@ def test_uniform_is_the_same_in_sql(spark):
 def test_surrogates_are_slopes_of_steps():
     for kind in ("piecewise_exp", "sigmoid", "soft_sign", "atan", "sign_log_abs", "squarewave_fourier"):
         for x in (-0.7, 0.3):
-            f = lambda v, k=kind: duckdb.sql(f"SELECT {scalar.duck(scalar.smooth_step(k, 2.0))} FROM (SELECT {v}::DOUBLE AS x)").fetchone()[0]
-            g = duckdb.sql(f"SELECT {scalar.duck(scalar.slope(kind, 2.0))} FROM (SELECT {x}::DOUBLE AS x)").fetchone()[0]
+            f = lambda v, k=kind: duckdb.sql(f"SELECT {scalar.duck(scalar.smooth_step(k, 2.0))} FROM (SELECT {v}::DOUBLE AS x)").fetchall()[0][0]
+            g = duckdb.sql(f"SELECT {scalar.duck(scalar.slope(kind, 2.0))} FROM (SELECT {x}::DOUBLE AS x)").fetchall()[0][0]
             assert math.isclose((f(x + 1e-5) - f(x - 1e-5)) / 2e-5, g, rel_tol=1e-3)
 
 
@@ -194,7 +194,7 @@ def test_binary_decoders(spark, tmp_path):
 
 def test_keyed_state_survives_batches(spark, tmp_path):
     for k in range(2):
-        rows = spark.createDataFrame([(1, 10 * k + i, 100.0) for i in range(3)], "user_id bigint, event_id bigint, value double").withColumn("ts", scalar.F.lit(f"2024-01-0{k + 1}").cast("timestamp"))
+        rows = spark.createDataFrame([(1, 10 * k + i, 100.0) for i in range(3)], "user_id bigint, event_id bigint, value double").withColumns({"ts": scalar.F.lit(f"2024-01-0{k + 1}").cast("timestamp"), "event_type": scalar.F.lit("a")})
         rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     out = streams.run_once(streams.keyed_neuron(stream), folder=f"file://{tmp_path}/out")
