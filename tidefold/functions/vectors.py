@@ -98,3 +98,8 @@ def cosine_blocks(n: int) -> np.ndarray:
     a = np.cos((i + 0.5) * math.pi * k / n) * math.sqrt(2 / n)
     a[0] = math.sqrt(1 / n)
     return a
+
+
+def two_sided(v: Column, a: np.ndarray) -> Column:
+    """a X a' of the square matrix X that v holds row by row, as an array of the same kind."""
+    return matvec(v, np.kron(a, a).tolist())

@@ -133,3 +133,32 @@ def log_last_write(spark, d):
     more = {"ppl": F.lit(1.0), "lr": F.lit(0.1), "at": F.lit("2024-01-01 00:00:00")}
     text = log.withColumns(more).select("line", log_line().alias("value"))
     return metrics.last_write(parse_log(text).select("epoch", "split", "line", "loss"), ["epoch", "split"])
+
+
+@query(f"{RATES} SELECT layer, round(avg(mean), 6) AS mean, round(layer / 11::DOUBLE, 6) AS rel FROM nd GROUP BY layer")
+def layer_means(spark, d):
+    rows = _nodes(spark, d).groupBy("layer").agg(F.avg("mean").alias("mean"))
+    return metrics.relative_position(rows, "layer").select("layer", F.round("mean", 6).alias("mean"), F.round("rel", 6).alias("rel"))
+
+
+@query(
+    """WITH lg AS (SELECT vec_id AS row, (k - 1)::INT AS item, embedding[k]::DOUBLE * 8 AS logit, label FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings)),
+m AS (SELECT row, label, max(logit) AS m, max(CASE WHEN item = label THEN logit END) AS t FROM lg GROUP BY row, label), l AS (SELECT lg.row, ln(sum(exp(logit - m))) + any_value(m) - any_value(t) AS loss FROM lg JOIN m USING (row) GROUP BY lg.row),
+k AS (SELECT row, item, label, row_number() OVER (PARTITION BY row ORDER BY logit DESC, item) AS r FROM lg) SELECT round(avg((item = label)::INT), 6) AS accuracy, round(avg(loss), 6) AS loss, count(*) AS n FROM k JOIN l USING (row) WHERE r = 1"""
+)
+def classification_report(spark, d):
+    from ..operators import decoding
+
+    e = table(spark, d, "embeddings")
+    logits = e.select(F.col("vec_id").alias("row"), "label", F.posexplode("embedding").alias("item", "v")).select("row", "label", "item", (F.col("v").cast("double") * 8).alias("logit"))
+    chosen = decoding.greedy(logits).join(decoding.cross_entropy(logits, "label"), "row").join(e.select(F.col("vec_id").alias("row"), "label"), "row")
+    return chosen.agg(F.round(F.avg((F.col("item") == F.col("label")).cast("int")), 6).alias("accuracy"), F.round(F.avg("loss"), 6).alias("loss"), F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey::VARCHAR AS layer, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part")
+def numeric_key_order(spark, d):
+    from ..operators.corpus import running_offsets
+
+    keys = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("layer"))
+    ordered = running_offsets(keys.select("layer", F.col("layer").cast("bigint").alias("n"), F.lit(1).alias("one")), "n", "one", "pos")
+    return ordered.select("layer", "pos")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -281,3 +282,18 @@ def bit_fields(spark, d):
     field = scalar.bits(F.col("l_orderkey"), 31 << 3, 3)
     word = F.shiftleft(F.col("l_partkey").bitwiseAND(F.lit(7).cast("bigint")), 4).bitwiseOR(F.col("l_suppkey").bitwiseAND(F.lit(15).cast("bigint")))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", field.alias("field"), word.alias("word"))
+
+
+_DCT = vectors.cosine_blocks(4)
+
+
+@query(f"SELECT vec_id, list_transform({np.kron(_DCT, _DCT).tolist()}::DOUBLE[][], lambda r: round(list_inner_product(embedding[1:16]::DOUBLE[], r), 5)) AS y FROM embeddings")
+def cosine_transform(spark, d):
+    out = table(spark, d, "embeddings").select("vec_id", vectors.two_sided(F.slice("embedding", 1, 16), _DCT).alias("y"))
+    return out.select("vec_id", F.transform("y", lambda x: F.round(x, 5)).alias("y"))
+
+
+@query("SELECT event_id, regexp_extract(props, '([0-9]+)', 1)::INT AS k, '{\"k\":' || regexp_extract(props, '([0-9]+)', 1) || '}' AS again FROM events")
+def json_round_trip(spark, d):
+    parsed = table(spark, d, "events").select("event_id", F.from_json("props", "k int").alias("j"))
+    return parsed.select("event_id", F.col("j.k").alias("k"), F.to_json("j").alias("again"))
