@@ -216,6 +216,8 @@ def decode(data: bytes) -> np.ndarray:
     at = 24 + 4 * distinct
     rows = np.frombuffer(data, "<u4", 4 * lanes, at).reshape(-1, 4).astype(np.int64)
     at += 16 * lanes
+    if int(rows[:, 0].sum()) != total:
+        raise ValueError("the block lengths are damaged")
     ends = at + 4 * np.cumsum(rows[:, 1] + rows[:, 2])
     begins = ends - 4 * (rows[:, 1] + rows[:, 2])
     for k, (a, b) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
