@@ -104,6 +104,28 @@ def test_encoders(spark):
     assert spark.range(1).select(scalar.unpack_bits(scalar.pack_bits(F.array(*[F.lit(k % 3 % 2) for k in range(11)])), F.lit(11)).alias("u")).first()["u"] == [k % 3 % 2 for k in range(11)]
 
 
+def test_tempotron_reads_every_event(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    kinds = sorted(("click", "error", "purchase", "signup", "view"))
+    rows = [(u * 1000 + k, u, k, kinds[rng.integers(5)]) for u, n in ((1, 3), (2, 20), (3, 21), (4, 300)) for k in range(n)]
+    e = spark.createDataFrame(rows, "event_id bigint, user_id bigint, k bigint, event_type string")
+    e.selectExpr("event_id", "timestamp_micros(k) AS ts", "user_id", "event_type", "1.0D AS value", "'{\"k\":1}' AS props").write.parquet(str(tmp_path / "events.parquet"))
+    v0, t = encoding.psp_scale(), np.arange(50)
+    want = {}
+    for u in (1, 2, 3, 4):
+        v = np.zeros(50)
+        for _, _, k, kind in (r for r in rows if r[1] == u):
+            s = (k + 1) % 40
+            v += np.where(t >= s, np.exp(-(t - s) / 15.0) - np.exp(-(t - s) / 3.75), 0) * v0 * 0.1 * (kinds.index(kind) + 1)
+        want[u] = (v.max(), int(v.argmax()))
+    out = {r["sample"]: r for r in registry.QUERIES["tempotron"](spark, str(tmp_path)).collect()}
+    assert set(out) == set(want)
+    for u, (top, at) in want.items():
+        assert math.isclose(out[u]["v_max"], top, abs_tol=2e-6) and out[u]["t_max"] == at and out[u]["spike"] == (at if top >= 1 else -at)
+    loss = registry.QUERIES["tempotron_loss"](spark, str(tmp_path)).first()["loss"]
+    assert math.isclose(loss, sum((top - 1) ** 2 for u, (top, _) in want.items() if (top >= 1) != u % 2) / 4, abs_tol=2e-6)
+
+
 def test_alignment_and_log(spark):
     layers = lambda n: spark.createDataFrame([(i, i / 10) for i in range(n)], "layer int, mean double")
     got = [r["a_layer"] for r in metrics.align(layers(12), layers(18), 12, 18).orderBy("i").collect()]

@@ -58,9 +58,13 @@ def psp_scale(tau: float = 15.0, tau_s: float = 15.0 / 4, theta: float = 1.0) ->
 
 
 def tempotron(spikes: DataFrame, row: str, time: str, weight: Column, steps: int, tau: float = 15.0, tau_s: float = 15.0 / 4, theta: float = 1.0) -> DataFrame:
-    """row, v_max, t_max (first step of the peak), spike (t_max, or -t_max under the threshold). A negative spike time is no spike."""
+    """row, v_max, t_max (first step of the peak), spike (t_max, or -t_max under the threshold). A negative spike time is no spike.
+
+    The potential is linear in the weights: those of one row and time are summed before the steps are laid out, so any number of spikes
+    makes (distinct times) x steps rows."""
     v0 = psp_scale(tau, tau_s, theta)
-    at = spikes.select(row, F.col(time).alias("__s"), weight.alias("__w"), F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("t"))
+    summed = spikes.groupBy(F.col(row), F.col(time).alias("__s")).agg(F.sum(weight).alias("__w"))
+    at = summed.select(row, "__s", "__w", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("t"))
     d = F.col("t") - F.col("__s")
     psp = F.when((F.col("__s") >= 0) & (d >= 0), (F.exp(-d / F.lit(tau)) - F.exp(-d / F.lit(tau_s))) * F.lit(v0) * F.col("__w")).otherwise(0.0)
     v = at.groupBy(row, "t").agg(F.sum(psp).alias("v"))

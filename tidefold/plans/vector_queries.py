@@ -237,7 +237,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY v DESC, t) AS r
 
 def _tempotron(spark, d):
     i = F.row_number().over(Window.partitionBy("sample").orderBy("t", "event_id"))
-    spikes = events(spark, d).withColumn("i", i).where("i <= 20").select("sample", (F.col("i") % 40).cast("int").alias("st"), (F.lit(0.1) * (F.col("x") + 1)).alias("w"))
+    spikes = events(spark, d).withColumn("i", i).select("sample", (F.col("i") % 40).cast("int").alias("st"), (F.lit(0.1) * (F.col("x") + 1)).alias("w"))
     return encoding.tempotron(spikes, "sample", "st", F.col("w"), 50)
 
 
