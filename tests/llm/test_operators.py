@@ -426,6 +426,18 @@ def test_boilerplate_lines(spark):
     assert clean[0] == body[0] and clean[100] == "one two three" and clean[101] == notice
 
 
+def test_long_lines_are_counted(spark):
+    passage = " ".join(f"long{j}" for j in range(60))
+    rows = [(k, f"{passage}\n" + " ".join(f"w{k}x{j}" for j in range(40)), None, "h1") for k in range(quality_rules.LINE_DOCS + 1)]
+    rows += [(100, passage, None, "h1"), (101, passage, None, "h2")]
+    docs = _docs(spark, rows)
+    out = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    assert all(out[k]["n_common_words"] == 60 and out[k]["kept"] for k in range(quality_rules.LINE_DOCS + 1))
+    assert out[100]["n_common_words"] == 60 and not out[100]["kept"] and out[101]["n_common_words"] == 0 and out[101]["kept"]
+    below = {r["doc_id"]: r for r in quality_rules.judge(docs.where("doc_id < 20")).collect()}
+    assert all(r["n_common_words"] == 0 for r in below.values())
+
+
 # mixing
 
 

@@ -3,7 +3,7 @@
 Line rule: lines are lower-cased, white space in them collapses, and a 64-bit hash stands for
 them. For each host (the source column) and hash, the documents with different texts that hold
 it are counted (copies of one text are one witness: removing copies is another operator's work).
-Short lines counted above the limit are boilerplate and are taken out; a document that has too
+Lines of any length counted above the limit are boilerplate and are taken out; a document that has too
 small a part of its words left is depleted and rejected.
 """
 
@@ -18,8 +18,8 @@ SIGNS = "#*$%&|<>"
 WINDOW = 8
 #: Base limits: least words, and most percent of the words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: A line of at most LINE_WORDS words in more than LINE_DOCS differing documents of a host is boilerplate.
-#: Longer lines are prose. A document is depleted if under LEAST_LEFT percent of its words are left.
+#: A line in more than LINE_DOCS differing documents of a host is boilerplate, however long it is.
+#: A document is depleted if under LEAST_LEFT percent of its words are left. LINE_WORDS is read by JUDGE_SQL alone.
 LINE_DOCS, LINE_WORDS, LEAST_LEFT = 20, 30, 30
 
 
@@ -85,20 +85,17 @@ def _norm(line: Column) -> Column:
     return F.lower(F.regexp_replace(F.btrim(line, F.lit(" \t\n\x0b\f\r")), SPACE, " "))
 
 
-def _short_lines(text: Column, most_words: int) -> Column:
-    """array of struct(h: hash of the normalised line, w: its words) of the lines that may be boilerplate."""
-    return F.filter(
-        F.transform(_lines(text), lambda x: _let(_norm(x), lambda y: F.struct(F.xxhash64(y).alias("h"), (F.char_length(y) - F.char_length(F.translate(y, " ", "")) + 1).alias("w")))),
-        lambda s: s["w"] <= most_words,
-    )
+def _hashed_lines(text: Column) -> Column:
+    """array of struct(h: hash of the normalised line, w: its words) of the lines that are not blank."""
+    return F.transform(_lines(text), lambda x: _let(_norm(x), lambda y: F.struct(F.xxhash64(y).alias("h"), (F.char_length(y) - F.char_length(F.translate(y, " ", "")) + 1).alias("w"))))
 
 
-def common_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int = LINE_DOCS, line_words: int = LINE_WORDS) -> DataFrame:
+def common_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int = LINE_DOCS) -> DataFrame:
     """(host, text_hash, id, common): for each document with boilerplate, the hashes and words of its lines that are.
 
     Counts are combined before their shuffle. A line that very many documents hold is one row of the counted side; on the other
     side its rows may be split by the adaptive skew join."""
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("text_hash"), _short_lines(F.col(text_col), line_words).alias("lines"))
+    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("text_hash"), _hashed_lines(F.col(text_col)).alias("lines"))
     lines = lines.where(F.size("lines") > 0)
     witness = lines.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda s: s["h"]))).alias("h")).distinct()
     common = witness.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > line_docs).select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
@@ -108,13 +105,13 @@ def common_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, lin
     return found.groupBy("id", "host", "text_hash").agg(F.collect_set(F.struct("at", "h", "w")).alias("common"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_words: int = LINE_WORDS) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS) -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_common_words.
 
     Null and empty texts have no words and fail the base rule. Null hosts are one host of their own. Ids may be null or repeat: rows are told
     apart by id, host and text; rows alike in all three get the same verdict. Other columns are not read. An empty table gives an empty result.
     """
-    common = common_lines(docs, id_col, text_col, host_col, line_docs, line_words)
+    common = common_lines(docs, id_col, text_col, host_col, line_docs)
     removed = common.select(F.col("id").alias("r_id"), F.col("host").alias("r_host"), F.col("text_hash").alias("r_hash"), F.aggregate("common", F.lit(0), lambda s, x: s + x["w"]).cast("long").alias("r_words"))
     base = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("text_hash"), base_counts(F.col(text_col)).alias("c"))
     joined = base.join(removed, F.col("id").eqNullSafe(F.col("r_id")) & F.col("host").eqNullSafe(F.col("r_host")) & (F.col("text_hash") == F.col("r_hash")), "left")
@@ -133,9 +130,9 @@ def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_c
     return docs.join(kept, id_col, "left_semi").select(*docs.columns)
 
 
-def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, line_words: int = LINE_WORDS) -> DataFrame:
+def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS) -> DataFrame:
     """docs with boilerplate lines taken out of the texts; nothing else changes."""
-    common = common_lines(docs, id_col, text_col, host_col, line_docs, line_words)
+    common = common_lines(docs, id_col, text_col, host_col, line_docs)
     common = common.select(F.col("id").alias("r_id"), F.col("host").alias("r_host"), F.col("text_hash").alias("r_hash"), F.transform("common", lambda x: x["h"]).alias("r_common"))
     d = docs.alias("d")
     text = F.col(f"d.{text_col}")
