@@ -126,6 +126,19 @@ def test_tempotron_reads_every_event(spark, tmp_path):
     assert math.isclose(loss, sum((top - 1) ** 2 for u, (top, _) in want.items() if (top >= 1) != u % 2) / 4, abs_tol=2e-6)
 
 
+def test_cosine_transform_covers_every_block(spark, tmp_path):
+    x = np.random.default_rng(5).normal(size=(5, 8, 8))
+    rows = [(k, [float(e) for e in m.ravel()]) for k, m in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    a = np.array([[math.sqrt((1 if k == 0 else 2) / 4) * math.cos((i + 0.5) * math.pi * k / 4) for i in range(4)] for k in range(4)])
+    want = np.zeros_like(x)
+    for i in (0, 4):
+        for j in (0, 4):
+            want[:, i : i + 4, j : j + 4] = a @ x[:, i : i + 4, j : j + 4] @ a.T
+    out = {r["vec_id"]: r["y"] for r in registry.QUERIES["cosine_transform"](spark, str(tmp_path)).collect()}
+    assert len(out) == 5 and all(len(y) == 64 and np.allclose(np.reshape(y, (8, 8)), want[k], atol=1e-5) for k, y in out.items())
+
+
 def test_alignment_and_log(spark):
     layers = lambda n: spark.createDataFrame([(i, i / 10) for i in range(n)], "layer int, mean double")
     got = [r["a_layer"] for r in metrics.align(layers(12), layers(18), 12, 18).orderBy("i").collect()]

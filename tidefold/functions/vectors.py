@@ -103,3 +103,15 @@ def cosine_blocks(n: int) -> np.ndarray:
 def two_sided(v: Column, a: np.ndarray) -> Column:
     """a X a' of the square matrix X that v holds row by row, as an array of the same kind."""
     return matvec(v, np.kron(a, a).tolist())
+
+
+def two_sided_blocks(v: Column, a: np.ndarray, side: int) -> Column:
+    """a X a' of each block X, as large as a, of the side by side matrix that v holds row by row; an array of the whole shape."""
+    n = len(a)
+    if side % n:
+        raise ValueError(f"blocks of {n} do not divide a side of {side}")
+    starts = range(0, side, n)
+    blocks = [F.array(*[F.get(v, F.lit((i + r) * side + j + c)) for r in range(n) for c in range(n)]) for i in starts for j in starts]
+    place = [(i // n * len(starts) + j // n, i % n * n + j % n) for i in range(side) for j in range(side)]
+    done = F.transform(F.array(*blocks), lambda x: two_sided(x, a))
+    return F.element_at(F.transform(F.array(done), lambda y: F.array(*[y[k][m] for k, m in place])), 1)

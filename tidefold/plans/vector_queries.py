@@ -289,7 +289,7 @@ _DCT = vectors.cosine_blocks(4)
 
 @query(f"SELECT vec_id, list_transform({np.kron(_DCT, _DCT).tolist()}::DOUBLE[][], lambda r: round(list_inner_product(embedding[1:16]::DOUBLE[], r), 5)) AS y FROM embeddings")
 def cosine_transform(spark, d):
-    out = table(spark, d, "embeddings").select("vec_id", vectors.two_sided(F.slice("embedding", 1, 16), _DCT).alias("y"))
+    out = table(spark, d, "embeddings").select("vec_id", vectors.two_sided_blocks(F.col("embedding"), _DCT, 8).alias("y"))
     return out.select("vec_id", F.transform("y", lambda x: F.round(x, 5)).alias("y"))
 
 
