@@ -438,6 +438,19 @@ def test_long_lines_are_counted(spark):
     assert all(r["n_common_words"] == 0 for r in below.values())
 
 
+def test_kept_texts_lose_boilerplate_and_short_rests_are_depleted(spark):
+    notice = " ".join(f"n{j}" for j in range(42))
+    rows = [(k, f"{notice}\n" + " ".join(f"w{k}x{j}" for j in range(40)), None, "h1") for k in range(30)]
+    rows += [(100, f"{notice}\n" + " ".join(f"v{j}" for j in range(18)), None, "h1"), (101, f"{notice}\n" + "a b c d e f g h " * 2 + " ".join(f"u{j}" for j in range(16)), None, "h1")]
+    docs = _docs(spark, rows)
+    out = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    assert all(out[k]["kept"] for k in range(30))
+    for k in (100, 101):  # 18 words are left, 30 % of 60; 32 words are left, half of them in repeated windows
+        assert out[k]["n_common_words"] == 42 and not out[k]["base_failed"] and not out[k]["kept"]
+    kept = {r["doc_id"]: r["text"] for r in quality_rules.keep(docs).collect()}
+    assert kept == {k: t.split("\n")[1] for k, t, _, _ in rows[:30]}
+
+
 # mixing
 
 

@@ -4,7 +4,7 @@ Line rule: lines are lower-cased, white space in them collapses, and a 64-bit ha
 them. For each host (the source column) and hash, the documents with different texts that hold
 it are counted (copies of one text are one witness: removing copies is another operator's work).
 Lines of any length counted above the limit are boilerplate and are taken out; a document that has too
-small a part of its words left is depleted and rejected.
+small a part of its words left, or whose rest fails the base rule, is depleted and rejected.
 """
 
 from __future__ import annotations
@@ -95,51 +95,64 @@ def common_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str, lin
 
     Counts are combined before their shuffle. A line that very many documents hold is one row of the counted side; on the other
     side its rows may be split by the adaptive skew join."""
-    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("text_hash"), _hashed_lines(F.col(text_col)).alias("lines"))
-    lines = lines.where(F.size("lines") > 0)
-    witness = lines.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda s: s["h"]))).alias("h")).distinct()
+    # exploded as an expression: a column of arrays would be computed once more for an inferred filter on its size
+    lines = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("text_hash"), F.posexplode(_hashed_lines(F.col(text_col))).alias("at", "line"))
+    lines = lines.select("id", "host", "text_hash", "at", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
+    witness = lines.select("host", "text_hash", "h").distinct()
     common = witness.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > line_docs).select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
-    held = lines.select("id", "host", "text_hash", F.posexplode("lines").alias("at", "line")).select("id", "host", "text_hash", "at", F.col("line.h").alias("h"), F.col("line.w").alias("w"))
-    found = held.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("h") == F.col("c_h")))
+    found = lines.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("h") == F.col("c_h")))
     # rows that repeat a document repeat its (line place, hash): a set keeps one
     return found.groupBy("id", "host", "text_hash").agg(F.collect_set(F.struct("at", "h", "w")).alias("common"))
 
 
+def _with_common(docs: DataFrame, id_col: str, text_col: str, host_col: str, line_docs: int) -> DataFrame:
+    """docs as d, with r_common: the hashes of a row's boilerplate lines, and r_words: the words in them; null for rows without any."""
+    common = common_lines(docs, id_col, text_col, host_col, line_docs)
+    words = F.aggregate("common", F.lit(0), lambda s, x: s + x["w"]).cast("long")
+    common = common.select(F.col("id").alias("r_id"), F.col("host").alias("r_host"), F.col("text_hash").alias("r_hash"), F.transform("common", lambda x: x["h"]).alias("r_common"), words.alias("r_words"))
+    same = F.col(f"d.{id_col}").eqNullSafe(F.col("r_id")) & F.col(f"d.{host_col}").eqNullSafe(F.col("r_host")) & (F.xxhash64(f"d.{text_col}") == F.col("r_hash"))
+    return docs.alias("d").join(common, same, "left")
+
+
+def _cleaned(text: Column) -> Column:
+    stay = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("r_common", F.xxhash64(_norm(x))))
+    return F.when(F.col("r_common").isNull(), text).otherwise(F.concat_ws("\n", stay))
+
+
+def _depleted(text: Column, n_words: Column) -> Column:
+    """Whether what is left of a text with boilerplate is too small a part of it, or fails the base rule by itself."""
+    failed = lambda w: (100 * F.size(w) < LEAST_LEFT * n_words) | base_failed(F.size(w), repeated_words(w))
+    return F.when(F.col("r_common").isNull(), F.lit(False)).otherwise(_let(words_of(_cleaned(text)), failed))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS) -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_common_words.
 
     Null and empty texts have no words and fail the base rule. Null hosts are one host of their own. Ids may be null or repeat: rows are told
     apart by id, host and text; rows alike in all three get the same verdict. Other columns are not read. An empty table gives an empty result.
     """
-    common = common_lines(docs, id_col, text_col, host_col, line_docs)
-    removed = common.select(F.col("id").alias("r_id"), F.col("host").alias("r_host"), F.col("text_hash").alias("r_hash"), F.aggregate("common", F.lit(0), lambda s, x: s + x["w"]).cast("long").alias("r_words"))
-    base = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("host"), F.xxhash64(text_col).alias("text_hash"), base_counts(F.col(text_col)).alias("c"))
-    joined = base.join(removed, F.col("id").eqNullSafe(F.col("r_id")) & F.col("host").eqNullSafe(F.col("r_host")) & (F.col("text_hash") == F.col("r_hash")), "left")
-    joined = joined.select("id", "c.*", F.coalesce("r_words", F.lit(0)).alias("n_common_words"))
+    text = F.col(f"d.{text_col}")
+    joined = _with_common(docs.select(*dict.fromkeys((id_col, text_col, host_col))), id_col, text_col, host_col, line_docs)
+    counted = joined.select(F.col(f"d.{id_col}").alias("id"), base_counts(text).alias("c"), _depleted(text, F.size(words_of(text))).alias("depleted"), F.coalesce("r_words", F.lit(0)).alias("n_common_words"))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
-    left = F.col("n_words") - F.col("n_common_words")
-    depleted = 100 * left < LEAST_LEFT * F.col("n_words")
-    return joined.select(
-        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~depleted).alias("kept"), "n_common_words"
+    return counted.select("id", "c.*", "depleted", "n_common_words").select(
+        F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~F.col("depleted")).alias("kept"), "n_common_words"
     )
 
 
 def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The documents that the rules keep, with all their columns and unchanged texts. Rows without an id are dropped: no later stage could name them."""
-    kept = judge(docs, id_col, text_col, host_col).where("kept").select(id_col, F.lit(True)).select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    """The documents that the rules keep, with boilerplate lines taken out of the texts; other columns are unchanged. Rows without an id are dropped: no later stage could name them."""
+    text = F.col(f"d.{text_col}")
+    counts = _let(words_of(text), lambda w: ~base_failed(F.size(w), repeated_words(w)) & ~_depleted(text, F.size(w)))
+    joined = _with_common(docs, id_col, text_col, host_col, LINE_DOCS).where(F.col(f"d.{id_col}").isNotNull() & counts)
+    return joined.select(*[_cleaned(text).alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns])
 
 
 def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS) -> DataFrame:
     """docs with boilerplate lines taken out of the texts; nothing else changes."""
-    common = common_lines(docs, id_col, text_col, host_col, line_docs)
-    common = common.select(F.col("id").alias("r_id"), F.col("host").alias("r_host"), F.col("text_hash").alias("r_hash"), F.transform("common", lambda x: x["h"]).alias("r_common"))
-    d = docs.alias("d")
     text = F.col(f"d.{text_col}")
-    joined = d.join(common, F.col(f"d.{id_col}").eqNullSafe(F.col("r_id")) & F.col(f"d.{host_col}").eqNullSafe(F.col("r_host")) & (F.xxhash64(text) == F.col("r_hash")), "left")
-    stay = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains("r_common", F.xxhash64(_norm(x))))
-    cleaned = F.when(F.col("r_common").isNull(), text).otherwise(F.concat_ws("\n", stay))
-    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns])
+    joined = _with_common(docs, id_col, text_col, host_col, line_docs)
+    return joined.select(*[_cleaned(text).alias(c) if c == text_col else F.col(f"d.{c}") for c in docs.columns])
 
 
 #: DuckDB SQL for judge() over the table documents.
