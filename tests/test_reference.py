@@ -139,6 +139,13 @@ def test_cosine_transform_covers_every_block(spark, tmp_path):
     assert len(out) == 5 and all(len(y) == 64 and np.allclose(np.reshape(y, (8, 8)), want[k], atol=1e-5) for k, y in out.items())
 
 
+def test_threshold_margins_of_every_item(spark, tmp_path):
+    rows = [(k, label, [0.0] * 64) for k, label in enumerate((3, 9, 10, 63))]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    out = {(r["row"], r["item"]): r["theta"] for r in registry.QUERIES["threshold_margins"](spark, str(tmp_path)).collect()}
+    assert out == {(k, i): 1.1 if i == label else 0.9 for k, label, _ in rows for i in range(64)}
+
+
 def test_alignment_and_log(spark):
     layers = lambda n: spark.createDataFrame([(i, i / 10) for i in range(n)], "layer int, mean double")
     got = [r["a_layer"] for r in metrics.align(layers(12), layers(18), 12, 18).orderBy("i").collect()]

@@ -253,7 +253,7 @@ def tempotron_loss(spark, d):
 
 @query(f"WITH {LOGITS} SELECT row, item, CASE WHEN label = item THEN 1.1 ELSE 0.9 END::DOUBLE AS theta FROM lg WHERE item < 10")
 def threshold_margins(spark, d):
-    return _logits(spark, d).where("item < 10").select("row", "item", encoding.threshold_margin(F.col("label"), F.col("item")).alias("theta"))
+    return _logits(spark, d).select("row", "item", encoding.threshold_margin(F.col("label"), F.col("item")).alias("theta"))
 
 
 @query(
