@@ -451,6 +451,15 @@ def test_kept_texts_lose_boilerplate_and_short_rests_are_depleted(spark):
     assert kept == {k: t.split("\n")[1] for k, t, _, _ in rows[:30]}
 
 
+def test_keep_known_rejects_only_unknown_languages(spark, monkeypatch):
+    rows = [(1, "one text in two languages", "en", "s"), (2, "1234 5678", "en", "s"), (3, "ein Text", "de", "s")]
+    unlabelled = _docs(spark, [(k, t, None, s) for k, t, _, s in rows])
+    assert sorted(r["doc_id"] for r in langid.keep_known(unlabelled).collect()) == [1, 2, 3]
+    monkeypatch.setattr(langid, "learn", lambda *a: "net")
+    monkeypatch.setattr(langid, "predict", lambda net, texts: (["en"] * len(texts), np.full(len(texts), 0.4)))
+    assert sorted(r["doc_id"] for r in langid.keep_known(_docs(spark, rows)).collect()) == [1, 3]
+
+
 # mixing
 
 

@@ -203,15 +203,17 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, text_col: str = "text", least: float = 0.5, id_col: str = "doc_id", lang_col: str = "lang", name: str = "__language") -> DataFrame:
-    """docs whose language is known: not "und", and a pooled probability of at least ``least``. All columns stay as they are."""
+def keep_known(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", name: str = "__language") -> DataFrame:
+    """docs whose language is known: not "und". All columns stay as they are. If nothing is labelled, no language can be told and docs pass through."""
     spark = docs.sparkSession
-    ship(spark)
-    shipped = spark.sparkContext.broadcast(learn(docs, id_col, text_col, lang_col))
+    net = learn(docs, id_col, text_col, lang_col)
+    if net is None:
+        return docs
+    shipped = spark.sparkContext.broadcast(net)
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
-        lang, score = predict(shipped.value, texts.tolist())
-        return pd.Series([v != "und" and s >= least for v, s in zip(lang, score.tolist(), strict=True)])
+        lang, _ = predict(shipped.value, texts.tolist())
+        return pd.Series([v != "und" for v in lang], dtype=bool)
 
     return docs.where(_letters(F.col(text_col))).where(known(F.col(text_col)))
