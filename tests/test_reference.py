@@ -250,3 +250,26 @@ def test_training_log_round_trip(spark, tmp_path):
     text.append_log(log, str(tmp_path / "log"))
     text.append_log(log, str(tmp_path / "log"))
     assert text.parse_log(spark.read.text(str(tmp_path / "log"))).count() == 2
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_whole_rows_by_numpy(spark, con):
+    """Neither query nor SQL may leave out events, items or components: both against numpy on whole rows."""
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    spikes, count = {}, {}
+    for user, kind in con.execute("SELECT user_id, event_type FROM events ORDER BY user_id, ts, event_id").fetchall():
+        count[user] = count.get(user, 0) + 1
+        spikes.setdefault(user, []).append((count[user] % 40, 0.1 * (kinds.index(kind) + 1)))
+    peak = {r["sample"]: r["v_max"] for r in registry.QUERIES["tempotron"](spark, SF).collect()}
+    t = np.arange(50)
+    for user, seen in spikes.items():
+        v = sum(w * np.where(t >= at, np.exp(-(t - at) / 15) - np.exp(-(t - at) / 3.75), 0) for at, w in seen)
+        assert math.isclose(peak[user], float(np.max(v)) * encoding.psp_scale(), abs_tol=2e-6)
+    emb = con.execute("SELECT vec_id, embedding FROM embeddings").fetchall()
+    a = np.array([[math.sqrt((1 if k == 0 else 2) / 4) * math.cos((i + 0.5) * math.pi * k / 4) for i in range(4)] for k in range(4)])
+    got = {r["vec_id"]: r["y"] for r in registry.QUERIES["cosine_transform"](spark, SF).collect()}
+    for k, v in emb:
+        m = np.array(v, np.float64).reshape(8, 8)
+        want = np.block([[a @ m[i : i + 4, j : j + 4] @ a.T for j in (0, 4)] for i in (0, 4)])
+        assert np.allclose(got[k], want.ravel(), atol=2e-5)
+    assert registry.QUERIES["threshold_margins"](spark, SF).count() == sum(len(v) for _, v in emb)

@@ -230,7 +230,7 @@ def population_code(spark, d):
 
 
 _V0 = encoding.psp_scale()
-TEMPO = f"""WITH {EVENTS_SQL}, s AS (SELECT sample, (i % 40)::INT AS st, 0.1::DOUBLE * (x + 1) AS w FROM ev WHERE i <= 20), g AS (SELECT sample, st, w, unnest(range(50)) AS t FROM s),
+TEMPO = f"""WITH {EVENTS_SQL}, s AS (SELECT sample, (i % 40)::INT AS st, sum(0.1::DOUBLE * (x + 1)) AS w FROM ev GROUP BY ALL), g AS (SELECT sample, st, w, unnest(range(50)) AS t FROM s),
 v AS (SELECT sample, t, sum(CASE WHEN t >= st THEN (exp(-(t - st) / 15.0::DOUBLE) - exp(-(t - st) / 3.75::DOUBLE)) * {_V0}::DOUBLE * w ELSE 0 END) AS v FROM g GROUP BY sample, t),
 k AS (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY v DESC, t) AS r FROM v), o AS (SELECT sample, v AS v_max, t AS t_max FROM k WHERE r = 1)"""
 
@@ -251,7 +251,7 @@ def tempotron_loss(spark, d):
     return encoding.tempotron_loss(_tempotron(spark, d), (F.col("sample") % 2).cast("int")).select(F.round("loss", 6).alias("loss"))
 
 
-@query(f"WITH {LOGITS} SELECT row, item, CASE WHEN label = item THEN 1.1 ELSE 0.9 END::DOUBLE AS theta FROM lg WHERE item < 10")
+@query(f"WITH {LOGITS} SELECT row, item, CASE WHEN label = item THEN 1.1 ELSE 0.9 END::DOUBLE AS theta FROM lg")
 def threshold_margins(spark, d):
     return _logits(spark, d).select("row", "item", encoding.threshold_margin(F.col("label"), F.col("item")).alias("theta"))
 
@@ -287,7 +287,16 @@ def bit_fields(spark, d):
 _DCT = vectors.cosine_blocks(4)
 
 
-@query(f"SELECT vec_id, list_transform({np.kron(_DCT, _DCT).tolist()}::DOUBLE[][], lambda r: round(list_inner_product(embedding[1:16]::DOUBLE[], r), 5)) AS y FROM embeddings")
+# SQL: block (bi, bj) of the 8 by 8 matrix, its row r of the transform, back in place (row, column) of the matrix
+_BLOCK = "list_transform(range(16), lambda m: embedding[(bi * 4 + m // 4) * 8 + bj * 4 + m % 4 + 1]::DOUBLE)"
+
+
+@query(
+    f"""WITH b AS (SELECT vec_id, bi, bj, {_BLOCK} AS x FROM embeddings, unnest(range(2)) AS i(bi), unnest(range(2)) AS j(bj)),
+y AS (SELECT vec_id, bi, bj, list_transform({np.kron(_DCT, _DCT).tolist()}::DOUBLE[][], lambda r: round(list_inner_product(x, r), 5)) AS y FROM b),
+v AS (SELECT vec_id, (bi * 4 + m // 4) * 8 + bj * 4 + m % 4 AS pos, y[m + 1] AS v FROM y, unnest(range(16)) AS k(m))
+SELECT vec_id, list(v ORDER BY pos) AS y FROM v GROUP BY vec_id"""
+)
 def cosine_transform(spark, d):
     out = table(spark, d, "embeddings").select("vec_id", vectors.two_sided_blocks(F.col("embedding"), _DCT, 8).alias("y"))
     return out.select("vec_id", F.transform("y", lambda x: F.round(x, 5)).alias("y"))
