@@ -503,3 +503,15 @@ def test_mixture_blocks_hold_every_share(spark):
     mixing.BLOCK_TOKENS = was
     blocks = {r["block"] for r in out}
     assert len(blocks) > 4 and len(out) == 3 * len(blocks)
+
+
+def test_boilerplate_lines_join_alike_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    notice = " ".join(f"n{j}" for j in range(42))
+    rows = [(k % 25, f"{notice}\n" + " ".join(f"w{k}x{j}" for j in range(40)), "en", None) for k in range(30)] + [(None, f"{notice}\nmore", "en", None), (3, None, "en", None), (100, notice, "en", "h2")]
+    docs = _docs(spark, rows).selectExpr("*", "1 as r_id", "2 as h", "3 as lines", "4 as r_common", "5 as d1", "6 as c")
+    few = [sorted(map(str, f(docs).collect())) for f in (quality_rules.judge, quality_rules.keep, quality_rules.without_common_lines)]
+    monkeypatch.setattr(quality_rules, "MOST_LINES", 0)
+    assert few == [sorted(map(str, f(docs).collect())) for f in (quality_rules.judge, quality_rules.keep, quality_rules.without_common_lines)]
+    kept = quality_rules.keep(docs)
+    assert kept.columns == docs.columns and kept.count() == 31  # the other host has the notice once: not boilerplate there
+    assert [r["doc_id"] for r in kept.where(f"text like '%{notice}%'").collect()] == [100]
