@@ -33,6 +33,8 @@ BANDS, ROWS = 48, 5
 T = BANDS * ROWS
 #: Members of a bucket whose pairs may be listed; rows of a block in larger ones; shingles of one matrix product.
 SMALL, BLOCK, COLUMNS = 24, 192, 8192
+#: Shingles that are sketched, or ordered for a product, at a time.
+PORTION = 1 << 18
 #: Odd multipliers of the mixers (fixed values).
 P_SHINGLE, P_ROUND, P_MIX_A, P_MIX_B, P_BAND = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F))
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -96,6 +98,19 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= SIMILAR * (len(a) + len(b) - both)
 
 
+def _portions(rows: list[int], sizes: list[int]) -> list[list[int]]:
+    """rows in order, cut so that no portion of several rows has more than 256 of them or more than PORTION shingles."""
+    out: list[list[int]] = [[]]
+    held = 0
+    for r, n in zip(rows, sizes, strict=True):
+        if out[-1] and (len(out[-1]) == 256 or held + n > PORTION):
+            out.append([])
+            held = 0
+        out[-1].append(r)
+        held += n
+    return out
+
+
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for b in batches:
@@ -103,7 +118,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             some = [k for k, s in enumerate(sets) if len(s)]
             keys = np.zeros((0, BANDS), np.int64)
             if some:
-                keys = np.concatenate([band_keys(sketch([sets[k] for k in some[i : i + 256]])) for i in range(0, len(some), 256)])
+                keys = np.concatenate([band_keys(sketch([sets[k] for k in part])) for part in _portions(some, [len(sets[k]) for k in some])])
             digest: list[tuple[int | None, int | None]] = [(None, None)] * len(sets)
             bands: list[np.ndarray | None] = [None] * len(sets)
             for row, k in enumerate(some):
@@ -138,21 +153,27 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _matches(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Whether each set of a is similar to each of b, by intersections of all at once."""
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    flat = np.concatenate([*a, *b])
-    _, column, times = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = times > 1
-    place = np.cumsum(shared) - 1
-    row = np.repeat(np.arange(len(a) + len(b)), np.concatenate([la, lb]))
-    keep = shared[column]
-    row, column = row[keep], place[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
+    sets = [*a, *b]
     both = np.zeros((len(a), len(b)), np.float64)
-    for start in range(0, int(shared.sum()), COLUMNS):
-        x, y = np.searchsorted(column, [start, start + COLUMNS])
-        m = np.zeros((len(a) + len(b), COLUMNS), np.float32)
-        m[row[x:y], column[x:y] - start] = 1
-        both += m[: len(a)] @ m[len(a) :].T
+    # shingles are hashes: equal ranges of them hold about as many each, so memory does not grow with the sets
+    ranges = max(1, -(-int(la.sum() + lb.sum()) // PORTION))
+    edges = np.array([(k << 64) // ranges for k in range(1, ranges)], np.uint64)
+    cuts = [np.concatenate([[0], np.searchsorted(x, edges), [len(x)]]) for x in sets]
+    for k in range(ranges):
+        parts = [x[c[k] : c[k + 1]] for x, c in zip(sets, cuts, strict=True)]
+        _, column, times = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared = times > 1
+        place = np.cumsum(shared) - 1
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in parts])
+        keep = shared[column]
+        row, column = row[keep], place[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for start in range(0, int(shared.sum()), COLUMNS):
+            x, y = np.searchsorted(column, [start, start + COLUMNS])
+            m = np.zeros((len(sets), min(COLUMNS, int(shared.sum()) - start)), np.float32)
+            m[row[x:y], column[x:y] - start] = 1
+            both += m[: len(a)] @ m[len(a) :].T
     return 100 * both >= SIMILAR * (la[:, None] + lb[None] - both)
 
 
@@ -178,9 +199,10 @@ def _block_links(ids: np.ndarray, label: np.ndarray, side: np.ndarray, sets: lis
 def _blocks(labelled: DataFrame, texts: DataFrame) -> DataFrame:
     """Links in large mixed buckets: members outside the component of the bucket's smallest id (x) against each other and against those in it (d)."""
     home = labelled.where("id = pivot").select("key", F.col("label").alias("home"))
-    sided = labelled.join(home, "key").withColumn("x", F.col("label") != F.col("home"))
+    # stored, so that each join on the bucket stands alone and a large bucket's rows may be split between tasks
+    sided = stored(labelled.sparkSession, labelled.join(home, "key").withColumn("x", F.col("label") != F.col("home")), "sided")
     count = lambda c: F.ceil(F.sum(c.cast("int")) / BLOCK).cast("int")
-    blocks = sided.groupBy("key").agg(count(F.col("x")).alias("nx"), count(~F.col("x")).alias("nd")).where("nx > 0")
+    blocks = stored(labelled.sparkSession, sided.groupBy("key").agg(count(F.col("x")).alias("nx"), count(~F.col("x")).alias("nd")).where("nx > 0"), "blocks")
     placed = sided.join(blocks, "key").select("key", "id", "label", "x", "nx", "nd", F.pmod(F.xxhash64("id"), F.when(F.col("x"), F.col("nx")).otherwise(F.col("nd"))).cast("int").alias("own"))
     task = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
     own, nx, nd = F.col("own"), F.col("nx"), F.col("nd")
