@@ -515,3 +515,25 @@ def test_boilerplate_lines_join_alike_by_broadcast_and_by_shuffle(spark, monkeyp
     kept = quality_rules.keep(docs)
     assert kept.columns == docs.columns and kept.count() == 31  # the other host has the notice once: not boilerplate there
     assert [r["doc_id"] for r in kept.where(f"text like '%{notice}%'").collect()] == [100]
+
+
+def test_vectors_that_repeat_an_id(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(2, 64))
+    near = lambda v: (v + rng.normal(size=64) * 0.01).tolist()
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, near(a)), (3, near(b)), (4, near(b)), (5, (0.1 * b).tolist()), (5, (0.1 * b).tolist()), (None, a.tolist())]
+    df = spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id bigint, embedding array<double>, label int")
+    out = embeddup.near_vectors(df).collect()
+    assert sorted(r["n_links"] for r in out if r["vec_id"] == 1) == [1, 4]
+    assert {(r["vec_id"], r["component_id"], r["kept"]) for r in out} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (5, 1, False), (None, None, True)}
+    assert {r["n_links"] for r in out if r["vec_id"] in (2, 5)} == {1, 4} and all(r["n_links"] == 0 for r in out if r["vec_id"] is None)
+
+
+def test_large_sets_are_compared_in_portions(monkeypatch):
+    rng = np.random.default_rng(8)
+    pool = np.unique(rng.integers(0, 2**64, 3000, dtype=np.uint64))
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 2900))) for _ in range(12)] + [pool, pool[:-100]]
+    want = [[neardup.similar(a, b) for b in sets[7:]] for a in sets[:7]]
+    monkeypatch.setattr(neardup, "PORTION", 700)
+    assert (neardup._matches(sets[:7], sets[7:]) == want).all()
+    assert neardup._portions([0, 1, 2, 3], [500, 300, 5000, 1]) == [[0], [1], [2], [3]] and neardup._portions([], []) == [[]]
