@@ -1,18 +1,21 @@
 """An adaptive context-mixing range coder for token ids, many blocks at a time.
 
 A file codes ids as ranks by frequency. It holds independent blocks of BLOCK ids; each starts with
-fresh models and has a checksum, so any block decodes alone. In a block, each id is predicted twice:
-by what followed the last two ids (order 2) and by what followed the last one (order 1), each with a
-small confidence. Adaptive counts for both confidences together and for none (order 0) are added up;
-the mixture says how likely each prediction is right. An id that neither predicts is coded by order 0:
-an adaptive bucket of ranks (four to an octave), and its place in the bucket as plain bits.
-
-All blocks of a file are coded in step: numpy handles position k of every block at once. The coder keeps
-a 64-bit low and width, and puts out 32 bits when the width falls under 2^32; a carry goes back into
-words already out.
-
-File: magic, u32 ids, u32 blocks, u32 distinct ids, u32 crc of the rank table, rank table (u32 each);
-then for each block u32 ids, u32 coded words, u32 words of plain bits, u32 crc of both; then their words.
+fresh models and has a checksum, so with the file's tables any block decodes alone. In a block, each id
+is predicted thrice: by what followed the last two ids (order 2) and by what followed the last one
+(order 1), each with a small confidence, and by a distribution over all ids. That one is a mixture of
+order 0, adaptive counts of buckets of ranks (four to an octave), and of order 1, the bucket counts in the
+file after the last id; within a bucket it goes by the ids' counts in the file. Adaptive counts for the
+order-2 confidence, for both confidences together and for none are added up; they say how likely each
+prediction is right. The first coding step tells which prediction is right or else the bucket, the
+second, where none is, the id.
+
+GROUP blocks are coded in step: numpy handles position k of all of them at once, and memory is that of one
+group beside the ids. The coder keeps a 64-bit low and width, and puts out 32 bits when the width falls
+under 2^32; a carry goes back into words already out.
+
+File: magic, u32 ids, u32 blocks, u32 distinct ids, u32 bytes and u32 crc of the packed rank table, the table
+(zlib of u32 ids by rank, u32 scaled counts, and the u16 bucket shares after each context); then for each block u32 ids, u32 words, u32 crc; then the words.
 """
 
 from __future__ import annotations
@@ -21,11 +24,16 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TOKRC02\n"
-BLOCK = 2048
-SLOTS2, SLOTS1 = 1 << 10, 1 << 9
+MAGIC = b"TOKRC03\n"
+BLOCK, GROUP = 4096, 2048
+SLOTS2, SLOTS1 = 12, 11  # bits
 #: Buckets of ranks (for up to 2^16 distinct ids, and for more), the total of their scaled counts, and after how many positions these are made anew.
 BUCKETS, SCALE, RENEW = (64, 128), 1 << 12, 64
+#: Ids with a context of their own: one for so many ids of a file, at most so many (others share one by bucket); shares of the mixture for order 1 and order 0.
+IDS_OF_CONTEXT, CONTEXTS = 1 << 13, 512
+SHARE1, SHARE0 = 3, 1
+#: The most that the scaled counts of the ids of one bucket add up to, beside one for each id.
+IDS_SCALE = 1 << 16
 _U = np.uint64
 _WORD, _LEAST, _ALL, _F20 = _U(32), _U(1 << 32), _U(0xFFFFFFFFFFFFFFFF), _U((1 << 20) - 1)
 _AGED = _U(sum(((1 << 15) - 1) << (20 * k) for k in range(3)))
@@ -34,29 +42,76 @@ _ADD = np.array([32 << (20 * k) for k in range(3)], np.uint64)
 _FIRST = _U(32 | 16 << 20 | 64 << 40)
 
 
-def _bucket_of(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bucket, plain bits, place): ranks 0 to 3 have their own, then each octave has four buckets of a power of two."""
+def _bucket_of(rank: np.ndarray) -> np.ndarray:
+    """Ranks 0 to 3 have their own buckets, then each octave has four."""
     r = rank.astype(np.int64)
-    k = np.maximum(np.frexp(np.maximum(r, 1).astype(np.float64))[1] - 3, 0)  # plain bits
-    return np.where(r < 4, r, 4 * k + (r >> k)), k, r & ((1 << k) - 1)
+    k = np.maximum(np.frexp(np.maximum(r, 1).astype(np.float64))[1] - 3, 0)
+    return np.where(r < 4, r, 4 * k + (r >> k))
 
 
-def _first_of(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first rank, plain bits) of buckets."""
+def _first_of(bucket: np.ndarray) -> np.ndarray:
+    """The first rank of buckets."""
     k = np.maximum((bucket >> 2) - 1, 0)
-    return np.where(bucket < 4, bucket, (bucket - 4 * k) << k), k
+    return np.where(bucket < 4, bucket, (bucket - 4 * k) << k)
+
+
+def _contexts(rank: np.ndarray, own: int) -> np.ndarray:
+    """The context that an id makes: its own for frequent ones, else its bucket's; without own contexts all share one."""
+    return np.where(rank < own, rank, own + _bucket_of(rank)) if own else np.zeros(len(rank), np.int64)
+
+
+def _shares(ranks: np.ndarray, block: int, own: int, buckets: int) -> np.ndarray:
+    """contexts x buckets: how often each bucket follows each context in the blocks, scaled to rows that add up to SCALE with at least 1 each."""
+    bucket = _bucket_of(np.arange(int(ranks.max(initial=0)) + 1))
+    context = _contexts(np.arange(len(bucket)), own)
+    counts = np.zeros((own + buckets if own else 1) * buckets, np.int64)
+    for a in range(0, len(ranks), block * 256):
+        part = ranks[a : a + block * 256]
+        before = np.concatenate([[0], part[:-1]])
+        before[::block] = 0  # a block begins as after rank 0
+        counts += np.bincount(context[before] * buckets + bucket[part], minlength=len(counts))
+    counts = counts.reshape(-1, buckets)
+    ends = np.cumsum(counts, 1) * (SCALE - buckets) // np.maximum(counts.sum(1, keepdims=True), 1) + np.arange(1, buckets + 1)
+    ends[:, -1] = SCALE
+    return np.diff(ends, prepend=0, axis=1)
+
+
+class _Ids:
+    """The file's tables: bucket borders after each context, and where each rank starts among the scaled counts of its bucket."""
+
+    def __init__(self, weights: np.ndarray, buckets: int, own: int, shares: np.ndarray):
+        n = len(weights)
+        ends = np.zeros((len(shares), buckets + 1), np.int64)
+        np.cumsum(shares, axis=1, out=ends[:, 1:])
+        self.after = (SHARE1 * ends).ravel()  # borders of the buckets after each context
+        self.first = np.minimum(_first_of(np.arange(buckets + 1)), n)
+        sums = np.concatenate([[0], np.cumsum(weights, dtype=np.int64)])
+        self.bucket = _bucket_of(np.arange(n)).astype(np.uint8)
+        self.context = _contexts(np.arange(max(n, 1)), own) * (buckets + 1)  # where the borders after a rank are
+        self.below = sums  # of all ranks; less the bucket's own start it is the place within the bucket
+        self.start = sums[self.first[:-1]]
+        self.total = (sums[self.first[1:]] - self.start).astype(np.uint64)
+
+
+def _scaled(count: np.ndarray, buckets: int) -> np.ndarray:
+    """Counts by rank, made small enough that those of a bucket add up to about IDS_SCALE at most; at least 1."""
+    first = np.minimum(_first_of(np.arange(buckets + 1)), len(count))
+    sums = np.concatenate([[0], np.cumsum(count, dtype=np.int64)])
+    total = np.maximum(sums[first[1:]] - sums[first[:-1]], 1)
+    of = _bucket_of(np.arange(len(count)))
+    return np.maximum((count * np.minimum(1.0, IDS_SCALE / total[of])).astype(np.int64), 1)
 
 
 class _Models:
     """What coder and decoder both know at a position; one lane a block."""
 
-    def __init__(self, lanes: int, distinct: int):
-        n = self.buckets = BUCKETS[distinct > 1 << 16]
-        self.base2, self.base1 = np.arange(lanes) * SLOTS2, np.arange(lanes) * SLOTS1
-        self.t2 = np.zeros(lanes * SLOTS2, np.uint32)  # rank << 2 | confidence
-        self.t1 = np.zeros(lanes * SLOTS1, np.uint32)
-        self.joint, self.none = np.full(lanes * 32, _FIRST), np.full(lanes, _FIRST)
-        self.at32 = np.arange(lanes) * 32
+    def __init__(self, lanes: int, buckets: int):
+        n = self.buckets = buckets
+        self.base2, self.base1 = np.arange(lanes) << SLOTS2, np.arange(lanes) << SLOTS1
+        self.t2 = np.zeros(lanes << SLOTS2, np.uint32)  # rank << 2 | confidence
+        self.t1 = np.zeros(lanes << SLOTS1, np.uint32)
+        self.joint, self.two, self.none = np.full(lanes * 32, _FIRST), np.full(lanes * 4, _FIRST), np.full(lanes, _FIRST)
+        self.at32, self.at4 = np.arange(lanes) * 32, np.arange(lanes) * 4
         self.r1, self.r2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.at_b = np.arange(lanes) * n
         self.counts = np.full((lanes, n), 4.0)
@@ -74,20 +129,22 @@ class _Models:
     def look(self, n: int) -> None:
         """Predictions and mixed counts of the first n lanes."""
         h = self.r1[:n] * np.uint32(2654435761)
-        self.s1 = self.base1[:n] + (h >> np.uint32(23))
-        self.s2 = self.base2[:n] + ((h + self.r2[:n] * np.uint32(2246822519)) >> np.uint32(22))
+        self.s1 = self.base1[:n] + (h >> np.uint32(32 - SLOTS1))
+        self.s2 = self.base2[:n] + ((h + self.r2[:n] * np.uint32(2246822519)) >> np.uint32(32 - SLOTS2))
         self.e2, self.e1 = self.t2.take(self.s2), self.t1.take(self.s1)
         self.p2, self.p1 = self.e2 >> 2, self.e1 >> 2
         self.c2, self.c1 = self.e2 & 3, self.e1 & 3
         self.j = self.at32[:n] + ((self.c2 << 3) + (self.c1 << 1) + (self.p2 == self.p1))
-        self.m = self.joint.take(self.j)
-        mixed = self.m + self.none[:n]
+        self.k = self.at4[:n] + self.c2
+        self.m, self.w = self.joint.take(self.j), self.two.take(self.k)
+        mixed = self.m + self.w + self.none[:n]
         self.f0, self.f1, self.f2 = mixed & _F20, (mixed >> _U(20)) & _F20, mixed >> _U(40)
 
     def learn(self, i: int, event: np.ndarray, rank: np.ndarray, escaped: np.ndarray, bucket: np.ndarray) -> None:
         n = len(rank)
         add = _ADD.take(event)
         self.joint[self.j] = self.m - ((self.m >> _U(5)) & _AGED) + add
+        self.two[self.k] = self.w - ((self.w >> _U(5)) & _AGED) + add
         none = self.none[:n]
         self.none[:n] = none - ((none >> _U(5)) & _AGED) + add
         new = rank << 2
@@ -102,64 +159,70 @@ class _Models:
             self._scale()
 
 
-def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
-    """The file that holds ids (any unsigned 32-bit integers); decode() gives them back."""
-    ids = np.ascontiguousarray(ids, np.uint32)
+def _table(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids by falling count, their counts, the rank of each of ids)."""
     if len(ids) and int(ids.max()) < 1 << 20:
-        inverse, times = ids, np.bincount(ids)
+        times = np.bincount(ids)
         values = np.flatnonzero(times)
-        count, rank_of = times[values], np.empty(len(times), np.uint32)
+        count, inverse = times[values], None
     else:
         values, inverse, count = np.unique(ids, return_inverse=True, return_counts=True)
-        rank_of = np.empty(len(values), np.uint32)
     order = np.lexsort((values, -count))
-    table = values[order].astype("<u4")
-    rank_of[values[order] if inverse is ids else order] = np.arange(len(order), dtype=np.uint32)
+    rank_of = np.empty(len(values) if inverse is not None else int(values[-1]) + 1 if len(values) else 0, np.uint32)
+    rank_of[order if inverse is not None else values[order]] = np.arange(len(order), dtype=np.uint32)
+    return values[order].astype("<u4"), count[order], rank_of[ids if inverse is None else inverse.ravel()]
+
+
+def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
+    """The file that holds ids (any unsigned 32-bit integers); decode() gives them back."""
+    ids = np.ascontiguousarray(ids, np.uint32)
+    table, count, ranks = _table(ids)
+    buckets = BUCKETS[len(table) > 1 << 16]
+    weights = _scaled(count, buckets)
+    own = min(CONTEXTS, len(ids) // IDS_OF_CONTEXT, len(table))
+    shares = _shares(ranks, block, own, buckets)
+    packed = zlib.compress(table.tobytes() + weights.astype("<u4").tobytes() + shares.astype("<u2").tobytes(), 6)
     lanes = -(-len(ids) // block)
-    lengths = np.minimum(block, len(ids) - block * np.arange(lanes))
-    head = np.array([len(ids), lanes, len(table), zlib.crc32(table.tobytes())], "<u4")
-    parts = _encode(rank_of[inverse.ravel()], lanes, block, len(table)) if lanes else []
-    rows = np.array([(n, len(a) // 4, len(b) // 4, zlib.crc32(b, zlib.crc32(a))) for n, (a, b) in zip(lengths.tolist(), parts, strict=True)], "<u4").reshape(-1, 4)
-    return b"".join([MAGIC, head.tobytes(), table.tobytes(), rows.tobytes(), *(x for p in parts for x in p)])
-
-
-def _pack_bits(lane: np.ndarray, bits: np.ndarray, value: np.ndarray, lanes: int) -> list[bytes]:
-    """The plain bits of each lane (entries in order of lane and position), lowest first, in 32-bit words."""
-    value = value.astype(np.uint64)
-    total = np.bincount(lane, bits, lanes).astype(np.int64)
-    size = -(-total // 32)
-    first = np.concatenate([[0], np.cumsum(size)])
-    end = np.cumsum(bits)
-    before = np.concatenate([[0], np.cumsum(total)])[lane]
-    at = 32 * first[lane] + end - bits - before
-    words = np.zeros(int(first[-1]) + 1, np.uint64)
-    shifted = value << (at & 31).astype(np.uint64)
-    # no two entries share a bit, so sums are unions; sums of 32-bit halves are exact in doubles
-    for k, part in ((0, shifted & _U(0xFFFFFFFF)), (1, shifted >> _WORD)):
-        words += np.bincount((at >> 5) + k, part.astype(np.float64), len(words))[: len(words)].astype(np.uint64)
-    words = words.astype("<u4")
-    return [words[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-
-
-def _encode(ranks: np.ndarray, lanes: int, block: int, distinct: int) -> list[tuple[bytes, bytes]]:
-    m = _Models(lanes, distinct)
+    head = np.array([len(ids), lanes, len(table), len(packed), zlib.crc32(packed)], "<u4")
+    order0, rows, parts = _Ids(weights, buckets, own, shares), [], []
+    for a in range(0, lanes, GROUP):
+        part = ranks[a * block : (a + GROUP) * block]
+        for k, words in enumerate(_encode(part, min(GROUP, lanes - a), block, buckets, order0)):
+            rows.append((min(block, len(part) - k * block), len(words) // 4, zlib.crc32(words)))
+            parts.append(words)
+    return b"".join([MAGIC, head.tobytes(), packed, np.array(rows, "<u4").reshape(-1, 3).tobytes(), *parts])
+
+
+def _encode(ranks: np.ndarray, lanes: int, block: int, buckets: int, order0: _Ids) -> list[bytes]:
+    """The words of each block; all blocks but the last are full."""
+    m = _Models(lanes, buckets)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
     out = np.zeros((lanes, block // 2 + 16), np.uint32)
     used = np.zeros(lanes, np.int64)
     padded = np.zeros(lanes * block, np.uint32)
     padded[: len(ranks)] = ranks
     steps = np.ascontiguousarray(padded.reshape(lanes, block).T)
+    del padded
     last = len(ranks) - (lanes - 1) * block  # ids in the last lane
-    buckets, bits, places = (a.reshape(lanes, block) for a in _bucket_of(padded))
-    bucket_steps = np.ascontiguousarray(buckets.T)
-    escaped = np.zeros((block, lanes), bool)
+    scale = _U((SHARE1 + SHARE0) * SCALE)
 
-    def carry(who: np.ndarray) -> None:
-        at = used[who] - 1
-        while len(who):
-            out[who, at] += np.uint32(1)
-            over = out[who, at] == 0
-            who, at = who[over], at[over] - 1
+    def carry(over: np.ndarray) -> None:
+        """What overflows low goes into the words already out."""
+        at = used[over] - 1
+        while len(over):
+            out[over, at] += np.uint32(1)
+            on = out[over, at] == 0
+            over, at = over[on], at[on] - 1
+
+    def settle(go: np.ndarray) -> None:
+        nonlocal out
+        if len(go):
+            if int(used[go].max()) + 4 > out.shape[1]:
+                out = np.concatenate([out, np.zeros_like(out)], 1)
+            out[go, used[go]] = (low[go] >> _WORD).astype(np.uint32)
+            used[go] += 1
+            low[go] <<= _WORD
+            width[go] <<= _WORD
 
     for i in range(block):
         n = lanes if i < last else lanes - 1
@@ -169,82 +232,95 @@ def _encode(ranks: np.ndarray, lanes: int, block: int, distinct: int) -> list[tu
         m.look(n)
         event = np.where(rank == m.p2, 0, np.where(rank == m.p1, 1, 2))
         esc = np.flatnonzero(event == 2)
-        b = bucket_steps[i].take(esc)
-        scale = _U(SCALE)
-        start, size = np.where(event == 0, _U(0), m.f0), np.where(event == 0, m.f0, m.f1)
+        own = rank.take(esc)
+        b = order0.bucket.take(own).astype(np.int64)
         r = width[:n] // ((m.f0 + m.f1 + m.f2) * scale)
-        start, size = start * scale, size * scale
-        borders = m.at_f[esc] + b
-        lo, hi = m.flat.take(borders).astype(np.uint64), m.flat.take(borders + 1).astype(np.uint64)
+        start, size = np.where(event == 0, _U(0), m.f0) * scale, np.where(event == 0, m.f0, m.f1) * scale
+        borders, after = m.at_f[esc] + b, order0.context.take(m.r1.take(esc)) + b
+        lo, hi = ((SHARE0 * m.flat.take(borders + k) + order0.after.take(after + k)).astype(np.uint64) for k in (0, 1))
         f2 = m.f2.take(esc)
         start[esc] = (m.f0 + m.f1).take(esc) * scale + f2 * lo
         size[esc] = f2 * (hi - lo)
-        was = low[:n].copy()
-        low[:n] += start * r
-        over = np.flatnonzero(low[:n] < was)
-        if len(over):
-            carry(over)
+        start *= r
+        low[:n] += start
+        carry(np.flatnonzero(low[:n] < start))
         width[:n] = size * r
-        go = np.flatnonzero(width[:n] < _LEAST)
-        if len(go):
-            if i + 4 >= out.shape[1]:
-                out = np.concatenate([out, np.zeros_like(out)], 1)
-            out[go, used[go]] = (low[go] >> _WORD).astype(np.uint32)
-            used[go] += 1
-            low[go] <<= _WORD
-            width[go] <<= _WORD
-        escaped[i, :n] = event == 2
+        settle(np.flatnonzero(width[:n] < _LEAST))
+        if len(esc):  # the id within its bucket
+            r = width.take(esc) // order0.total.take(b)
+            below = order0.below.take(own)
+            start = (below - order0.start.take(b)).astype(np.uint64) * r
+            now = low.take(esc) + start
+            low[esc] = now
+            carry(esc[now < start])
+            r *= (order0.below.take(own + 1) - below).astype(np.uint64)
+            width[esc] = r
+            settle(esc[r < _LEAST])
         m.learn(i, event, rank, esc, b)
     out = np.concatenate([out, np.zeros((lanes, 2), np.uint32)], 1)
     for _ in range(2):  # the rest of low
         out[np.arange(lanes), used] = (low >> _WORD).astype(np.uint32)
         used += 1
         low <<= _WORD
-    at = np.flatnonzero(escaped.T)  # by lane, then position
-    plain = _pack_bits(at // block, bits.ravel()[at], places.ravel()[at], lanes)
-    return [(out[k, : used[k]].astype("<u4").tobytes(), plain[k]) for k in range(lanes)]
+    return [out[k, : used[k]].astype("<u4").tobytes() for k in range(lanes)]
 
 
 def decode(data: bytes) -> np.ndarray:
     """The ids of a file. A damaged file raises ValueError."""
     if data[:8] != MAGIC:
         raise ValueError("not a token file")
-    total, lanes, distinct, crc = np.frombuffer(data, "<u4", 4, 8).tolist()
-    table = np.frombuffer(data, "<u4", distinct, 24)
-    if zlib.crc32(table.tobytes()) != crc:
+    total, lanes, distinct, size, crc = np.frombuffer(data, "<u4", 5, 8).tolist()
+    packed = data[28 : 28 + size]
+    if zlib.crc32(packed) != crc:
         raise ValueError("the rank table is damaged")
-    at = 24 + 4 * distinct
-    rows = np.frombuffer(data, "<u4", 4 * lanes, at).reshape(-1, 4).astype(np.int64)
-    at += 16 * lanes
+    raw = zlib.decompress(packed)
+    table, weights = np.frombuffer(raw, "<u4", distinct), np.frombuffer(raw, "<u4", distinct, 4 * distinct)
+    at = 28 + size
+    rows = np.frombuffer(data, "<u4", 3 * lanes, at).reshape(-1, 3).astype(np.int64)
+    at += 12 * lanes
     if int(rows[:, 0].sum()) != total:
         raise ValueError("the block lengths are damaged")
-    ends = at + 4 * np.cumsum(rows[:, 1] + rows[:, 2])
-    begins = ends - 4 * (rows[:, 1] + rows[:, 2])
-    for k, (a, b) in enumerate(zip(begins.tolist(), ends.tolist(), strict=True)):
-        if zlib.crc32(data[a:b]) != rows[k, 3]:
+    ends = at + 4 * np.cumsum(rows[:, 1])
+    for k, (a, b) in enumerate(zip((ends - 4 * rows[:, 1]).tolist(), ends.tolist(), strict=True)):
+        if zlib.crc32(data[a:b]) != rows[k, 2]:
             raise ValueError(f"block {k} is damaged")
-    if not lanes:
-        return np.zeros(0, np.uint32)
-    words, plain = (np.zeros((lanes, int(rows[:, c].max()) + 2), np.uint32) for c in (1, 2))
-    for k in range(lanes):
-        part = np.frombuffer(data, "<u4", int(rows[k, 1] + rows[k, 2]), int(begins[k]))
-        words[k, : rows[k, 1]], plain[k, : rows[k, 2]] = part[: rows[k, 1]], part[rows[k, 1] :]
-    return table[_decode(words, plain, rows[:, 0], distinct)]
+    buckets = BUCKETS[distinct > 1 << 16]
+    shares = np.frombuffer(raw, "<u2", -1, 8 * distinct).reshape(-1, buckets).astype(np.int64)
+    own = max(0, len(shares) - buckets)
+    out, order0 = np.empty(total, np.uint32), _Ids(weights, buckets, own, shares)
+    done = 0
+    for a in range(0, lanes, GROUP):
+        part = rows[a : a + GROUP]
+        words = np.zeros((len(part), int(part[:, 1].max()) + 2), np.uint32)
+        for k, (end, n) in enumerate(zip(ends[a : a + GROUP].tolist(), part[:, 1].tolist(), strict=True)):
+            words[k, :n] = np.frombuffer(data, "<u4", n, end - 4 * n)
+        n = int(part[:, 0].sum())
+        out[done : done + n] = table[_decode(words, part[:, 0], buckets, order0)]
+        done += n
+    return out
 
 
-def _decode(words: np.ndarray, plain: np.ndarray, lengths: np.ndarray, distinct: int) -> np.ndarray:
+def _decode(words: np.ndarray, lengths: np.ndarray, buckets: int, order0: _Ids) -> np.ndarray:
+    """The ranks of blocks from their words."""
     lanes, block = len(words), int(lengths[0])
-    m = _Models(lanes, distinct)
+    m = _Models(lanes, buckets)
     width = np.full(lanes, _ALL)
     code = words[:, 0].astype(np.uint64) << _WORD | words[:, 1]  # less low
     wide, read = words.shape[1], np.arange(lanes) * words.shape[1] + 2
-    flat_words, flat_plain = words.ravel(), plain.ravel()
-    bit = np.arange(lanes) * plain.shape[1] * 32
+    flat_words = words.ravel()
     steps = np.zeros((block, lanes), np.uint32)
     last = int(lengths[-1])
-    scale = _U(SCALE)
+    scale = _U((SHARE1 + SHARE0) * SCALE)
     limit = np.arange(lanes) * wide + wide - 1
-    halves = [m.buckets >> k for k in range(1, m.buckets.bit_length())]
+    halves = [buckets >> k for k in range(1, buckets.bit_length())]
+
+    def settle(go: np.ndarray) -> None:
+        if len(go):
+            at = read[go]
+            code[go] = code[go] << _WORD | flat_words.take(np.minimum(at, limit[go]))
+            read[go] = at + 1
+            width[go] <<= _WORD
+
     for i in range(block):
         n = lanes if i < last else lanes - 1
         if not n:
@@ -258,29 +334,28 @@ def _decode(words: np.ndarray, plain: np.ndarray, lengths: np.ndarray, distinct:
         start, size = np.where(event == 0, _U(0), one), np.where(event == 0, m.f0, m.f1) * scale
         rank = np.where(event == 0, m.p2, m.p1)
         f2, two = m.f2.take(esc), two.take(esc)
-        inner = np.minimum((v.take(esc) - two) // f2, _U(SCALE - 1)).astype(np.int64)
-        row = m.at_f[esc]
+        inner = np.minimum((v.take(esc) - two) // f2, scale - _U(1)).astype(np.int64)
+        row, after = m.at_f[esc], order0.context.take(m.r1.take(esc))
         b = np.zeros(len(esc), np.int64)  # the last border at or under inner
         for k in halves:
-            b += k * (m.flat.take(row + b + k) <= inner)
-        lo, hi = m.flat.take(row + b).astype(np.uint64), m.flat.take(row + b + 1).astype(np.uint64)
+            b += k * (SHARE0 * m.flat.take(row + b + k) + order0.after.take(after + b + k) <= inner)
+        lo, hi = ((SHARE0 * m.flat.take(row + b + k) + order0.after.take(after + b + k)).astype(np.uint64) for k in (0, 1))
         start[esc] = two + f2 * lo
         size[esc] = f2 * (hi - lo)
-        first, bits = _first_of(b)
-        p = bit[esc]
-        w = p >> 5
-        pair = flat_plain.take(w).astype(np.uint64) | flat_plain.take(np.minimum(w + 1, len(flat_plain) - 1)).astype(np.uint64) << _WORD
-        place = (pair >> (p & 31).astype(np.uint64)).astype(np.int64) & ((1 << bits) - 1)
-        bit[esc] = p + bits
-        rank[esc] = first + place
         code[:n] -= start * r
         width[:n] = size * r
-        go = np.flatnonzero(width[:n] < _LEAST)
-        if len(go):
-            at = read[go]
-            code[go] = code[go] << _WORD | flat_words.take(np.minimum(at, limit[go]))
-            read[go] = at + 1
-            width[go] <<= _WORD
+        settle(np.flatnonzero(width[:n] < _LEAST))
+        if len(esc):  # the id within its bucket
+            total, first, left = order0.total.take(b), order0.start.take(b), code.take(esc)
+            r = width.take(esc) // total
+            v = np.minimum(left // r, total - _U(1)).astype(np.int64) + first
+            own = np.searchsorted(order0.below, v, side="right") - 1
+            below = order0.below.take(own)
+            code[esc] = left - (below - first).astype(np.uint64) * r
+            r *= (order0.below.take(own + 1) - below).astype(np.uint64)
+            width[esc] = r
+            rank[esc] = own
+            settle(esc[r < _LEAST])
         steps[i, :n] = rank
         m.learn(i, event, rank, esc, b)
     flat = np.ascontiguousarray(steps.T)

@@ -93,10 +93,10 @@ def read_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool = False)
             for part, start, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 keys, lengths, ids = unpack_file(data.as_py())
                 ends = np.cumsum(lengths)
-                raw = ids.astype("<u4").tobytes()
+                raw = memoryview(ids.astype("<u4", copy=False).tobytes())
                 cut = [raw[4 * a : 4 * e] for a, e in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 cols = [pa.array(keys, pa.int64()), pa.array(before[part] + start + ends - lengths), pa.array(lengths), pa.array([zlib.crc32(x) for x in cut], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols + [pa.array(cut, pa.binary())] * with_ids, names=[id_col, "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
+                yield pa.RecordBatch.from_arrays(cols + [pa.array(map(bytes, cut), pa.binary()) for _ in range(with_ids)], names=[id_col, "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids)
 
     return files.select("part", "start", "data").mapInArrow(run, f"`{id_col}` bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
 
