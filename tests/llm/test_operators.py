@@ -537,3 +537,31 @@ def test_large_sets_are_compared_in_portions(monkeypatch):
     monkeypatch.setattr(neardup, "PORTION", 700)
     assert (neardup._matches(sets[:7], sets[7:]) == want).all()
     assert neardup._portions([0, 1, 2, 3], [500, 300, 5000, 1]) == [[0], [1], [2], [3]] and neardup._portions([], []) == [[]]
+
+
+def test_prefix_counts_of_mixed_pieces(enc):
+    c = tokencount.PrefixCounter(vocabulary())
+    rng = random.Random(4)
+    parts = ["a", "b", "'", "'s", "'re", "'ll", " ", "  ", "\n", "\t", ".", ",", "!!", "1", "23", "é", "ß", "日", "本", "。", "—", "“", "😀", "\x85", "　", "א", "ع", "The", " the", "<|", "endoftext", "<|endoftext|>", "don't"]
+    for _ in range(400):
+        t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))
+        want = [len(enc.whole(t[:i])) // 4 for i in range(len(t) + 1)]
+        assert c.count(t) == want[-1]
+        assert "<|endoftext|>" in t or c.prefixes(t) == want
+        for budget in (0, 1, 3, 7):
+            assert c.longest_within(t, budget) == max(i for i, n in enumerate(want) if n <= budget), repr(t)
+
+
+@pytest.mark.parametrize("text", ["x" * 200_000, "日本語テキスト" * 10_000, "word " * 3000 + "<|endoftext|>" + "more words " * 3000, "a\n" * 20_000, " " * 50_000])
+def test_long_texts_are_counted_in_one_pass(enc, text):
+    c = tokencount.PrefixCounter(vocabulary())
+    assert c.count(text) == len(enc.whole(text)) // 4
+    fit = c.longest_within(text, 1000)
+    assert c.count(text[:fit]) <= 1000 < c.count(text)
+
+
+def test_texts_that_do_not_fit_a_sentencepiece_model(spark):
+    import public_tokenizers
+
+    out = {r["doc_id"]: r for r in tokencount.token_counts(_docs(spark, [(1, "one two", None, None), (2, "one two three " * 50, None, None)]), public_tokenizers.path("piece_bpe_32k.model"), 20).collect()}
+    assert out[1]["fit_chars"] == 7 and out[2]["over_limit"] and out[2]["fit_chars"] is None

@@ -3,8 +3,9 @@
 In byte-pair encoding the last token of an encoded prefix is unique: it is the token t
 ending there for which (last token of the prefix before t, t) is itself an encoded pair.
 So one pass over a piece gives the count at each of its bytes:
-count[end] = count[end - len(t)] + 1. Truncation ("the longest prefix within a budget")
-and budget questions read these tables; nothing is encoded again.
+count[end] = count[end - len(t)] + 1. The counts at every prefix of a word are stored for the
+words of a bounded dictionary. Truncation ("the longest prefix within a budget") and budget
+questions add the words' last counts up and read the counts of the word that is cut.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import PIECES, SETTLED, Encoder, _Memo, words
+from .bpe import LONGEST_WORD, PIECES, SETTLED, Encoder, _Memo, words
 from .runtime import ship
 
 #: Most pairs whose validity a worker remembers.
@@ -38,6 +39,7 @@ class PrefixCounter:
         self.enc = Encoder(path)
         if not self.enc.byte_level:
             return
+        self.added_ids = {self.enc.lib.token_to_id(a) for a in self.enc.added}
         back = {ord(c): b for b, c in self.enc.letters.items()}
         raw = lambda s: s.translate(back).encode("latin-1")
         spec = json.load(open(path, encoding="utf8"))["model"]
@@ -104,27 +106,66 @@ class PrefixCounter:
                 break
         return count
 
-    def _word(self, word: str) -> int:
-        if not word:
-            return 0
-        if max(word) >= SETTLED:
-            return len(self.enc.whole(word)) // 4
-        if (word[1:] if word[0] == " " else word).isalpha():
-            return self.table(word)[-1]
-        return sum(map(self.piece.__getitem__, PIECES.findall(word)))
+    def _pieces(self, word: str) -> list[str]:
+        """The pre-tokenizer's pieces; where Unicode tables may differ, the library's own."""
+        if max(word) < SETTLED:
+            return PIECES.findall(word)
+        return [word[a:b] for _, (a, b) in self.enc.lib.pre_tokenizer.pre_tokenize_str(word)]
+
+    def _counts(self, word: str) -> list[int]:
+        """Tokens of word[:1], word[:2], .. word.
+
+        A cut inside a piece leaves the pieces before it as they are, but for the one right before where the cut comes within the first three
+        characters: there contractions and white space may fall into other pieces, and both are looked at again."""
+        if (word[1:] if word[0] == " " else word).isalpha() and word[-1] < SETTLED and max(word) < SETTLED:
+            return self._by_characters(word, self.table(word))
+        out: list[int] = []
+        done, before, sure = 0, "", 0  # tokens before the last piece; the last piece; its tokens
+        for piece in self._pieces(word):
+            counts = self._by_characters(piece, self.table(piece))
+            for k in range(1, min(3, len(piece)) + 1):
+                parts = self._pieces(before + piece[:k])
+                out.append(done + sum(sure if p is before or p == before else self.piece[p] for p in parts))
+            out += [done + sure + c for c in counts[3:]]
+            done, before, sure = done + sure, piece, counts[-1]
+        return out
+
+    @staticmethod
+    def _by_characters(piece: str, table: list[int]) -> list[int]:
+        if piece.isascii():
+            return table[1:]
+        return [table[end] for end in accumulate(len(c.encode()) for c in piece)]
+
+    def _word(self, word: str) -> bytes | list[int]:
+        """The stored counts of a word: a count at every prefix; one byte each where they fit."""
+        out = self._counts(word) if word else [0]
+        return bytes(out) if max(out) < 256 else out
 
-    def _spaced(self, word: str) -> int:
+    def _spaced(self, word: str) -> bytes | list[int]:
         """A sentence end after letters is a piece of its own: the stem is looked up first."""
-        if word[-2:-1].isalpha() and word[-1] in ".," and word[1:-1].isalpha():
-            return self.rest[word[1:-1]] + self.first[word[-1]]
+        if word[-2:-1].isalpha() and word[-1] in ".," and word[1:-1].isalpha() and len(word) < LONGEST_WORD and max(word) < SETTLED:
+            stem = self.rest[word[1:-1]]
+            out = [*stem, stem[-1] + self.first[word[-1]][-1]]
+            return bytes(out) if max(out) < 256 else out
         return self._word(word)
 
-    def _segments(self, text: str) -> list[str]:
-        """The text between added tokens; each of those is one token."""
-        out = [text]
-        for a in self.enc.added:
-            out = [x for s in out for x in s.split(a)]
-        return out
+    def _special(self, text: str) -> list[tuple[str, str]]:
+        """(text before, added token) in order, with an empty token at the end."""
+        found = self.enc.lib.encode(text, add_special_tokens=False)
+        out, at = [], 0
+        for t, (a, b) in zip(found.ids, found.offsets, strict=True):
+            if t in self.added_ids:
+                out.append((text[at:a], text[a:b]))
+                at = b
+        return [*out, (text[at:], "")]
+
+    def _lasts(self, text: str) -> tuple[list[str], list[int]]:
+        """The words of a text without added tokens, and the tokens of each."""
+        head, *tail = words(text)
+        return [head, *tail], [self.first[head][-1], *[c[-1] for c in map(self.rest.__getitem__, tail)]]
+
+    def _holds_added(self, text: str) -> bool:
+        return any(a in text for a in self.enc.added)
 
     def count(self, text: str) -> int:
         """Tokens of the whole text."""
@@ -132,40 +173,43 @@ class PrefixCounter:
             return len(self.model.encode(text))
         if not self.enc.byte_level:
             return len(self.enc.whole(text)) // 4
-        if any(a in text for a in self.enc.added):
-            if len(self.enc.added) > 1:
-                return len(self.enc.whole(text)) // 4
-            parts = self._segments(text)
-            return sum(map(self.count, parts)) + len(parts) - 1
-        head, *tail = words(text)
-        return self.first[head] + sum(map(self.rest.__getitem__, tail))
+        if self._holds_added(text):
+            return sum(sum(self._lasts(before)[1]) + bool(token) for before, token in self._special(text))
+        return sum(self._lasts(text)[1])
 
     def prefixes(self, text: str) -> list[int]:
         """Tokens of text[:i] for i = 0 .. len(text): the stored table. Byte-level vocabularies, texts without added tokens."""
         out, base = [0], 0
         for k, w in enumerate(words(text)):
-            w = " " * (k > 0) + w
-            if (w[1:] if k else w).isalpha() and w.isascii():
-                out += [base + c for c in self.table(w)[1:]]
-            else:
-                out += [base + self._word(w[:i]) for i in range(1, len(w) + 1)]
+            counts = self.first[w] if k == 0 else self.rest[w]
+            out += [base + c for c in counts] if w or k else []
             base = out[-1]
         return out
 
-    def longest_within(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix that has at most budget tokens. Words have one token at least,
-        so it ends within the word after the last one that fits whole."""
-        if not self.enc.byte_level or any(a in text for a in self.enc.added):
-            return next(i for i in range(len(text), -1, -1) if len(self.enc.whole(text[:i])) // 4 <= budget)
-        head, *tail = words(text)
-        sums = list(accumulate(map(self.rest.__getitem__, tail), initial=self.first[head]))
+    def longest_within(self, text: str, budget: int) -> int | None:
+        """Characters of the longest prefix that has at most budget tokens; None for vocabularies that have no prefix tables."""
+        if self.model is not None or not self.enc.byte_level:
+            return None
+        if not self._holds_added(text):
+            return self._fit(text, budget)
+        at = 0
+        for before, token in self._special(text):
+            n = sum(self._lasts(before)[1]) + bool(token)
+            if n > budget or not token:
+                # a cut inside an added token leaves plain text
+                return at + self._fit(before + token[:-1], budget)
+            at, budget = at + len(before) + len(token), budget - n
+
+    def _fit(self, text: str, budget: int) -> int:
+        """longest_within() of a text without added tokens. Words have one token at least, so it ends within the word after the last one that fits whole."""
+        found, lasts = self._lasts(text)
+        sums = list(accumulate(lasts))
         fit = bisect_right(sums, budget)  # words that fit whole
-        if fit > len(tail):
+        if fit == len(found):
             return len(text)
-        kept, word = (0, head) if fit == 0 else (len(head) + sum(len(w) + 1 for w in tail[: fit - 1]), " " + tail[fit - 1])
-        used = sums[fit - 1] if fit else 0
-        inside = next((i for i in range(len(word), 0, -1) if used + self._word(word[:i]) <= budget), 0)
-        return kept + inside
+        kept, used = sum(map(len, found[:fit])) + max(0, fit - 1), sums[fit - 1] if fit else 0
+        counts = self.rest[found[fit]] if fit else self.first[found[0]]
+        return kept + max((k for k, c in enumerate(counts, 1) if used + c <= budget), default=0)
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -180,7 +224,8 @@ def counter(path: str) -> PrefixCounter:
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes (UTF-8), n_tokens, over_limit, fit_chars.
 
-    fit_chars is the length of the longest prefix of at most ``limit`` tokens (the whole text if it fits).
+    fit_chars is the length of the longest prefix of at most ``limit`` tokens (the whole text if it fits; null if it does not and the
+    vocabulary is not a byte-level one, which has no prefix tables).
     A null text counts as empty: no bytes, no tokens. Ids may be null or repeat: each row is counted for itself.
     Other columns are not read. Each row is handled alone, without a shuffle; memory is one Arrow batch and the word dictionary.
     """
@@ -191,7 +236,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, id_col: str = "d
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             n = [c.count(t) for t in texts]
-            fits = [len(t) if k <= limit or c.model is not None else c.longest_within(t, limit) for t, k in zip(texts, n, strict=True)]
+            fits = [len(t) if k <= limit else c.longest_within(t, limit) for t, k in zip(texts, n, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([k > limit for k in n]), pa.array(fits, pa.int64())],
                 names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars"],
