@@ -1,9 +1,10 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
-A text is cut into windows of STEPS bytes. In each window one gated recurrent unit reads forwards and
-one backwards; at every byte a softmax over both states gives language probabilities. A document's
-probabilities are the mean over all bytes of its whole text. Training is backpropagation through time
-with Adam on windows of a bounded sample of the labelled documents.
+A text is cut into windows of STEPS bytes, read with MARGIN bytes more on either side so that words at a
+border are seen whole. In each window one gated recurrent unit reads forwards and one backwards; at every
+byte a softmax over both states gives language probabilities. A document's probabilities are the mean over
+all bytes of its whole text, each labelled in the window that it belongs to. Training is backpropagation
+through time with Adam on windows from all over the texts of a bounded sample of the labelled documents.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 
 from .runtime import held_out, ship
 
-#: Bytes of a window, hidden units of each direction, windows handled together.
-STEPS, HIDDEN, LANES = 64, 12, 4096
-#: The training sample: about so many documents of each language, and bytes taken from each.
-SAMPLE_DOCS, SAMPLE_BYTES = 1500, 512
+#: Bytes of a window and beside it, hidden units of each direction, windows handled together.
+STEPS, MARGIN, HIDDEN, LANES = 64, 8, 12, 2048
+#: The training sample: about so many documents of each of the most frequent languages, and from each so many passages of so many characters.
+SAMPLE_DOCS, SAMPLE_LANGS, SAMPLE_PARTS, SAMPLE_CHARS = 1500, 256, 6, 80
 ROUNDS, BATCH, RATE = 180, 384, 0.02
 #: 0 fills the end of the last window and is not counted.
 PAD = 0
@@ -111,11 +112,16 @@ class Net:
         return loss, [g_wx, g_wh, g_wo, flat.sum(0)]
 
 
-def windows(texts: list[bytes], steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes (steps, windows), owner of each window) of whole texts."""
+def windows(texts: list[bytes], steps: int = STEPS, margin: int = MARGIN) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes (margin + steps + margin, windows), owner of each window) of whole texts; margins hold the neighbouring bytes."""
     counts = np.array([-(-len(t) // steps) for t in texts], np.int64)
-    flat = np.frombuffer(b"".join(t + b"\0" * (-len(t) % steps) for t in texts), np.uint8)
-    return np.ascontiguousarray(flat.reshape(-1, steps).T), np.repeat(np.arange(len(texts)), counts)
+    gap = bytes(margin)
+    flat = np.frombuffer(b"".join(gap + t + bytes(-len(t) % steps) + gap for t in texts if t), np.uint8)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    rank = np.arange(len(owner))
+    texts_before = np.cumsum(counts > 0)[owner] - 1 if len(owner) else rank
+    start = rank * steps + 2 * margin * texts_before
+    return flat[start[None, :] + np.arange(steps + 2 * margin)[:, None]], owner
 
 
 def train(texts: list[bytes], labels: list[str], rounds: int = ROUNDS, batch: int = BATCH, seed: int = 7) -> Net | None:
@@ -150,10 +156,11 @@ def predict(net: Net | None, texts: list[str | None]) -> tuple[list[str], np.nda
         return ["und"] * len(texts), score
     x, owner = windows(data)
     sums, seen = np.zeros((len(texts), len(net.langs))), np.zeros(len(texts))
+    own = slice(MARGIN, MARGIN + STEPS)
     for a in range(0, x.shape[1], LANES):
         part = np.ascontiguousarray(x[:, a : a + LANES])
-        live = (part != PAD).astype(np.float32)
-        p = np.einsum("tlk,tl->lk", net.probabilities(part), live)
+        live = (part[own] != PAD).astype(np.float32)
+        p = np.einsum("tlk,tl->lk", net.probabilities(part)[own], live)
         np.add.at(sums, owner[a : a + LANES], p)
         np.add.at(seen, owner[a : a + LANES], live.sum(0))
     pooled = sums / np.maximum(seen, 1)[:, None]
@@ -163,16 +170,20 @@ def predict(net: Net | None, texts: list[str | None]) -> tuple[list[str], np.nda
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Net | None:
-    """Learns from documents that are not held out. The sample is bounded: about SAMPLE_DOCS a language, SAMPLE_BYTES characters of each, cut at a hashed place."""
+    """Learns from documents that are not held out. The sample is bounded: about SAMPLE_DOCS documents of each of the SAMPLE_LANGS most frequent
+    languages, and SAMPLE_PARTS passages of each, at hashed places in equal parts of its whole text."""
     ship(docs.sparkSession)
-    usable = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}  # one row a language
+    usable = docs.where(~F.coalesce(held_out(id_col), F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    counted = usable.groupBy(F.col(lang_col).alias("y")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(SAMPLE_LANGS)
+    counts = {r["y"]: r["n"] for r in counted.collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, SAMPLE_DOCS / n))])
-    draw = F.pmod(F.xxhash64(F.lit(11), id_col), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    place = F.pmod(F.xxhash64(F.lit(12), id_col), F.greatest(F.char_length(text_col) - SAMPLE_BYTES, F.lit(1))) + 1
-    rows = usable.where(draw < share[F.col(lang_col)]).select(F.col(lang_col).cast("string").alias("y"), F.substring(F.col(text_col), place.cast("int"), F.lit(SAMPLE_BYTES)).alias("x")).collect()
+    draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))  # noqa: E731  rows without id differ by text
+    room = F.greatest(F.char_length(text_col) - SAMPLE_CHARS, F.lit(0)) / F.lit(float(SAMPLE_PARTS))
+    places = [(room * (F.lit(k) + draw(12 + k))).cast("int") + 1 for k in range(SAMPLE_PARTS)]
+    parts = F.array_distinct(F.array(*[F.substring(F.col(text_col), p, F.lit(SAMPLE_CHARS)) for p in places]))
+    rows = usable.where(draw(11) < share[F.col(lang_col)]).select(F.col(lang_col).cast("string").alias("y"), F.explode(parts).alias("x")).collect()
     rows = sorted(rows)  # the same net whatever order the rows came in
     return train([r["x"].encode() for r in rows], [r["y"] for r in rows])
 
@@ -185,7 +196,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """One row per document: id, held_out, lang_pred, score.
 
     Only the text enters a prediction. lang_pred is "und" with score 0 where the text is null or has no letter, and everywhere if nothing
-    is labelled. Null ids are not held out and are learned from; repeated rows are each judged alone. Other columns are not read. Scoring has no shuffle.
+    is labelled. Rows without an id are not held out and are learned from; repeated rows are each judged alone. Other columns are not read. Scoring has no shuffle.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -203,7 +214,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", name: str = "__language") -> DataFrame:
+def keep_known(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
     """docs whose language is known: not "und". All columns stay as they are. If nothing is labelled, no language can be told and docs pass through."""
     spark = docs.sparkSession
     net = learn(docs, id_col, text_col, lang_col)
