@@ -565,3 +565,41 @@ def test_texts_that_do_not_fit_a_sentencepiece_model(spark):
 
     out = {r["doc_id"]: r for r in tokencount.token_counts(_docs(spark, [(1, "one two", None, None), (2, "one two three " * 50, None, None)]), public_tokenizers.path("piece_bpe_32k.model"), 20).collect()}
     assert out[1]["fit_chars"] == 7 and out[2]["over_limit"] and out[2]["fit_chars"] is None
+
+
+def test_blocks_hold_their_token_budget_of_each_source(spark, enc):
+    rng = random.Random(6)
+    texts = _texts(700)
+    docs = _docs(spark, [(k, t, None, "big" if rng.random() < 0.7 else rng.choice(["b", None])) for k, t in enumerate(texts)])
+    was, mixing.BLOCK_TOKENS = mixing.BLOCK_TOKENS, 6000
+    out = mixing.mixture(docs, vocabulary()).collect()
+    mixing.BLOCK_TOKENS = was
+    blocks = 1 + max(r["block"] for r in out)
+    assert blocks > 5
+    for source in ("big", "b", None):
+        own = [r for r in out if r["source"] == source]
+        total, most = sum(r["n_tokens"] for r in own), max(r["n_tokens"] for r in own)
+        for k in range(blocks):
+            assert abs(sum(r["n_tokens"] for r in own if r["block"] == k) - total / blocks) <= most
+        epochs = [r["epoch"] for r in sorted(own, key=lambda r: (r["block"], r["epoch"]))]
+        assert epochs == sorted(epochs)  # one pass after the other
+
+
+def test_windows_label_every_byte_once_with_its_neighbours():
+    texts = [b"", b"abc", bytes(range(1, 201)), b"", b"x" * 128]
+    x, owner = langid.windows(texts, 64, 8)
+    assert x.shape == (80, len(owner)) and owner.tolist() == [1, 2, 2, 2, 2, 4, 4]
+    for k, t in enumerate(texts):
+        own = x[8:72, owner == k].T.ravel()
+        assert own[own != 0].tobytes() == t
+    assert x[:8, 2].tobytes() == bytes(range(57, 65))
+    assert x[72:, 1].tobytes() == bytes(range(65, 73)) and not x[:8, [0, 1, 5]].any() and not x[72:, [0, 4, 6]].any()
+    assert langid.windows([b""], 64, 8)[0].shape == (80, 0)
+
+
+def test_rows_without_id_are_learned_from_and_languages_are_bounded(spark, monkeypatch):
+    rows = [(None, "the cat and the dog " * 5 + str(k), "en", "s") for k in range(30)] + [(None, "der Hund und die Katze " * 5 + str(k), "de", "s") for k in range(20)] + [(None, "x y", "xx", "s")]
+    monkeypatch.setattr(langid, "SAMPLE_LANGS", 2)
+    net = langid.learn(_docs(spark, rows))
+    assert net.langs == ["de", "en"]
+    assert langid.predict(net, ["und der Hund die Katze", "and the dog the cat", None, ""])[0] == ["de", "en", "und", "und"]

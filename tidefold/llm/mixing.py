@@ -3,8 +3,9 @@
 A source's weight is its token share raised to an exponent and normalised. The exponent is bisected: to a
 target entropy of the weights, or to the flattest weights for which no source is repeated more often than a
 limit. With a token budget this gives each source a number of passes over its documents: whole passes, and
-one that ends, in a hashed order of its own, where the source's budget is spent. The passes are spread over
-blocks of equal token budgets, each with every source's share, in hashed order within the block.
+one that ends, in a hashed order of its own, where the source's budget is spent. The passes, one after the
+other, are cut by their running token sums into blocks of equal budgets, each with every source's share, in
+hashed order within the block.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from .runtime import ship, stored
 
 #: Sources are a small dimension: more than so many are refused. Production settings: most passes over a source, tokens of a block.
 MOST_SOURCES, REPEATS, BLOCK_TOKENS, SEED = 100_000, 2.0, 1 << 20, 5
-_HASHES = float(1 << 62)
+_BITS = 62
+#: Rows of a source that are put in order together, about: its hashes are cut into as many ranges as that takes, at least 2^LEAST_RANGES.
+RANGE_ROWS, LEAST_RANGES = 50_000, 6
 
 
 @dataclass
@@ -82,7 +85,7 @@ def sized(docs: DataFrame, path: str, id_col: str, text_col: str, source_col: st
 
 
 def _draw(epoch: Column, ident: Column, seed: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(seed), epoch, ident), F.lit(1 << 62))
+    return F.pmod(F.xxhash64(F.lit(seed), epoch, ident), F.lit(1 << _BITS))
 
 
 def passes(rows: DataFrame, repeats: float | None = REPEATS, target_entropy: float | None = None, budget: float | None = None, seed: int = SEED) -> tuple[DataFrame, Mixture | None]:
@@ -138,13 +141,29 @@ def mixture(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     rows = stored(spark, sized(docs, path, id_col, text_col, source_col), "sized")
     params, found = passes(rows, repeats, target_entropy, budget, seed)
     blocks = max(1, math.ceil(found.budget / BLOCK_TOKENS)) if found else 1
-    draw = _draw(F.col("epoch"), F.col("id"), seed)
-    at = (F.col("epoch") + draw / _HASHES) / F.greatest(F.col("total"), F.lit(1e-9))
-    block = F.least(F.floor(at * blocks), F.lit(blocks - 1)).cast("long").alias("block")
-    out = _epochs(rows, params, F.col("id"), F.col("source"), "epoch", seed, [block, draw.alias("place")])
+    uses = _epochs(rows, params, F.col("id"), F.col("source"), "epoch", seed, [])
+    uses = uses.withColumn("place", _draw(F.col("epoch"), F.col("id"), seed))
+    out = _blocked(uses, blocks)
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "epoch", "block", "place", "n_tokens")
 
 
+def _blocked(uses: DataFrame, blocks: int) -> DataFrame:
+    """uses(source, epoch, place, n_tokens, ..) with block: where the source's tokens before a use, epoch by epoch in order of place, lie in its sum.
+
+    No source is put in order whole: sums of hash ranges come first, and only uses of one source, epoch and range meet in a task. Uses alike in place share a block."""
+    most = uses.groupBy("source", "epoch").count().agg(F.max("count")).first()[0] or 0
+    bits = max(LEAST_RANGES, math.ceil(math.log2(max(1, most / RANGE_ROWS))))
+    uses = uses.withColumn("range", F.shiftright("place", _BITS - bits))
+    ranges = uses.groupBy("source", "epoch", "range").agg(F.sum("n_tokens").alias("n"))
+    in_order = Window.partitionBy("source").orderBy("epoch", "range")
+    before = F.coalesce(F.sum("n").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(F.col("source").alias("r_source"), F.col("epoch").alias("r_epoch"), F.col("range").alias("r_range"), before.alias("before"), F.sum("n").over(Window.partitionBy("source")).alias("all"))
+    within = F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source", "epoch", "range").orderBy("place").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = uses.withColumn("within", within).join(ranges, F.col("source").eqNullSafe(F.col("r_source")) & (F.col("epoch") == F.col("r_epoch")) & (F.col("range") == F.col("r_range")))
+    block = F.floor((F.col("before") + F.col("within")) * F.lit(float(blocks)) / F.greatest(F.col("all"), F.lit(1)))
+    return placed.withColumn("block", F.least(block, F.lit(blocks - 1)).cast("long"))
+
+
 def mixed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", repeats: float | None = REPEATS, target_entropy: float | None = None, budget: float | None = None, seed: int = SEED) -> DataFrame:
     """docs, each row as often as the mixture uses it, with unchanged columns. Texts are not shuffled."""
     spark = docs.sparkSession
