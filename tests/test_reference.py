@@ -273,3 +273,62 @@ def test_whole_rows_by_numpy(spark, con):
         want = np.block([[a @ m[i : i + 4, j : j + 4] @ a.T for j in (0, 4)] for i in (0, 4)])
         assert np.allclose(got[k], want.ravel(), atol=2e-5)
     assert registry.QUERIES["threshold_margins"](spark, SF).count() == sum(len(v) for _, v in emb)
+
+
+def test_hot_groups_are_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sampling, "PART_ROWS", 7)
+    rng = np.random.default_rng(3)
+    rows = [(int(g), k, int(rng.integers(0, 50))) for k, g in enumerate(rng.choice([1, 1, 1, 2, 3], 400))]
+    df = spark.createDataFrame([(None if g == 3 else g, k, t) for g, k, t in rows], "sample bigint, event_id bigint, t bigint")
+    by = {}
+    for g, k, t in rows:
+        by.setdefault(None if g == 3 else g, []).append((t, k))
+    want = {k: place for g in by.values() for place, (_, k) in enumerate(sorted(g), 1)}
+    assert {r["event_id"]: r["__k"] for r in sampling.ranked(df, "sample", ("t", "event_id")).collect()} == want
+    framed = {r["event_id"]: r["frame"] for r in frames.equal_count(df, 5).collect()}
+    size = {k: len(g) for g in by.values() for _, k in g}
+    assert framed == {k: min((want[k] - 1) // (size[k] // 5), 4) for k in want}
+    spans = {g: (min(v)[0], (max(v)[0] - min(v)[0]) // 4) for g, v in by.items()}
+    assert {r["event_id"]: r["frame"] for r in frames.equal_time(df, 4).collect()} == {k: min((t - spans[g][0]) // spans[g][1], 3) for g, v in by.items() for t, k in v}
+    kept = {r["event_id"] for r in sampling.subset(df, 0.3, 1, "sample", "event_id", randomly=False).collect()}
+    assert kept == {k for v in by.values() for k in sorted(k for _, k in v)[: int(0.3 * len(v))]}
+    train = {r["event_id"]: r["is_train"] for r in sampling.stratified(df, 0.8, "sample", "event_id", seed=5).collect()}
+    assert set(train) == set(want) and all(sum(train[k] for _, k in v) == math.ceil(0.8 * len(v)) for v in by.values())
+    assert sampling.subset(df.where("false"), 0.3, 1, "sample", "event_id").count() == 0 and frames.equal_count(df.where("false"), 3).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_tokens_are_the_librarys(spark, con):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
+    out = {r["doc_id"]: list(r["ids"]) for r in registry.QUERIES["tokenize_eos"](spark, SF).collect()}
+    assert out == {k: [*lib.encode(t, add_special_tokens=False).ids, 50256] for k, t in texts.items() if t and not t.isspace()}
+
+
+def test_event_files_round_trip():
+    rng = np.random.default_rng(1)
+    e = {"t": np.sort(rng.integers(0, 2**33, 9000)), "x": rng.integers(0, 128, 9000), "y": rng.integers(0, 128, 9000), "p": rng.integers(0, 2, 9000)}
+    back = binary.aedat3(binary.to_aedat3(e))
+    assert all((back[k] == e[k]).all() for k in e)
+    empty = {k: np.zeros(0, np.int64) for k in "txyp"}
+    for kind in binary.ENCODERS:
+        assert len(binary.DECODERS[kind](binary.ENCODERS[kind](empty))["t"]) == 0
+
+
+def test_report_and_vocabulary_files(spark, tmp_path):
+    lines = text.markdown(spark.createDataFrame([("b|c", None), ("a", "1")], "k string, v string"), "T", ["k"])
+    text.write_markdown(lines, str(tmp_path / "r"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "r")).collect()] == ["# T", "", "| k | v |", "|-|-|", "| a | 1 |", "| b\\|c |  |"]
+    vocabulary = spark.createDataFrame([('"', 0), ("\n", 1), ("日", 2)], "symbol string, id bigint")
+    text.write_vocabulary(vocabulary, str(tmp_path / "v"))
+    assert sorted(map(tuple, text.read_vocabulary(spark, str(tmp_path / "v")).collect())) == sorted(map(tuple, vocabulary.collect()))
+
+
+def test_surrogate_fires_in_proportion(spark):
+    out = rec.neuron(_events(spark, range(2), x=[1.0, 1.0]), rec.integrate(), fire=lambda u: 0.25).orderBy("t").collect()
+    assert [r["out"] for r in out] == [0.25, 0.25] and [r["v"] for r in out] == [0.75, 1.3125]
+    out = rec.neuron(_events(spark, [0], x=[1.0]), rec.integrate(), v_reset=None, fire=lambda u: 0.25).first()
+    assert out["v"] == 0.75

@@ -75,14 +75,16 @@ def kernel_sums(left: DataFrame, right: DataFrame, ident: str = "vec_id", vector
     return part.groupBy(ident).agg(*[F.sum(k).alias(k) for k in KERNELS])
 
 
-def similarity_loss(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
-    """One row: mse, l1 and bce between the cosine of all pairs (clipped to 0..1 for bce) and whether their labels are equal."""
+def similarity_loss(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", label: str = "label", kernel: str = "linear", arg: float = 1.0) -> DataFrame:
+    """One row: mse, l1 and bce between the similarity of all pairs (clipped to 0..1 for bce) and whether their labels are equal.
+
+    The similarity is a kernel's product; the linear one is divided by both norms, which makes it the cosine."""
 
     def reduce(x, y, ids, a, b):
         if not len(ids):
             return pa.table({c: pa.array([], pa.float64()) for c in ("mse", "l1", "bce", "n")})
-        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        s = unit(x) @ unit(y).T
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12) if kernel == "linear" else m
+        s = KERNELS[kernel](unit(x), unit(y), arg)
         same = (a.column(label).to_numpy(zero_copy_only=False)[:, None] == b.column(label).to_numpy(zero_copy_only=False)[None]).astype(float)
         p = np.clip(s, 1e-6, 1 - 1e-6)
         bce = -(same * np.log(p) + (1 - same) * np.log(1 - p))

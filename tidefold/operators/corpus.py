@@ -71,6 +71,12 @@ def take_budget(df: DataFrame, order: str, size: str, budget: int) -> DataFrame:
     return found.withColumn("n_kept", F.least(F.col(size), F.lit(budget) - F.col("__start"))).drop("__start")
 
 
+def capped_stream(df: DataFrame, order: str, tokens: str, budget: int) -> DataFrame:
+    """pos, token: the rows' tokens one after the other, up to the budget: what a capped token file holds."""
+    kept = take_budget(df.withColumn("__size", F.size(tokens).cast("bigint")), order, "__size", budget)
+    return flatten(kept.withColumn("__tokens", F.slice(tokens, F.lit(1), F.col("n_kept").cast("int"))), order, "__tokens")
+
+
 def split_position(stream: DataFrame, total: int, share: float = 0.99, pos: str = "pos") -> DataFrame:
     """Adds part: train before floor(share * total), then valid."""
     return stream.withColumn("part", F.when(F.col(pos) < int(total * share), "train").otherwise("valid"))
@@ -104,6 +110,29 @@ def length_mask(size: Column, longest: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), longest - 1), lambda t: (t < size).cast("int"))
 
 
+def pad_in_batches(df: DataFrame, ids: str, batch: Column, fill: float = 0) -> DataFrame:
+    """df with ids padded to the longest of its batch and mask, 1 where an id is real. Lengths are aggregated and joined: a batch's rows need not meet."""
+    sized = df.withColumn("__b", batch)
+    longest = sized.groupBy(F.col("__b").alias("__of")).agg(F.max(F.size(ids)).alias("__longest"))
+    out = sized.join(longest, F.col("__b").eqNullSafe(F.col("__of")))
+    return out.withColumn("mask", length_mask(F.size(ids), F.col("__longest"))).withColumn(ids, pad(F.col(ids), F.col("__longest"), fill)).drop("__b", "__of", "__longest")
+
+
+def merge_steps(df: DataFrame, steps: int, t: str = "t", n: str = "n") -> DataFrame:
+    """(t, n) as one index tn = t + steps * n."""
+    return df.withColumn("tn", F.col(t) + F.lit(steps) * F.col(n)).drop(t, n)
+
+
+def split_steps(df: DataFrame, steps: int, t: str = "t", n: str = "n") -> DataFrame:
+    """tn as (t, n) again."""
+    return df.withColumn(t, F.col("tn") % steps).withColumn(n, F.expr(f"tn div {steps}")).drop("tn")
+
+
+def embed(ids: DataFrame, table: DataFrame, ident: str, vector: str) -> DataFrame:
+    """ids with the row of a table of vectors for each id: a join, so the table may be of any size."""
+    return ids.join(table.select(ident, vector), ident)
+
+
 def one_hot(label: Column, classes: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: (k == label).cast("int"))
 

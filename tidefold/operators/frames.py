@@ -9,24 +9,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import scan
-from .sampling import uniform
+from .sampling import ranked, uniform
 
 
 def equal_count(events: DataFrame, frames: int, key: str = "sample", order: tuple[str, ...] = ("t", "event_id")) -> DataFrame:
-    """Frame i holds events [i * d, (i + 1) * d) with d = N // frames; the last also holds the remainder. With N < frames all are in the last."""
-    by = Window.partitionBy(key)
-    i, n = F.row_number().over(by.orderBy(*order)) - 1, F.count("*").over(by)
-    return events.withColumn("__i", i).withColumn("__n", n).withColumn(
-        "frame", F.when(F.col("__n") < frames, F.lit(frames - 1)).otherwise(F.least(F.expr(f"__i div greatest(__n div {frames}, 1)"), F.lit(frames - 1))).cast("int")
-    ).drop("__i", "__n")
+    """Frame i holds events [i * d, (i + 1) * d) with d = N // frames; the last also holds the remainder. With N < frames all are in the last.
+
+    The first column of the order is a number. A sample of very many events is ranked in parts."""
+    place = F.when(F.col("__n") < frames, F.lit(frames - 1)).otherwise(F.least(F.expr(f"(__k - 1) div greatest(__n div {frames}, 1)"), F.lit(frames - 1)))
+    return ranked(events, key, order).withColumn("frame", place.cast("int")).drop("__k", "__n")
 
 
 def equal_time(events: DataFrame, frames: int, key: str = "sample", t: str = "t") -> DataFrame:
-    """Frame i holds t0 + [i * dt, (i + 1) * dt) with dt = (last - first) // frames; the last runs to the end. A span under ``frames`` is all in the last."""
-    by = Window.partitionBy(key)
-    out = events.withColumn("__a", F.min(t).over(by)).withColumn("__d", F.expr(f"(max({t}) over (partition by {key}) - min({t}) over (partition by {key})) div {frames}"))
+    """Frame i holds t0 + [i * dt, (i + 1) * dt) with dt = (last - first) // frames; the last runs to the end. A span under ``frames`` is all in the last.
+
+    First and last times are aggregated before they are shuffled and joined to the events: a sample's events need not meet in one task."""
+    spans = events.groupBy(F.col(key).alias("__key")).agg(F.min(t).alias("__a"), F.expr(f"(max({t}) - min({t})) div {frames}").alias("__d"))
+    out = events.join(spans, F.col(key).eqNullSafe(F.col("__key")))
     place = F.least(F.expr(f"({t} - __a) div greatest(__d, 1)"), F.lit(frames - 1))
-    return out.withColumn("frame", F.when(F.col("__d") == 0, F.lit(frames - 1)).otherwise(place).cast("int")).drop("__a", "__d")
+    return out.withColumn("frame", F.when(F.col("__d") == 0, F.lit(frames - 1)).otherwise(place).cast("int")).drop("__key", "__a", "__d")
 
 
 def anchored(events: DataFrame, duration: int, key: str = "sample", order: tuple[str, ...] = ("t", "event_id"), t: str = "t") -> DataFrame:

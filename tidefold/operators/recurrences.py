@@ -18,15 +18,20 @@ KEYS, ORDER = ("sample",), ("t", "event_id")
 Charge = Callable[[float, float], float]
 
 
-def neuron(df: DataFrame, charge: Charge, theta: float = 1.0, v_reset: float | None = 0.0, v0: float | None = None, x: str = "x", emit: Callable[[float], float] | None = None, keys=KEYS, order=ORDER) -> DataFrame:
+def neuron(df: DataFrame, charge: Charge, theta: float = 1.0, v_reset: float | None = 0.0, v0: float | None = None, x: str = "x", emit: Callable[[float], float] | None = None, keys=KEYS, order=ORDER, fire: Callable[[float], float] | None = None) -> DataFrame:
     """v = charge(v, x); s = v >= theta; then v = v_reset on a spike, or v - theta if v_reset is None. Adds spike and v (after the reset).
 
-    ``emit`` replaces the output s by a function of the charged v (an activation output); the spike still resets. A null input counts as 0."""
+    ``emit`` replaces the output s by a function of the charged v (an activation output); the spike still resets. ``fire`` is a surrogate in the step's place:
+    s = fire(v - theta), any number, is the output and resets in proportion. A null input counts as 0."""
     first = (0.0 if v_reset is None else v_reset) if v0 is None else v0
 
     def step(v, value):
         v = charge(v, value or 0.0)
         s = 1 if v >= theta else 0
+        if fire is not None:
+            out = fire(v - theta)
+            v = v - out * theta if v_reset is None else (1 - out) * v + out * v_reset
+            return v, (s, v, out)
         out = float(s) if emit is None else emit(v)
         if s:
             v = v - theta if v_reset is None else v_reset

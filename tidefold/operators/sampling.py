@@ -18,20 +18,62 @@ def uniform_sql(seed: int, *ident: str) -> str:
     return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT / 4294967296.0)"
 
 
+#: Rows of a group that are put in order together, about.
+PART_ROWS = 4096
+
+
+def _parted(df: DataFrame, group: str, order: Column) -> tuple[DataFrame, DataFrame]:
+    """df with __n (rows of its group) and __part, and the rows before each part: (__g, __p, __before).
+
+    A group's span of ``order``, a number, is cut into equal parts, one for each PART_ROWS rows; nulls come first."""
+    v = order.cast("double")
+    spans = df.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__n"), F.min(v).alias("__lo"), F.max(v).alias("__hi"))
+    parts = F.expr(f"1 + __n div {PART_ROWS}")
+    share = (v - F.col("__lo")) / F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo"))
+    at = F.coalesce(F.least(F.floor(share * parts), parts - 1), F.lit(0)).cast("bigint")
+    out = df.join(spans, F.col(group).eqNullSafe(F.col("__g"))).withColumn("__part", at).drop("__g", "__lo", "__hi")
+    counts = out.groupBy(F.col(group).alias("__g"), F.col("__part").alias("__p")).agg(F.count("*").alias("__c"), F.first("__n").alias("__all"))
+    before = F.coalesce(F.sum("__c").over(Window.partitionBy("__g").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return out, counts.select("__g", "__p", "__all", before.alias("__before"))
+
+
+def ranked(df: DataFrame, group: str, order: tuple[str, ...]) -> DataFrame:
+    """df with __k, the place of a row in its group from 1, and __n, the rows of the group. The first column of the order is a number."""
+    out, parts = _parted(df, group, F.col(order[0]))
+    inner = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order))
+    out = out.withColumn("__inner", inner).join(parts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    return out.withColumn("__k", F.col("__before") + F.col("__inner")).drop("__inner", "__part", "__g", "__p", "__all", "__before")
+
+
+def _cut(df: DataFrame, group: str, order: list[Column], wanted: Column) -> DataFrame:
+    """(__g, __cut): the order of the last of the first ``wanted`` (of __all) rows of each group. Only the part that holds it is put in order."""
+    keyed = df.select(F.col(group).alias("g"), *[c.alias(f"o{k}") for k, c in enumerate(order)])
+    rows, parts = _parted(keyed, "g", F.col("o0"))
+    edge = parts.withColumn("__want", wanted).where("__before < __want").groupBy("__g", "__want").agg(F.max(F.struct("__p", "__before")).alias("e"))
+    edge = edge.select("__g", "__want", F.col("e.__p").alias("__p"), F.col("e.__before").alias("__before"))
+    inside = rows.join(edge, F.col("g").eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    names = [f"o{k}" for k in range(len(order))]
+    inside = inside.withColumn("__k", F.col("__before") + F.row_number().over(Window.partitionBy("__g").orderBy(*names)))
+    return inside.where("__k <= __want").groupBy("__g").agg(F.max(F.struct(*names)).alias("__cut"))
+
+
+def _up_to(order: list[Column]) -> Column:
+    return F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)]) <= F.col("__cut")
+
+
 def subset(df: DataFrame, ratio: float, seed: int, group: str, ident: str, randomly: bool = True) -> DataFrame:
-    """floor(ratio * n) rows of each group: hashed order, or by id."""
+    """floor(ratio * n) rows of each group: hashed order, or by id (a distinct number)."""
     order = [uniform(seed, F.col(ident)), F.col(ident)] if randomly else [F.col(ident)]
-    n = F.count("*").over(Window.partitionBy(group))
-    k = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("__k", k).withColumn("__n", n).where(F.col("__k") <= F.floor(F.lit(ratio) * F.col("__n"))).drop("__k", "__n")
+    cut = _cut(df, group, order, F.floor(F.lit(ratio) * F.col("__all")))
+    return df.join(cut, F.col(group).eqNullSafe(F.col("__g"))).where(_up_to(order)).drop("__g", "__cut")
 
 
 def stratified(df: DataFrame, ratio: float, group: str, ident: str, seed: int | None = None) -> DataFrame:
-    """Adds is_train: the first ceil(ratio * n) rows of each class by id, or in a hashed order with a seed."""
+    """Adds is_train: the first ceil(ratio * n) rows of each class by id (a distinct number), or in a hashed order with a seed."""
     order = [F.col(ident)] if seed is None else [uniform(seed, F.col(ident)), F.col(ident)]
-    n = F.count("*").over(Window.partitionBy(group))
-    k = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    return df.withColumn("is_train", (k <= F.ceil(F.lit(ratio) * n)).cast("int"))
+    cut = _cut(df, group, order, F.ceil(F.lit(ratio) * F.col("__all")))
+    out = df.join(cut, F.col(group).eqNullSafe(F.col("__g")), "left")
+    return out.withColumn("is_train", F.coalesce(_up_to(order), F.lit(False)).cast("int")).drop("__g", "__cut")
 
 
 def multinomial(dist: DataFrame, row: str, item: str, p: str, seed: int) -> DataFrame:

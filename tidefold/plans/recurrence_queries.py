@@ -54,6 +54,20 @@ def neuron_plif(spark, d):
     return _shown(rec.neuron(_input(spark, d), rec.parametric(0.5)))
 
 
+_SURROGATE = "1 / (1 + exp(-4.0::DOUBLE * (h - 1)))"
+
+
+@query(
+    f"""WITH RECURSIVE {EVENTS_SQL}, inp AS (SELECT sample, event_id, i, value / 100 AS x FROM ev),
+r AS (SELECT sample, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0.0::DOUBLE AS s, 0.0::DOUBLE AS v FROM (SELECT DISTINCT sample FROM inp) UNION ALL
+  SELECT sample, i, event_id, {_SURROGATE}, (1 - {_SURROGATE}) * h FROM (SELECT e.sample, e.i, e.event_id, r.v + (e.x - r.v) / 2 AS h FROM r JOIN inp e ON e.sample = r.sample AND e.i = r.i + 1))
+SELECT event_id, round(s, 6) AS out, round(v, 6) AS v FROM r WHERE i > 0"""
+)
+def neuron_surrogate(spark, d):
+    out = rec.neuron(_input(spark, d), rec.leaky(2.0), fire=lambda u: 1 / (1 + math.exp(-4.0 * u)))
+    return out.select("event_id", F.round("out", 6).alias("out"), F.round("v", 6).alias("v"))
+
+
 @query(_neuron_sql("r.v / 2.3::DOUBLE + e.x", reset="h - 1"))
 def neuron_learnable(spark, d):
     return _shown(rec.neuron(_input(spark, d), rec.learnable(2.3), v_reset=None))

@@ -111,6 +111,42 @@ def similarity_loss(spark, d):
     return vectors.similarity_loss(table(spark, d, "embeddings")).select(*[F.round(c, 6).alias(c) for c in ("mse", "l1", "bce")])
 
 
+_DOT, _GAP = "list_inner_product(a.v, b.v)", "(a.n + b.n - 2 * list_inner_product(a.v, b.v))"
+_KERNEL_SQL = {"polynomial": f"power({_DOT}, 2.0)", "sigmoid": f"1 / (1 + exp(-2.0::DOUBLE * {_DOT}))", "gaussian": f"exp(-greatest({_GAP}, 0) / 2)"}
+_KERNEL_ARG = {"polynomial": 2.0, "sigmoid": 2.0, "gaussian": 1.0}
+
+
+@query(
+    "WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) AS n FROM embeddings), "
+    + ", ".join(f"{k} AS (SELECT '{k}' AS kernel, avg(power(s - y, 2)) AS mse, avg(abs(s - y)) AS l1, avg(-(y * ln(q) + (1 - y) * ln(1 - q))) AS bce FROM (SELECT *, least(greatest(s, 1e-6), 1 - 1e-6) AS q FROM (SELECT {x} AS s, (a.label = b.label)::INT AS y FROM e a, e b)))" for k, x in _KERNEL_SQL.items())
+    + " SELECT kernel, round(mse, 6) AS mse, round(l1, 6) AS l1, round(bce, 6) AS bce FROM ("
+    + " UNION ALL ".join(f"SELECT * FROM {k}" for k in _KERNEL_SQL)
+    + ")"
+)
+def kernel_losses(spark, d):
+    e = table(spark, d, "embeddings")
+    rows = [vectors.similarity_loss(e, kernel=k, arg=a).select(F.lit(k).alias("kernel"), *[F.round(c, 6).alias(c) for c in ("mse", "l1", "bce")]) for k, a in _KERNEL_ARG.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query("SELECT turn_id, (k % 64)::BIGINT AS id, list_transform(embedding, lambda v: CASE WHEN v >= 0 THEN 1 ELSE 0 END) AS bits FROM (SELECT conv_id * 1000 + turn AS turn_id, (conv_id * 7 + turn) AS k FROM conversations) JOIN embeddings ON vec_id = k % 64")
+def embedding_lookup(spark, d):
+    i = F.col("conv_id") * 7 + F.col("turn")
+    ids = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("turn_id"), (i % 64).alias("id"))
+    found = corpus.embed(ids, table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id", "embedding")
+    return found.select("turn_id", "id", F.transform("embedding", lambda v: scalar.heaviside(v)).alias("bits"))
+
+
+@query(
+    """WITH u AS (SELECT vec_id AS n, (k - 1)::BIGINT AS t, embedding[k]::DOUBLE AS v FROM (SELECT *, unnest(range(1, 9)) AS k FROM embeddings))
+SELECT t + 8 * n AS tn, t, n, round(v, 6) AS v FROM u"""
+)
+def merged_steps(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("n"), F.posexplode(F.slice("embedding", 1, 8)).alias("t", "v")).withColumn("t", F.col("t").cast("bigint"))
+    merged = corpus.merge_steps(e, 8)
+    return corpus.split_steps(merged.withColumn("kept", F.col("tn")), 8).select(F.col("kept").alias("tn"), "t", "n", F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
 @query(
     """WITH e AS (SELECT vec_id, (k - 1)::INT AS k, embedding[k]::DOUBLE AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS k FROM embeddings)), s AS (SELECT vec_id, avg(x) AS m, var_pop(x) AS v FROM e GROUP BY vec_id)
 SELECT e.vec_id, e.k, round((x - m) / sqrt(v + 0.00001::DOUBLE), 5) AS y FROM e JOIN s USING (vec_id)"""
@@ -179,7 +215,15 @@ def surrogate_slopes(spark, d):
     return _x(spark, d).select("event_id", *[F.round(F.expr(scalar.slope(k, 3.0)), 6).alias(k) for k in scalar.SLOPES])
 
 
-@query()
+# erf as its series of positive terms, exp(-z^2) 2^n z^(2n+1) / (1 * 3 * .. * (2n+1)); enough of them for |z| < 4
+_ODD_LOGS = np.cumsum(np.log(2 * np.arange(80) + 1)).tolist()
+
+
+@query(
+    f"""{X_SQL}, z AS (SELECT event_id, 2 * x AS z FROM xs),
+t AS (SELECT event_id, CASE WHEN z = 0 THEN 0 ELSE sign(z) * list_sum(list_transform(range(80), lambda n: exp((2 * n + 1) * ln(abs(z)) + n * ln(2) - z * z - ({_ODD_LOGS}::DOUBLE[])[n + 1]))) END AS s FROM z)
+SELECT event_id, round((1 + 2 / sqrt(pi()) * s) / 2, 6) AS y FROM t"""
+)
 def erf_step(spark, d):
     return _x(spark, d).select("event_id", F.round(scalar.erf_step(F.col("x")), 6).alias("y"))
 

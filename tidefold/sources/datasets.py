@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frames
+from ..operators.sampling import stratified
 from .binary import read_events
 from .text import label_of, write_frames
 
 
+Hook = Callable[[DataFrame], DataFrame]
+
+
 @dataclass(frozen=True)
 class Layout:
     """A dataset's decoder, file pattern and sensor size (height, width)."""
@@ -34,10 +39,20 @@ LAYOUTS = {
 }
 
 
-def load(spark: SparkSession, name: str, root: str) -> DataFrame:
-    """sample (the file), event_id, t, x, y, p, label (the file's folder) of all files of a dataset below root."""
+def load(spark: SparkSession, name: str, root: str, transform: Hook | None = None, target_transform: Callable[[Column], Column] | None = None) -> DataFrame:
+    """sample (the file), event_id, t, x, y, p, label (the file's folder) of all files of a dataset below root.
+
+    transform is applied to the events of all samples (a DataFrame function, keyed by sample), target_transform to the label."""
     layout = LAYOUTS[name]
-    return read_events(spark, root, layout.kind, layout.pattern).withColumnRenamed("path", "sample").withColumn("label", label_of(F.col("sample")))
+    events = read_events(spark, root, layout.kind, layout.pattern).withColumnRenamed("path", "sample").withColumn("label", label_of(F.col("sample")))
+    events = transform(events) if transform else events
+    return events.withColumn("label", target_transform(F.col("label"))) if target_transform else events
+
+
+def split_samples(samples: DataFrame, ratio: float, seed: int | None = None) -> DataFrame:
+    """samples(sample, label, number) with split: train for the first part of each label by number, or in a hashed order with a seed; test for the rest."""
+    cut = stratified(samples, ratio, "label", "number", seed)
+    return cut.withColumn("split", F.when(F.col("is_train") == 1, "train").otherwise("test")).drop("is_train")
 
 
 def to_frames(events: DataFrame, rule: str, value: int) -> DataFrame:
@@ -46,8 +61,8 @@ def to_frames(events: DataFrame, rule: str, value: int) -> DataFrame:
     return frames.histogram(framed).join(events.select("sample", "label").distinct(), "sample")
 
 
-def build(spark: SparkSession, name: str, root: str, out: str, rule: str, value: int, split: str = "all") -> str:
+def build(spark: SparkSession, name: str, root: str, out: str, rule: str, value: int, split: str = "all", transform: Hook | None = None, target_transform: Callable[[Column], Column] | None = None) -> str:
     """Writes the frames of a dataset once to a folder named by rule and value, partitioned by split and label; returns the folder."""
     to = f"{out.rstrip('/')}/{name}_{rule}_{value}"
-    write_frames(to_frames(load(spark, name, root), rule, value).withColumn("split", F.lit(split)), to)
+    write_frames(to_frames(load(spark, name, root, transform, target_transform), rule, value).withColumn("split", F.lit(split)), to)
     return to

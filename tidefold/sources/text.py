@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NODE = "struct<mean:double,std:double,tau:double,threshold:double>"
@@ -48,6 +48,31 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_vocabulary(vocabulary: DataFrame, path: str) -> None:
+    """A JSON document {"id": "symbol", ..} of a vocabulary(symbol, id): one row, bounded by the number of code points."""
+    entries = F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("id").cast("string"), "symbol"))))
+    vocabulary.agg(F.to_json(entries).alias("value")).write.mode("overwrite").text(path)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("id", "symbol")).select("symbol", F.col("id").cast("bigint").alias("id"))
+
+
+def markdown(df: DataFrame, title: str, order: list[str]) -> DataFrame:
+    """(line_no, line): a Markdown report of a table in ``order`` (distinct). Numbers must be strings by then; nulls are empty cells.
+
+    The order is a window without a partition: a report is a small table."""
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in df.columns]), F.lit(" |"))
+    head = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "-|" * len(df.columns)]
+    lines = df.select((F.row_number().over(Window.orderBy(*order)) + len(head)).cast("int").alias("line_no"), row.alias("line"))
+    return df.sparkSession.createDataFrame(list(enumerate(head, 1)), "line_no int, line string").unionByName(lines)
+
+
+def write_markdown(lines: DataFrame, path: str) -> None:
+    lines.coalesce(1).sortWithinPartitions("line_no").select("line").write.mode("overwrite").text(path)
+
+
 def write_frames(df: DataFrame, path: str, by: tuple[str, ...] = ("split", "label"), codec: str = "zstd") -> None:
     """Partitioned parquet in place of a directory tree of archives."""
     df.write.mode("overwrite").partitionBy(*by).option("compression", codec).parquet(path)
@@ -77,6 +102,12 @@ def label_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -2)
 
 
+def cut_silence(wave: Column, length: int, start: Column) -> Column:
+    """A crop of ``length`` samples of a longer recording, from a place drawn as ``start`` in [0, 1)."""
+    at = F.floor(start * (F.size(wave) - length + 1)).cast("int") + 1
+    return F.when(F.size(wave) > length, F.slice(wave, at, length)).otherwise(wave)
+
+
 def peak_normalise(wave: Column) -> Column:
     """Divided by the largest absolute value; silence stays as it is."""
     peak = F.array_max(F.transform(wave, lambda x: F.abs(x)))
