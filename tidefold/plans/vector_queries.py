@@ -215,13 +215,13 @@ def surrogate_slopes(spark, d):
     return _x(spark, d).select("event_id", *[F.round(F.expr(scalar.slope(k, 3.0)), 6).alias(k) for k in scalar.SLOPES])
 
 
-# erf as its series of positive terms, exp(-z^2) 2^n z^(2n+1) / (1 * 3 * .. * (2n+1)); enough of them for |z| < 4
-_ODD_LOGS = np.cumsum(np.log(2 * np.arange(80) + 1)).tolist()
+# erf as its series of positive terms, exp(-z^2) 2^n z^(2n+1) / (1 * 3 * .. * (2n+1)); beyond |z| = 6 it is 1 in doubles
+_ODD_LOGS = np.cumsum(np.log(2 * np.arange(160) + 1)).tolist()
 
 
 @query(
-    f"""{X_SQL}, z AS (SELECT event_id, 2 * x AS z FROM xs),
-t AS (SELECT event_id, CASE WHEN z = 0 THEN 0 ELSE sign(z) * list_sum(list_transform(range(80), lambda n: exp((2 * n + 1) * ln(abs(z)) + n * ln(2) - z * z - ({_ODD_LOGS}::DOUBLE[])[n + 1]))) END AS s FROM z)
+    f"""{X_SQL}, z AS (SELECT event_id, least(greatest(2 * x, -6), 6) AS z FROM xs),
+t AS (SELECT event_id, CASE WHEN z = 0 THEN 0 ELSE sign(z) * list_sum(list_transform(range(160), lambda n: exp((2 * n + 1) * ln(abs(z)) + n * ln(2) - z * z - ({_ODD_LOGS}::DOUBLE[])[n + 1]))) END AS s FROM z)
 SELECT event_id, round((1 + 2 / sqrt(pi()) * s) / 2, 6) AS y FROM t"""
 )
 def erf_step(spark, d):
