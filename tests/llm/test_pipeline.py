@@ -38,11 +38,11 @@ def test_pipeline_runs_without_documents(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_op9_and_op5_equal_sql(spark):
+def test_operators_equal_sql(spark):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         got = sorted(map(tuple, QUERIES[name](spark, SF).collect()))

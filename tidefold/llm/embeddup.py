@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
+from .neardup import components_sql
 from .runtime import ship, stored
 
 COSINE = 0.98
@@ -206,3 +207,14 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     out = rows.select("id", *key).join(per_class, key, "left")
     out = out.select(F.col("id").alias(id_col), F.when(F.col("id").isNull(), 0).otherwise(F.coalesce("n_links", F.lit(0))).alias("n_links"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+#: DuckDB SQL for near_vectors() over the table embeddings, for distinct ids and vectors of one length: all pairs of a label.
+NEAR_VECTORS_SQL = f"""
+WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings),
+u AS (SELECT id, label, x, sqrt(list_inner_product(x, x)) AS n FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+links AS (SELECT a.id AS x, b.id AS y FROM u a JOIN u b ON a.label = b.label AND a.id <> b.id WHERE a.n > 0 AND b.n > 0 AND list_inner_product(a.x, b.x) / a.n / b.n >= {COSINE}),
+k AS (SELECT x AS id, count(*) AS n FROM links GROUP BY x),
+{components_sql("v")}
+SELECT v.id AS vec_id, coalesce(k.n, 0) AS n_links, component_id, v.id = component_id AS kept FROM v JOIN component USING (id) LEFT JOIN k USING (id)
+"""

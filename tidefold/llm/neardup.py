@@ -326,6 +326,29 @@ def _standing(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents for which another of their component stays; all columns unchanged. Of rows alike in id, one stays."""
+    """docs without the documents for which another of their component stays; all columns unchanged. Of rows alike in id, the one with the smallest hash of all
+    columns stays: the same one whichever task finds it."""
     kept = near_duplicates(docs, id_col, text_col).where("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    out = docs.join(kept, id_col, "left_semi").select(*docs.columns)
+    if _unique(docs.select(F.col(id_col).alias("id"))):
+        return out
+    least = out.groupBy(F.col(id_col).alias("__id")).agg(F.min(F.xxhash64(*docs.columns)).alias("__row"))
+    return out.join(least, (F.col(id_col) == F.col("__id")) & (F.xxhash64(*docs.columns) == F.col("__row")), "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+
+
+def components_sql(nodes: str) -> str:
+    """CTEs after links(x, y), each link both ways: component(id, component_id) of all ids of table nodes(id)."""
+    return f"""reach(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+component AS (SELECT n.id, least(n.id, coalesce(min(r.y), n.id)) AS component_id FROM {nodes} n LEFT JOIN reach r ON r.x = n.id GROUP BY n.id)"""
+
+
+#: DuckDB SQL for near_duplicates() over the table documents, for distinct ids: all pairs that share a shingle, by an inverted index.
+NEAR_DUPLICATES_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+sh AS (SELECT DISTINCT id, array_to_string(w[i:i+{SHINGLE - 1}], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+both_have AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id),
+links AS (SELECT x, y FROM both_have JOIN n p ON p.id = x JOIN n q ON q.id = y WHERE 100 * c >= {SIMILAR} * (p.n + q.n - c)),
+{components_sql("d")}
+SELECT d.id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.id = component_id AS kept FROM d JOIN component USING (id) LEFT JOIN n USING (id)
+"""

@@ -80,6 +80,8 @@ SELECT p.page_id, p.host, p.path, m.rule, coalesce(m.verdict, 'allow') AS verdic
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_minhash": neardup.NEAR_DUPLICATES_SQL,
+    "op3_embedding_neardup": embeddup.NEAR_VECTORS_SQL,
     "op5_url_filter": _URL_SQL,
     "op9_quality_rules": quality_rules.JUDGE_SQL,
 }
