@@ -603,3 +603,17 @@ def test_rows_without_id_are_learned_from_and_languages_are_bounded(spark, monke
     net = langid.learn(_docs(spark, rows))
     assert net.langs == ["de", "en"]
     assert langid.predict(net, ["und der Hund die Katze", "and the dog the cat", None, ""])[0] == ["de", "en", "und", "und"]
+
+
+def test_scratch_of_a_stage_goes_with_it(spark):
+    from tidefold.llm import runtime
+
+    first = runtime.stored(spark, spark.range(3), "first")
+
+    def make():
+        inner = runtime.stored(spark, spark.range(5), "inner")
+        return inner.where("id > 0")
+
+    out = runtime.settled(spark, make, "outer")
+    paths = [p for _, p in runtime._SCRATCH]
+    assert out.count() == 4 and first.count() == 3 and out._stored_at in paths and not any("/inner-" in p for p in paths)

@@ -1,4 +1,4 @@
-"""What the operators share: shipping this package to executors, shared scratch tables, fresh names."""
+"""What the operators share: shipping this package to executors and shared scratch tables."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,7 +23,9 @@ ARROW_ROWS, ARROW_BYTES = "512", str(16 << 20)
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor, once for each application, and bound the Arrow batches."""
+    """Make this package importable on every executor, once for each application, and bound the Arrow batches.
+
+    The bounds are settings of the session and stay: a lazy plan reads them only when it runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     app = spark.sparkContext.applicationId
@@ -69,6 +72,16 @@ def discard(df: DataFrame) -> None:
         _SCRATCH[:] = [x for x in _SCRATCH if x[1] != path]
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], tag: str) -> DataFrame:
+    """make() stored; the scratch tables that it stored on the way are deleted, as nothing reads them any more."""
+    before = {path for _, path in _SCRATCH}
+    out = stored(spark, make(), tag)
+    for path in [p for _, p in _SCRATCH if p not in before and p != out._stored_at]:
+        _delete(spark, path)
+        _SCRATCH[:] = [x for x in _SCRATCH if x[1] != path]
+    return out
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -85,16 +98,6 @@ def _clean() -> None:
                 return
 
 
-def fresh(df: DataFrame, base: str) -> str:
-    """A column name that df does not have, whatever its extra columns are called."""
-    taken = {c.lower() for c in df.columns}
-    name, k = base, 0
-    while name.lower() in taken:
-        k += 1
-        name = f"{base}_{k}"
-    return name
-
-
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the fifth of the documents that no model may learn from."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0

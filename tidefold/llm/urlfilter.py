@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .runtime import ship
 
 MAGIC = b"URLDIG01"
-#: Entries that one file may hold: 8 bytes of key and 8 of offset each, beside the strings. Larger lists are split by host.
+#: Entries that one file may hold: 8 bytes of key and 8 of offset each, beside the strings. Larger lists are refused.
 MOST_ENTRIES = 50_000_000
 
 
@@ -118,10 +118,12 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]], id_col:
     spark = pages.sparkSession
     ship(spark)
     rules = list(rules)
-    name = f"urls-{hashlib.md5(repr(rules).encode()).hexdigest()}.dig"
-    path = os.path.join(tempfile.gettempdir(), name)
-    write_digests(rules, path)
-    spark.sparkContext.addFile(path)
+    name = f"urls-{hashlib.md5(repr(rules).encode()).hexdigest()}-{spark.sparkContext.applicationId}.dig"
+    if not any(f.endswith(f"/{name}") for f in spark.sparkContext.listFiles):
+        # a folder of its own: no other process writes or shortens a file that is being read
+        path = os.path.join(tempfile.mkdtemp(prefix="urls"), name)
+        write_digests(rules, path)
+        spark.sparkContext.addFile(path)
 
     def run(batches):
         file = DigestFile(SparkFiles.get(name))
