@@ -617,3 +617,18 @@ def test_scratch_of_a_stage_goes_with_it(spark):
     out = runtime.settled(spark, make, "outer")
     paths = [p for _, p in runtime._SCRATCH]
     assert out.count() == 4 and first.count() == 3 and out._stored_at in paths and not any("/inner-" in p for p in paths)
+
+
+def test_sketches_rule_out_only_dissimilar_rows():
+    rng = np.random.default_rng(12)
+    base = [np.unique(rng.integers(0, 2**64, 400, dtype=np.uint64)) for _ in range(3)]
+    sets = [np.unique(np.concatenate([b[: 400 - cut], rng.integers(0, 2**64, cut, dtype=np.uint64)])) for b in base for cut in (0, 10, 40, 55)]
+    mini = neardup.sketch(sets).astype(np.uint8)
+    size, n = np.array([len(s) for s in sets]), len(sets)
+    alone = np.arange(n)
+    assert neardup._doubtful(size, alone, np.zeros(n, int), mini).tolist() == list(range(n))  # each has a similar one of another label
+    assert neardup._doubtful(size, alone // 4, np.zeros(n, int), mini).tolist() == []  # other labels are other texts here
+    side = (alone >= 8).astype(int)
+    assert neardup._doubtful(size, alone, side, mini).tolist() == []
+    assert neardup._doubtful(size, alone, (alone % 2).astype(int), mini).tolist() == list(range(n))
+    assert neardup._doubtful(size * np.where(alone % 2, 2, 1), alone, (alone % 2).astype(int), mini).tolist() == []  # sizes too far apart

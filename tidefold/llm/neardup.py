@@ -10,13 +10,17 @@ make candidates: a pair at the threshold 0.75 is missed by all BANDS bands with
 Texts with equal shingle sets are one class. Members of a bucket are compared with the bucket's
 smallest id first. Where they are still in different components, a bucket of at most SMALL members
 lists the pairs left; in a larger one, the members outside the smallest id's component meet all
-others block by block, as products of incidence matrices, and no pairs are listed. So every
-candidate pair is either tested on full sets or already in one component.
+others block by block, as products of incidence matrices, and no pairs are listed. Blocks first meet
+with their sizes and a byte of each coordinate: full texts go only to the blocks where some pair's
+estimate is not more than DOUBT standard deviations under the threshold (a similar pair fails that with
+probability 1e-9). So every candidate pair is either tested on full sets, or already in one component,
+or ruled out by its sizes or sketches.
 """
 
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -33,6 +37,9 @@ BANDS, ROWS = 48, 5
 T = BANDS * ROWS
 #: Members of a bucket whose pairs may be listed; rows of a block in larger ones; shingles of one matrix product.
 SMALL, BLOCK, COLUMNS = 24, 192, 8192
+#: Standard deviations that the estimate of a pair may lie under the threshold; fewest equal coordinates of T that this leaves.
+DOUBT = 6
+FEWEST = int(T * SIMILAR / 100 - DOUBT * (T * SIMILAR * (100 - SIMILAR) / 10_000) ** 0.5)
 #: Shingles that are sketched, or ordered for a product, at a time.
 PORTION = 1 << 18
 #: Odd multipliers of the mixers (fixed values).
@@ -116,20 +123,20 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         for b in batches:
             sets = [shingle_set(t) for t in b.column(1).to_pylist()]
             some = [k for k, s in enumerate(sets) if len(s)]
-            keys = np.zeros((0, BANDS), np.int64)
-            if some:
-                keys = np.concatenate([band_keys(sketch([sets[k] for k in part])) for part in _portions(some, [len(sets[k]) for k in some])])
             digest: list[tuple[int | None, int | None]] = [(None, None)] * len(sets)
             bands: list[np.ndarray | None] = [None] * len(sets)
-            for row, k in enumerate(some):
-                d = np.frombuffer(xxhash.xxh3_128_digest(sets[k].tobytes()), "<i8")
-                digest[k], bands[k] = (int(d[0]), int(d[1])), keys[row]
+            mini: list[bytes | None] = [None] * len(sets)
+            for part in _portions(some, [len(sets[k]) for k in some]) if some else ():
+                coordinates = sketch([sets[k] for k in part])
+                for k, keys, low in zip(part, band_keys(coordinates), coordinates.astype(np.uint8), strict=True):
+                    d = np.frombuffer(xxhash.xxh3_128_digest(sets[k].tobytes()), "<i8")
+                    digest[k], bands[k], mini[k] = (int(d[0]), int(d[1])), keys, low.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digest], pa.int64()), pa.array([d[1] for d in digest], pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["id", "n_shingles", "d1", "d2", "bands"],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digest], pa.int64()), pa.array([d[1] for d in digest], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(mini, pa.binary())],
+                names=["id", "n_shingles", "d1", "d2", "bands", "mini"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id bigint, n_shingles bigint, d1 bigint, d2 bigint, bands array<bigint>, mini binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -196,7 +203,39 @@ def _block_links(ids: np.ndarray, label: np.ndarray, side: np.ndarray, sets: lis
     return ids[out], ids[root[out]]
 
 
-def _blocks(labelled: DataFrame, texts: DataFrame) -> DataFrame:
+def _doubtful(size: np.ndarray, label: np.ndarray, side: np.ndarray, mini: np.ndarray) -> np.ndarray:
+    """The rows that, by sizes and sketches, may be similar to one of another label: of side 0 to side 1, or within side 0 where there is no side 1."""
+    a = np.flatnonzero(side == 0)
+    b = np.flatnonzero(side == 1) if (side == 1).any() else a
+    equal = np.zeros((len(a), len(b)), np.int16)
+    for x, y in zip(mini[a].T, mini[b].T, strict=True):
+        equal += x[:, None] == y[None]
+    low, high = np.minimum(size[a][:, None], size[b][None]), np.maximum(size[a][:, None], size[b][None])
+    hit = (equal >= FEWEST) & (100 * low >= SIMILAR * high) & (label[a][:, None] != label[b][None])
+    return np.unique(np.concatenate([a[hit.any(1)], b[hit.any(0)]]))
+
+
+def _by_task(rows: DataFrame, work: Callable[[tuple, list[tuple]], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """work((key, i, j), rows of the task) over rows(key, i, j, ..): one task's rows are held at a time."""
+    dealt = rows.repartition(spread(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def run(batches):
+        held: list[tuple] = []
+        now = None
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if row[:3] != now:
+                    if held and (out := work(now, held)) is not None:
+                        yield out
+                    now, held = row[:3], []
+                held.append(row[3:])
+        if held and (out := work(now, held)) is not None:
+            yield out
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _blocks(labelled: DataFrame, texts: DataFrame, minis: DataFrame) -> DataFrame:
     """Links in large mixed buckets: members outside the component of the bucket's smallest id (x) against each other and against those in it (d)."""
     home = labelled.where("id = pivot").select("key", F.col("label").alias("home"))
     # stored, so that each join on the bucket stands alone and a large bucket's rows may be split between tasks
@@ -211,29 +250,24 @@ def _blocks(labelled: DataFrame, texts: DataFrame) -> DataFrame:
     across = F.transform(F.sequence(F.lit(0), nd - 1), lambda k: task(own, nx + k, F.lit(0)))
     of_d = F.transform(F.sequence(F.lit(0), nx - 1), lambda k: task(k, nx + own, F.lit(1)))
     tasks = placed.select("key", "id", "label", F.explode(F.when(F.col("x"), F.when(nd > 0, F.concat(among, across)).otherwise(among)).otherwise(of_d)).alias("m"))
-    rows = tasks.select("key", "m.i", "m.j", "m.side", "id", "label").join(texts, "id").select("key", "i", "j", "side", "id", "label", "text")
-    rows = rows.repartition(spread(labelled.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def run(batches):
-        held: list[tuple] = []
-        now = None
+    tasks = tasks.select("key", "m.i", "m.j", "m.side", "id", "label")
 
-        def done():
-            side, ids, label = (np.array([r[k] for r in held], np.int64) for k in range(3))
-            x, y = _block_links(ids, label, side, [r[3] for r in held])
-            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+    def look(task, rows):
+        side, ids, label, size = (np.array([r[k] for r in rows], np.int64) for k in range(4))
+        at = _doubtful(size, label, side, np.frombuffer(b"".join([r[4] for r in rows]), np.uint8).reshape(len(rows), T))
+        if not len(at):
+            return None
+        fixed = [pa.array([v] * len(at), t) for v, t in zip(task, (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        return pa.RecordBatch.from_arrays([*fixed, pa.array(side[at].astype(np.int32)), pa.array(ids[at]), pa.array(label[at])], names=["key", "i", "j", "side", "id", "label"])
 
-        for b in batches:
-            for key, i, j, side, ident, label, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if (key, i, j) != now:
-                    if held:
-                        yield done()
-                    now, held = (key, i, j), []
-                held.append((side, ident, label, shingle_set(text)))
-        if held:
-            yield done()
+    def link(task, rows):
+        side, ids, label = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        x, y = _block_links(ids, label, side, [shingle_set(r[3]) for r in rows])
+        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    seen = tasks.join(minis, "id").select("key", "i", "j", "side", "id", "label", "size", "mini")
+    doubtful = stored(labelled.sparkSession, _by_task(seen, look, "key bigint, i int, j int, side int, id bigint, label bigint"), "doubtful")
+    return _by_task(doubtful.join(texts, "id").select("key", "i", "j", "side", "id", "label", "text"), link, "a bigint, b bigint")
 
 
 def _freed(spark: SparkSession) -> None:
@@ -298,7 +332,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other = few.select("key", F.col("id").alias("b"), F.col("label").alias("lb"), F.col("size").alias("sb"))
     pairs = few.where("id <> pivot").join(other, "key").where((F.col("id") > F.col("b")) & (F.col("b") != F.col("pivot")) & (F.col("label") != F.col("lb")) & fits("size", "sb"))
     label = take(_verified(pairs.select(F.col("id").alias("a"), "b").distinct(), texts), label)
-    label = take(_blocks(mixed.where(f"n > {SMALL}"), texts), label)
+    minis = reps.select("id", F.col("n_shingles").alias("size"), "mini")
+    label = take(_blocks(mixed.where(f"n > {SMALL}"), texts, minis), label)
     _freed(spark)
 
     out = sk.select("id", "n_shingles")
@@ -344,7 +379,8 @@ component AS (SELECT n.id, least(n.id, coalesce(min(r.y), n.id)) AS component_id
 
 #: DuckDB SQL for near_duplicates() over the table documents, for distinct ids: all pairs that share a shingle, by an inverted index.
 NEAR_DUPLICATES_SQL = rf"""
-WITH RECURSIVE d AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 sh AS (SELECT DISTINCT id, array_to_string(w[i:i+{SHINGLE - 1}], ' ') AS g FROM (SELECT id, w, unnest(range(1, greatest(len(w) - {SHINGLE - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
 both_have AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.id <> b.id GROUP BY a.id, b.id),
