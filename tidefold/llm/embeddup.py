@@ -25,7 +25,7 @@ from .runtime import ship, stored
 COSINE = 0.98
 #: Blocks, code vectors of a block, the cap's height in standard deviations of an inner product with a random filter, and how far below
 #: its best filter a vector's own height is at least, so that a vector far from all filters still shares some with its neighbours.
-BLOCKS, CODE, HEIGHT, MARGIN = 3, 20, 2.9, 0.5
+BLOCKS, CODE, HEIGHT, MARGIN = 3, 20, 3.2, 0.4
 #: Vectors of a bucket that one task compares with as many others.
 SIDE = 256
 
