@@ -17,13 +17,50 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bpe import LONGEST_WORD, PIECES, SETTLED, Encoder, _Memo, words
+from .bpe import LONGEST_WORD, MOST_WORDS, PIECES, SETTLED, Encoder, _Memo, words
 from .runtime import ship
 
 #: Most pairs whose validity a worker remembers.
 MOST_PAIRS = 2_000_000
 
 
+def _packed(counts: list[int]) -> bytes | list[int]:
+    """One byte a count where they fit."""
+    return bytes(counts) if max(counts) < 256 else counts
+
+
+class _Counts(dict):
+    """word -> tokens of lead + word; beside it, in tables, the counts at every prefix of that.
+
+    A sentence end after letters is a piece of its own: such a word's counts are its stem's and one more."""
+
+    def __init__(self, make, lead: str, marks: dict | None = None):
+        super().__init__()
+        self.make, self.lead, self.marks, self.tables = make, lead, marks, {}
+
+    def _stem(self, word: str) -> bool:
+        return self.marks is not None and word[-1:] in (".", ",") and word[:-1].isalpha() and (word.isascii() or max(word) < SETTLED)
+
+    def __missing__(self, word):
+        if self._stem(word):
+            n = self[word[:-1]] + self.marks[word[-1]]
+            if len(self) < MOST_WORDS and len(word) <= LONGEST_WORD:
+                self[word] = n
+            return n
+        table = self.make(self.lead + word)
+        if len(self) < MOST_WORDS and len(word) <= LONGEST_WORD:
+            self[word], self.tables[word] = table[-1], table
+        return table[-1]
+
+    def table(self, word: str) -> bytes | list[int]:
+        found = self.tables.get(word)
+        if found is not None:
+            return found
+        if self._stem(word):
+            return _packed([*self.table(word[:-1]), self[word]])
+        return self.make(self.lead + word)
+
+
 class PrefixCounter:
     """Counts for a rank-ordered byte-level BPE vocabulary file of the tokenizers library (.json),
     or, without prefix tables, for a sentencepiece model (.model)."""
@@ -57,8 +94,9 @@ class PrefixCounter:
             self.joined.setdefault(pair[0] << 20 | pair[1], number[left + right])
         self.number, self.longest = number, max(map(len, number))
         self.fits: dict[int, bool] = {}
-        self.first, self.rest = _Memo(self._word, ""), _Memo(self._spaced, " ")
-        self.piece = _Memo(lambda p: self.table(p)[-1], "")
+        self.first = _Counts(self._word, "")
+        self.rest = _Counts(self._word, " ", self.first)
+        self.piece = _Memo(lambda p: _packed(self._by_characters(p, self.table(p))), "")
 
     def _stands(self, a: int, b: int) -> bool:
         """Whether a, b beside each other stay two tokens: undo merges, latest first, and look for one that would have joined across."""
@@ -115,19 +153,22 @@ class PrefixCounter:
     def _counts(self, word: str) -> list[int]:
         """Tokens of word[:1], word[:2], .. word.
 
-        A cut inside a piece leaves the pieces before it as they are, but for the one right before where the cut comes within the first three
-        characters: there contractions and white space may fall into other pieces, and both are looked at again."""
-        if (word[1:] if word[0] == " " else word).isalpha() and word[-1] < SETTLED and max(word) < SETTLED:
+        A cut inside a piece leaves the pieces before it as they are and the rest a piece, but for two cases, within the first three characters of
+        a piece: a contraction is not one yet, and white space at the end of a text falls into other pieces. There the last two pieces are cut again."""
+        if (word[1:] if word[0] == " " else word).isalpha() and max(word) < SETTLED:
             return self._by_characters(word, self.table(word))
         out: list[int] = []
         done, before, sure = 0, "", 0  # tokens before the last piece; the last piece; its tokens
         for piece in self._pieces(word):
-            counts = self._by_characters(piece, self.table(piece))
-            for k in range(1, min(3, len(piece)) + 1):
-                parts = self._pieces(before + piece[:k])
-                out.append(done + sum(sure if p is before or p == before else self.piece[p] for p in parts))
-            out += [done + sure + c for c in counts[3:]]
-            done, before, sure = done + sure, piece, counts[-1]
+            counts, again = self.piece[piece], 0
+            if piece[0] == "'" or before and piece[0].isspace():
+                again = min(3, len(piece))
+                for k in range(1, again + 1):
+                    parts = self._pieces(before + piece[:k])
+                    out.append(done + sum(sure if p == before else self.piece[p][-1] for p in parts))
+            base = done + sure
+            out += [base + c for c in counts[again:]]
+            done, before, sure = base, piece, counts[-1]
         return out
 
     @staticmethod
@@ -137,17 +178,12 @@ class PrefixCounter:
         return [table[end] for end in accumulate(len(c.encode()) for c in piece)]
 
     def _word(self, word: str) -> bytes | list[int]:
-        """The stored counts of a word: a count at every prefix; one byte each where they fit."""
-        out = self._counts(word) if word else [0]
-        return bytes(out) if max(out) < 256 else out
-
-    def _spaced(self, word: str) -> bytes | list[int]:
-        """A sentence end after letters is a piece of its own: the stem is looked up first."""
-        if word[-2:-1].isalpha() and word[-1] in ".," and word[1:-1].isalpha() and len(word) < LONGEST_WORD and max(word) < SETTLED:
-            stem = self.rest[word[1:-1]]
-            out = [*stem, stem[-1] + self.first[word[-1]][-1]]
-            return bytes(out) if max(out) < 256 else out
-        return self._word(word)
+        """The counts at every prefix of a word, with its leading space if it has one."""
+        if not word:
+            return b"\0"
+        if len(word) < 256 and word.isascii() and (word[1:] if word[0] == " " else word).isalpha():
+            return bytes(self.table(word)[1:])
+        return _packed(self._counts(word))
 
     def _special(self, text: str) -> list[tuple[str, str]]:
         """(text before, added token) in order, with an empty token at the end."""
@@ -162,7 +198,7 @@ class PrefixCounter:
     def _lasts(self, text: str) -> tuple[list[str], list[int]]:
         """The words of a text without added tokens, and the tokens of each."""
         head, *tail = words(text)
-        return [head, *tail], [self.first[head][-1], *[c[-1] for c in map(self.rest.__getitem__, tail)]]
+        return [head, *tail], [self.first[head], *map(self.rest.__getitem__, tail)]
 
     def _holds_added(self, text: str) -> bool:
         return any(a in text for a in self.enc.added)
@@ -181,7 +217,7 @@ class PrefixCounter:
         """Tokens of text[:i] for i = 0 .. len(text): the stored table. Byte-level vocabularies, texts without added tokens."""
         out, base = [0], 0
         for k, w in enumerate(words(text)):
-            counts = self.first[w] if k == 0 else self.rest[w]
+            counts = (self.rest if k else self.first).table(w)
             out += [base + c for c in counts] if w or k else []
             base = out[-1]
         return out
@@ -208,7 +244,7 @@ class PrefixCounter:
         if fit == len(found):
             return len(text)
         kept, used = sum(map(len, found[:fit])) + max(0, fit - 1), sums[fit - 1] if fit else 0
-        counts = self.rest[found[fit]] if fit else self.first[found[0]]
+        counts = (self.rest if fit else self.first).table(found[fit])
         return kept + max((k for k, c in enumerate(counts, 1) if used + c <= budget), default=0)
 
 
