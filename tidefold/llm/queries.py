@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embeddup, langid, mixing, neardup, packing, quality_gam, quality_rules, tokencount, tokenfile, urlfilter
+from . import embeddup, fim, fingerprint, hardneg, langid, mixing, neardup, packing, quality_gam, quality_rules, tokencount, tokenfile, urlfilter
 from .bpe import vocabulary
 
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -52,6 +53,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    vectors = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hardneg.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.fill_in_middle(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored("output", "form"), 256).alias("restored_sha256"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -65,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_quality_rules,
         op10_mixing,
+        op11_hard_negatives,
+        op12_fill_in_middle,
+        op13_fingerprints,
     )
 }
 
@@ -84,4 +103,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_embedding_neardup": embeddup.NEAR_VECTORS_SQL,
     "op5_url_filter": _URL_SQL,
     "op9_quality_rules": quality_rules.JUDGE_SQL,
+    "op11_hard_negatives": hardneg.HARD_NEGATIVES_SQL,
+    "op12_fill_in_middle": fim.FILL_IN_MIDDLE_SQL,
+    "op13_fingerprints": fingerprint.FINGERPRINTS_SQL,
 }
