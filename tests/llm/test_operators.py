@@ -253,7 +253,25 @@ def test_near_duplicates_awkward(spark, awkward, empty):
     assert by[None]["kept"] and by[None]["component_id"] is None and by[0]["n_shingles"] == 0
     assert len({r["component_id"] for r in out if r["doc_id"] == 3}) == 1
     assert neardup.near_duplicates(empty).count() == 0
-    assert {r["doc_id"] for r in neardup.keep_one(awkward).collect()} == {r["doc_id"] for r in out if r["kept"] and r["doc_id"] is not None}
+
+
+def test_keep_one_keeps_every_text(spark, awkward, empty):
+    """Null and repeated ids, clashing columns: a row goes only if a similar one stays."""
+    body = _texts(8, seed=9)
+    rows = [(None, body[0]), (1, body[1]), (1, body[2]), (2, body[3]), (None, body[4]), (3, body[3]), (3, body[3] + " x"), (None, body[3]), (4, ""), (4, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, "e") for i, t in rows], "doc_id bigint, text string, __id int, id int, row int, d0 string")
+    got = sorted(map(tuple, neardup.keep_one(df).select("doc_id", "text").collect()), key=str)
+    assert got == sorted([(None, body[0]), (1, body[1]), (1, body[2]), (2, body[3]), (None, body[4]), (4, ""), (4, ""), (None, None)], key=str)
+    assert neardup.keep_one(df).columns == df.columns and neardup.keep_one(empty).count() == 0
+    # by brute force over rows
+    docs = [(r["doc_id"], r["text"]) for r in awkward.collect()]
+    sets = [neardup.shingle_set(t) for _, t in docs]
+    alike = lambda a, b: len(a) and len(b) and neardup.similar(a, b)
+    kept = [tuple(r) for r in neardup.keep_one(awkward).select("doc_id", "text").collect()]
+    for (i, t), s in zip(docs, sets, strict=True):
+        assert (i, t) in kept or any(alike(s, neardup.shingle_set(u)) for _, u in kept)
+    held = [s for s in map(neardup.shingle_set, (u for _, u in kept)) if len(s)]
+    assert not any(alike(held[a], held[b]) for a in range(len(held)) for b in range(a))
 
 
 def test_block_products_equal_pairs():

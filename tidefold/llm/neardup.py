@@ -361,14 +361,22 @@ def _standing(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the documents for which another of their component stays; all columns unchanged. Of rows alike in id, the one with the smallest hash of all
-    columns stays: the same one whichever task finds it."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(id_col).distinct()
-    out = docs.join(kept, id_col, "left_semi").select(*docs.columns)
-    if _unique(docs.select(F.col(id_col).alias("id"))):
-        return out
-    least = out.groupBy(F.col(id_col).alias("__id")).agg(F.min(F.xxhash64(*docs.columns)).alias("__row"))
-    return out.join(least, (F.col(id_col) == F.col("__id")) & (F.xxhash64(*docs.columns) == F.col("__row")), "left_semi").dropDuplicates([id_col]).select(*docs.columns)
+    """One row of each group of near-duplicate rows, the one with the smallest id; all columns unchanged, whatever their names.
+
+    Rows are compared as rows: where ids are null or repeat, each row is a document of its own, so a text goes only if its group has another row. Rows without an
+    id come after all others; of rows alike in id, one stays (the same on every run over the same files). Rows without words have no group and stay."""
+    spark = docs.sparkSession
+    names = [f"d{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    ident, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    if rows.where(F.col(ident).isNull()).isEmpty() and _unique(rows.select(F.col(ident).alias("id"))):
+        kept = near_duplicates(rows, ident, text).where("kept").select(ident)
+        return rows.join(kept, ident, "left_semi").select(*names).toDF(*docs.columns)
+    numbered = stored(spark, rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    groups = near_duplicates(numbered, "row", text).select("row", "component_id")
+    order = F.struct(F.col(ident).isNull().alias("none"), F.col(ident).alias("id"), F.col("row"))
+    first = groups.join(numbered.select("row", ident), "row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row")
+    return numbered.join(first, "row", "left_semi").select(*names).toDF(*docs.columns)
 
 
 def components_sql(nodes: str) -> str:
