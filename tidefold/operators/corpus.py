@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import HOT_ROWS, ranged
+
 #: Ordinals of one part of a two-level running sum.
 PART = 4096
 
@@ -141,9 +143,11 @@ def redundant_one_hot(label: Column, classes: int, slots: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(classes * slots - 1)), lambda k: (F.floor(k / slots) == label).cast("int"))
 
 
-def time_shift(df: DataFrame, value: str, key: str = "sample", order: tuple[str, ...] = ("t", "event_id"), name: str = "before") -> DataFrame:
-    """Adds the previous step's value; 0 at the first."""
-    return df.withColumn(name, F.lag(value, 1, 0.0).over(Window.partitionBy(key).orderBy(*order)))
+def time_shift(df: DataFrame, value: str, key: str = "sample", order: tuple[str, ...] = ("t", "event_id"), name: str = "before", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds the previous step's value; 0 at the first. A key of more than hot_rows rows is shifted in ranges; a range's first row gets the last value before it."""
+    # a value that is null stays null: only a first row has none before it
+    rows = ranged(df, [key], order, hot_rows).columns({"__v": F.struct(F.col(value).alias("x"))}).preceding("__v", "__w").plain()
+    return rows.withColumn(name, F.when(F.col("__w").isNull(), F.lit(0.0)).otherwise(F.col("__w.x"))).drop("__v", "__w")
 
 
 def time_mix(now: Column, before: Column, share: float) -> Column:

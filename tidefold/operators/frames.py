@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import HOT_ROWS, largest, ranged
 from ..functions.ordered import scan
-from .sampling import ranked, uniform
+from .lookups import number_within
+from .sampling import cut_at, ranked, uniform, up_to
 
 
 def equal_count(events: DataFrame, frames: int, key: str = "sample", order: tuple[str, ...] = ("t", "event_id")) -> DataFrame:
@@ -59,25 +61,30 @@ def custom(events: DataFrame, integrate: Callable[[pd.DataFrame], pd.DataFrame],
     return events.groupBy(key).applyInPandas(integrate, schema)
 
 
-def temporal_delete(events: DataFrame, remain: int, seed: int, key: str = "sample", order: tuple[str, ...] = ("t", "event_id")) -> DataFrame:
-    """Keeps ``remain`` positions of each sample, drawn without replacement, and numbers them in time order."""
-    draw = uniform(seed, F.col("event_id"))
-    kept = events.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(draw, "event_id"))).where(F.col("__k") <= remain).drop("__k")
-    return kept.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+def temporal_delete(events: DataFrame, remain: int, seed: int, key: str = "sample", order: tuple[str, ...] = ("t", "event_id"), hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keeps ``remain`` positions of each sample, drawn without replacement, and numbers them in time order.
 
+    In a sample of more than hot_rows events only the part of the draws where the last one kept lies is put in order."""
+    draw = [uniform(seed, F.col("event_id")), F.col("event_id")]
+    if largest(events, [key]) <= hot_rows:
+        kept = events.withColumn("__k", F.row_number().over(Window.partitionBy(key).orderBy(*draw))).where(F.col("__k") <= remain).drop("__k")
+    else:
+        cut = cut_at(events, key, draw, F.lit(remain))
+        kept = events.join(cut, F.col(key).eqNullSafe(F.col("__g"))).where(up_to(draw)).drop("__g", "__cut")
+    return number_within(kept, [key], list(order), "pos", hot_rows)
 
-def first_spike(spikes: DataFrame, spike: str, key: str = "sample", order: tuple[str, ...] = ("t", "event_id")) -> DataFrame:
-    """Marks the first spike of each sample: where the running sum of the running sum is 1."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return spikes.withColumn("__s", F.sum(spike).over(w)).withColumn("first", (F.sum("__s").over(w) == 1).cast("int")).drop("__s")
 
+def first_spike(spikes: DataFrame, spike: str, key: str = "sample", order: tuple[str, ...] = ("t", "event_id"), hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Marks the first spike of each sample: where the running sum of the running sum is 1. A large sample is summed in ranges."""
+    rows = ranged(spikes, [key], order, hot_rows).running({"__s": F.col(spike)}).running({"__ss": F.col("__s")}).plain()
+    return rows.withColumn("first", (F.col("__ss") == 1).cast("int")).drop("__s", "__ss")
 
-def spike_clusters(spikes: DataFrame, spike: str, gap: int, key: str = "sample", t: str = "t") -> DataFrame:
-    """Clusters of spikes whose neighbours are at most ``gap`` apart: key, cluster, first, last, n."""
-    w = Window.partitionBy(key).orderBy(t)
-    fired = spikes.where(F.col(spike) == 1)
-    fresh = F.coalesce((F.col(t) - F.lag(t).over(w) > gap).cast("int"), F.lit(0))
-    marked = fired.withColumn("__new", fresh).withColumn("cluster", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+def spike_clusters(spikes: DataFrame, spike: str, gap: int, key: str = "sample", t: str = "t", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Clusters of spikes whose neighbours are at most ``gap`` apart: key, cluster, first, last, n. A large sample is marked in ranges that know the last spike before them."""
+    rows = ranged(spikes.where(F.col(spike) == 1), [key], [t], hot_rows).preceding(t, "__before")
+    rows = rows.columns({"__new": F.coalesce((F.col(t) - F.col("__before") > gap).cast("int"), F.lit(0))})
+    marked = rows.running({"cluster": F.col("__new")}).plain()
     return marked.groupBy(key, "cluster").agg(F.min(t).alias("first"), F.max(t).alias("last"), F.count("*").alias("n"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import HOT_ROWS, ranged
+
 
 def interval_join(events: DataFrame, intervals: DataFrame, key: str, t: str, start: str, end: str, width: int | None = None) -> DataFrame:
     """Events with start <= t < end of an interval of the same key.
@@ -21,8 +23,12 @@ def interval_join(events: DataFrame, intervals: DataFrame, key: str, t: str, sta
     return e.join(i, match & (F.col("__at") == F.col("__slot"))).drop("__key", "__slot", "__at")
 
 
-def number_within(df: DataFrame, by: list[str], order: list[str], name: str = "k") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+def number_within(df: DataFrame, by: list[str], order: list[str], name: str = "k", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds a row's place in its group, from 0. A group of more than hot_rows rows is numbered in ranges of its order."""
+    rows = ranged(df, by, order, hot_rows)
+    if not rows.parted:
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    return rows.running({name: F.lit(1)}).columns({name: F.col(name) - 1}).plain()
 
 
 def membership(all_rows: DataFrame, valid: DataFrame, test: DataFrame, key: str) -> DataFrame:

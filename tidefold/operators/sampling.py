@@ -45,7 +45,7 @@ def ranked(df: DataFrame, group: str, order: tuple[str, ...]) -> DataFrame:
     return out.withColumn("__k", F.col("__before") + F.col("__inner")).drop("__inner", "__part", "__g", "__p", "__all", "__before")
 
 
-def _cut(df: DataFrame, group: str, order: list[Column], wanted: Column) -> DataFrame:
+def cut_at(df: DataFrame, group: str, order: list[Column], wanted: Column) -> DataFrame:
     """(__g, __cut): the order of the last of the first ``wanted`` (of __all) rows of each group. Only the part that holds it is put in order."""
     keyed = df.select(F.col(group).alias("g"), *[c.alias(f"o{k}") for k, c in enumerate(order)])
     rows, parts = _parted(keyed, "g", F.col("o0"))
@@ -57,23 +57,23 @@ def _cut(df: DataFrame, group: str, order: list[Column], wanted: Column) -> Data
     return inside.where("__k <= __want").groupBy("__g").agg(F.max(F.struct(*names)).alias("__cut"))
 
 
-def _up_to(order: list[Column]) -> Column:
+def up_to(order: list[Column]) -> Column:
     return F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)]) <= F.col("__cut")
 
 
 def subset(df: DataFrame, ratio: float, seed: int, group: str, ident: str, randomly: bool = True) -> DataFrame:
     """floor(ratio * n) rows of each group: hashed order, or by id (a distinct number)."""
     order = [uniform(seed, F.col(ident)), F.col(ident)] if randomly else [F.col(ident)]
-    cut = _cut(df, group, order, F.floor(F.lit(ratio) * F.col("__all")))
-    return df.join(cut, F.col(group).eqNullSafe(F.col("__g"))).where(_up_to(order)).drop("__g", "__cut")
+    cut = cut_at(df, group, order, F.floor(F.lit(ratio) * F.col("__all")))
+    return df.join(cut, F.col(group).eqNullSafe(F.col("__g"))).where(up_to(order)).drop("__g", "__cut")
 
 
 def stratified(df: DataFrame, ratio: float, group: str, ident: str, seed: int | None = None) -> DataFrame:
     """Adds is_train: the first ceil(ratio * n) rows of each class by id (a distinct number), or in a hashed order with a seed."""
     order = [F.col(ident)] if seed is None else [uniform(seed, F.col(ident)), F.col(ident)]
-    cut = _cut(df, group, order, F.ceil(F.lit(ratio) * F.col("__all")))
+    cut = cut_at(df, group, order, F.ceil(F.lit(ratio) * F.col("__all")))
     out = df.join(cut, F.col(group).eqNullSafe(F.col("__g")), "left")
-    return out.withColumn("is_train", F.coalesce(_up_to(order), F.lit(False)).cast("int")).drop("__g", "__cut")
+    return out.withColumn("is_train", F.coalesce(up_to(order), F.lit(False)).cast("int")).drop("__g", "__cut")
 
 
 def multinomial(dist: DataFrame, row: str, item: str, p: str, seed: int) -> DataFrame:

@@ -64,7 +64,7 @@ r AS (SELECT sample, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0.0::DOUBLE AS s,
 SELECT event_id, round(s, 6) AS out, round(v, 6) AS v FROM r WHERE i > 0"""
 )
 def neuron_surrogate(spark, d):
-    out = rec.neuron(_input(spark, d), rec.leaky(2.0), fire=lambda u: 1 / (1 + math.exp(-4.0 * u)))
+    out = rec.neuron(_input(spark, d), rec.leaky(2.0), fire=lambda u: 1 / (1 + np.exp(-4.0 * u)))
     return out.select("event_id", F.round("out", 6).alias("out"), F.round("v", 6).alias("v"))
 
 
@@ -90,7 +90,7 @@ def neuron_general(spark, d):
 
 @query(_neuron_sql("r.v + (e.x - r.v) / 2.3::DOUBLE", out=", round(greatest(h, 0), 6) AS out"))
 def neuron_activation(spark, d):
-    return _shown(rec.neuron(_input(spark, d), rec.leaky(2.3), emit=lambda h: max(h, 0.0)), F.round("out", 6).alias("out"))
+    return _shown(rec.neuron(_input(spark, d), rec.leaky(2.3), emit=lambda h: np.maximum(h, 0.0)), F.round("out", 6).alias("out"))
 
 
 @query(
@@ -116,6 +116,28 @@ def weighted_key_value(spark, d):
     return rec.wkv(rows, -0.5, 0.3).select("event_id", F.round("y", 6).alias("y"))
 
 
+@query(
+    f"""WITH {EVENTS_SQL}, s AS (SELECT event_id, value / 100 AS k, x + 0.5::DOUBLE AS v, row_number() OVER (ORDER BY t, event_id) AS i FROM ev),
+m AS (SELECT a.event_id, a.k, a.v, coalesce(sum(exp(b.k - 0.5::DOUBLE * (a.i - 1 - b.i)) * b.v), 0) AS p, coalesce(sum(exp(b.k - 0.5::DOUBLE * (a.i - 1 - b.i))), 0) AS q
+  FROM s a LEFT JOIN s b ON b.i BETWEEN a.i - 200 AND a.i - 1 GROUP BY ALL)
+SELECT event_id, round((p + exp(0.3::DOUBLE + k) * v) / (q + exp(0.3::DOUBLE + k)), 6) AS y FROM m"""
+)
+def weighted_key_value_one_key(spark, d):
+    """All events as one key, in blocks. In the SQL, weights more than 200 steps old (under exp(-100)) are left out."""
+    rows = _input(spark, d).select(F.lit(1).alias("sample"), "event_id", "t", F.col("x").alias("k"), (F.col("kind") + 0.5).cast("double").alias("v"))
+    return rec.wkv(rows, -0.5, 0.3, hot_rows=0).select("event_id", F.round("y", 6).alias("y"))
+
+
+@query(
+    f"""WITH {EVENTS_SQL}, s AS (SELECT event_id, (x = 0)::INT AS a, p AS b, row_number() OVER (ORDER BY t, event_id) AS i FROM ev)
+SELECT u.event_id, round(sum(w.a * pow(1 - 1 / 4.3::DOUBLE, u.i - w.i)), 6) AS tr_pre, round(sum(w.b * pow(1 - 1 / 7.9::DOUBLE, u.i - w.i)), 6) AS tr_post FROM s u JOIN s w ON w.i BETWEEN u.i - 300 AND u.i GROUP BY u.event_id"""
+)
+def timing_traces_one_key(spark, d):
+    """All events as one key, in blocks. In the SQL, spikes more than 300 steps old (under 1e-17) are left out."""
+    rows = _input(spark, d).select(F.lit(1).alias("sample"), "event_id", "t", "p", (F.col("kind") == 0).cast("int").alias("a"))
+    return rec.traces(rows, 4.3, 7.9, "a", "p", hot_rows=0).select("event_id", *[F.round(c, 6).alias(c) for c in ("tr_pre", "tr_post")])
+
+
 @query(
     f"""WITH RECURSIVE {EVENTS_SQL},
 r AS (SELECT sample, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0.0::DOUBLE AS c FROM (SELECT DISTINCT sample FROM ev) UNION ALL
@@ -134,7 +156,7 @@ SELECT event_id, round(x, 6) AS tr_pre, round(y, 6) AS tr_post, round(w, 6) AS w
 )
 def timing_traces(spark, d):
     rows = _input(spark, d).withColumn("a", (F.col("kind") == 0).cast("int"))
-    out = rec.traces(rows, 4.0, 8.0, "a", "p", lambda w: 1 - w, lambda w: w * -0.1)
+    out = rec.traces(rows, 4.0, 8.0, "a", "p", (1.0, -1.0), (0.0, -0.1))
     return out.select("event_id", *[F.round(c, 6).alias(c) for c in ("tr_pre", "tr_post", "weight")])
 
 
