@@ -153,11 +153,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     half = F.floor(F.char_length("text") / 2)
-    ids = stored(spark, texts.where("id is not null").groupBy("id").agg(F.max(half).cast("int").alias("need"), F.count("*").alias("n")), "ids")
+    live = texts.where("id is not null")
+    ids = stored(spark, live.groupBy("id").agg(F.max(half).cast("int").alias("need"), F.count("*").alias("n")), "ids")
     link = following(ids).join(ids.select("id", "need"), "id").select(F.col("id").alias("of"), F.col("next_id").alias("id"), "need")
-    standing = texts if ids.where("n > 1").isEmpty() else texts.where("id is not null").groupBy("id").agg(F.min("text").alias("text"))
+    # where ids are unique, both joins read the same shuffled texts
+    standing = live if ids.where("n > 1").isEmpty() else live.groupBy("id").agg(F.min("text").alias("text"))
     heads = standing.join(link, "id").select(F.col("of").alias("id"), F.left("text", F.col("need")).alias("head"), digests(F.col("text")).alias("after"))
-    both = texts.join(heads, "id", "left").withColumn("half", half.cast("int")).withColumn("n_chars", F.char_length("text"))
+    both = live.join(heads, "id").select("id", "text", "head", "after")
+    both = both.unionByName(texts.where("id is null"), allowMissingColumns=True)
+    both = both.withColumn("half", half.cast("int")).withColumn("n_chars", F.char_length("text"))
     edited = F.concat(F.left("text", F.col("n_chars") - F.col("half")), F.left(F.coalesce("head", F.lit("")), F.col("half")))
     both = both.select("id", F.col("n_chars").cast("long").alias("n_chars"), digests(F.col("text")).alias("mine"), edited.alias("edited"), "after")
     rows = both.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "mine", digests(F.col("edited")).alias("edited"), "after")
