@@ -184,7 +184,8 @@ def _meeting(rows: DataFrame, anchors: DataFrame, on: list[str], extra: dict[str
     kept = ["label", "dim", "id", "d1", "d2", "x"]
     one = rows.join(counts, on).select(*kept, F.lit(0).alias("side"), *[F.lit(None).cast(t).alias(c) for c, t in extra.items()], own("ni").alias("i"), every("nj").alias("j"))
     two = anchors.join(counts, on).select(*kept, F.lit(1).alias("side"), *extra, every("ni").alias("i"), own("nj").alias("j"))
-    return one.unionByName(two)
+    # so many partitions in any case: a pair of blocks is much work for few bytes
+    return one.unionByName(two).repartition(spread(spark), *dict.fromkeys([*on, "dim", "i", "j"]))
 
 
 def hard_negatives(
