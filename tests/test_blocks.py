@@ -141,3 +141,17 @@ def test_ranges(df, rows, hot):
             want[-1][2], want[-1][3] = r[1], want[-1][3] + 1
         assert sorted(clusters.get(key, [])) == [tuple(c) for c in want]
     assert _got(frames.temporal_delete(df, 25, 3, hot_rows=0), "pos") == _got(frames.temporal_delete(df, 25, 3), "pos")
+
+
+@pytest.mark.parametrize("duration", [0, 3, 25, 700, 100_000])
+def test_anchored_frames_in_ranges(spark, df, rows, duration):
+    even = [(11, 2 * k, 10_000 + k, None, 0, "even") for k in range(400)]  # openings from different events never meet
+    both = df.unionByName(spark.createDataFrame(even, df.schema))
+    got = _got(frames.anchored(both, duration, hot_rows=0), "frame", "__note")
+    assert got == _got(frames.anchored(both, duration), "frame", "__note") and len(got) == len(rows) + 400
+    for key_rows in _by_key([*rows, *even]).values():
+        opened, k = None, -1
+        for r in key_rows:
+            if opened is None or r[1] - opened > duration:
+                opened, k = r[1], k + 1
+            assert got[r[2]][0] == k

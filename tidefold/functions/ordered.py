@@ -38,7 +38,7 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], inputs: Seque
             key_rows = zip(*(b.column(k).to_pylist() for k in at_key), strict=True)
             out: list[Row] = []
             for key, *values in zip(key_rows, *(b.column(k).to_pylist() for k in at_in), strict=True):
-                if state is None or key != last:
+                if last is None or key != last:
                     last, state = key, start()
                 state, row = step(state, *values)
                 out.append(row)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import HOT_ROWS, largest, ranged
 from ..functions.ordered import scan
+from .anchored import anchored_in_ranges
 from .lookups import number_within
 from .sampling import cut_at, ranked, uniform, up_to
 
@@ -32,8 +33,11 @@ def equal_time(events: DataFrame, frames: int, key: str = "sample", t: str = "t"
     return out.withColumn("frame", F.when(F.col("__d") == 0, F.lit(frames - 1)).otherwise(place).cast("int")).drop("__key", "__a", "__d")
 
 
-def anchored(events: DataFrame, duration: int, key: str = "sample", order: tuple[str, ...] = ("t", "event_id"), t: str = "t") -> DataFrame:
-    """A frame opens at the first event without one and holds events up to and including ``duration`` later."""
+def anchored(events: DataFrame, duration: int, key: str = "sample", order: tuple[str, ...] = ("t", "event_id"), t: str = "t", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """A frame opens at the first event without one and holds events up to and including ``duration`` later. A large sample is framed in ranges; t is the first of the order."""
+    ranges = ranged(events, [key], order, hot_rows)
+    if ranges.parted:
+        return anchored_in_ranges(ranges, duration, t)
 
     def step(s, now):
         opened, k = s

@@ -50,6 +50,16 @@ def frames_anchored(spark, d):
     return fr.anchored(events(spark, d), HOUR6).select("sample", "event_id", "frame")
 
 
+@query(
+    f"""WITH RECURSIVE {EVENTS_SQL},
+r AS (SELECT min(t) AS a, 0 AS frame FROM ev UNION ALL SELECT (SELECT min(t) FROM ev WHERE t > r.a + {HOUR6}), r.frame + 1 FROM r WHERE (SELECT max(t) FROM ev) > r.a + {HOUR6})
+SELECT event_id, frame FROM ev ASOF JOIN r ON ev.t >= r.a"""
+)
+def frames_anchored_one_sample(spark, d):
+    """All events as one sample, framed in ranges."""
+    return fr.anchored(events(spark, d).withColumn("sample", F.lit(1)), HOUR6, hot_rows=0).select("event_id", "frame")
+
+
 @query(f"{EV} SELECT sample, (x * 2 + p)::INT AS cell, count(*) AS n FROM ev GROUP BY ALL")
 def frames_custom(spark, d):
     def integrate(rows: pd.DataFrame) -> pd.DataFrame:
