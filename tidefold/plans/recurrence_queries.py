@@ -278,8 +278,16 @@ def scale_average(spark, d):
 
 
 @query(
-    f"""SELECT tokens, round(0.0006::DOUBLE * CASE WHEN tokens < 2000 THEN {0.00001 / 0.0006}::DOUBLE + {1 - 0.00001 / 0.0006}::DOUBLE * tokens / 2000
-ELSE {0.5 + 0.00001 / 0.0006 / 2}::DOUBLE + {0.5 - 0.00001 / 0.0006 / 2}::DOUBLE * cos({math.pi}::DOUBLE * (tokens - 2000) / 8000) END, 12) AS lr FROM (SELECT unnest(range(0, 10001, 50)) AS tokens)"""
+    f"""WITH s AS (SELECT doc_id, coalesce(sum(n_chars) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS seen, sum(n_chars) OVER ()::DOUBLE AS total FROM documents)
+SELECT doc_id, seen, round(0.0006::DOUBLE * CASE WHEN seen < total / 5 THEN {0.00001 / 0.0006}::DOUBLE + {1 - 0.00001 / 0.0006}::DOUBLE * seen / (total / 5)
+ELSE {0.5 + 0.00001 / 0.0006 / 2}::DOUBLE + {0.5 - 0.00001 / 0.0006 / 2}::DOUBLE * cos({math.pi}::DOUBLE * (seen - total / 5) / (total * 4 / 5)) END, 12) AS lr FROM s"""
 )
 def learning_rate(spark, d):
-    return spark.range(0, 10001, 50).select(F.col("id").alias("tokens"), F.round(rec.learning_rate(F.col("id"), 2000, 10000, 0.0006, 0.00001), 12).alias("lr"))
+    """The rate at which each document is met: warm-up over a fifth of all characters, then the cosine to their end."""
+    from ..operators.corpus import running_offsets
+    from ..sources.tables import table
+
+    docs = table(spark, d, "documents").select("doc_id", "n_chars")
+    total = float(docs.agg(F.sum("n_chars")).first()[0] or 1)
+    seen = running_offsets(docs, "doc_id", "n_chars", "seen")
+    return seen.select("doc_id", "seen", F.round(rec.learning_rate(F.col("seen"), total / 5, total, 0.0006, 0.00001), 12).alias("lr"))

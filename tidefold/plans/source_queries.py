@@ -52,6 +52,11 @@ def source_atis40(spark, d):
     return _round_trip(spark, d, "atis40", ".bin")
 
 
+@query(_SQL.format(x="x", y="y", p="p"))
+def source_matlab(spark, d):
+    return _round_trip(spark, d, "mat", ".mat")
+
+
 @query(_SQL.format(x="127 - y", y="127 - x", p="1 - p"))
 def source_aedat2(spark, d):
     return _round_trip(spark, d, "aedat2", ".aedat")
@@ -218,3 +223,41 @@ def padded_batches(spark, d):
 def silence_crop(spark, d):
     crop = text.cut_silence(F.col("embedding").cast("array<double>"), 16, (F.col("vec_id") % 49 + 0.5) / F.lit(49.0))
     return table(spark, d, "embeddings").select("vec_id", F.transform(crop, lambda x: F.round(x, 6)).alias("crop"))
+
+
+_PATHS = "SELECT doc_id, CASE WHEN doc_id % 50 = 3 THEN '_background_noise_' ELSE lang END || '/' || source || '_nohash_' || doc_id || '.wav' AS path FROM documents"
+
+
+@query(
+    f"""WITH p AS ({_PATHS}), l AS (SELECT path, string_split(path, '/')[1] AS label, regexp_extract(string_split(path, '/')[2], '^(.*?)_nohash_', 1) AS speaker, doc_id::INT AS utterance,
+  CASE WHEN doc_id % 10 = 1 THEN 'test' WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split FROM p WHERE path NOT LIKE '_background_noise_/%'
+  UNION ALL SELECT NULL, '_silence_', NULL, NULL, 'train' FROM range(20)),
+w AS (SELECT label, (1.0 / count(*)) / sum(1.0 / count(*)) OVER () AS weight FROM l WHERE split = 'train' GROUP BY label)
+SELECT l.path, l.label, l.speaker, l.utterance, l.split, CASE WHEN l.split = 'train' THEN round(w.weight, 12) END AS weight FROM l LEFT JOIN w USING (label)"""
+)
+def dataset_speech(spark, d):
+    """Recordings split by lists that are files, with class weights and crops of noise."""
+    folder = _folder(spark)
+    folders = F.when(F.col("doc_id") % 50 == 3, F.lit("_background_noise_")).otherwise(F.col("lang"))
+    paths = table(spark, d, "documents").select("doc_id", F.concat(folders, F.lit("/"), "source", F.lit("_nohash_"), "doc_id", F.lit(".wav")).alias("path"))
+    lists = {"validation": "doc_id % 10 = 0", "testing": "doc_id % 10 = 1"}
+    for name, chosen in lists.items():
+        paths.where(chosen).select("path").write.text(f"{folder}/{name}_list")
+    valid, test = (text.read_list(spark, f"{folder}/{name}_list") for name in lists)
+    return datasets.speech(paths, valid, test, silence=20).withColumn("weight", F.round("weight", 12))
+
+
+_LOG = """WITH m AS (SELECT date_diff('month', DATE '1970-01-01', o_orderdate::DATE)::INT AS epoch, CASE o_orderstatus WHEN 'F' THEN 'train' ELSE 'valid' END AS split, count(*) AS n FROM orders GROUP BY 1, 2)"""
+
+
+@query(f"{_LOG} SELECT epoch, split, (n / 8)::DOUBLE AS loss, n::DOUBLE AS ppl, 0.0005::DOUBLE AS lr, '2026-01-01 00:00:00' AS at FROM m")
+def log_append(spark, d):
+    """A training log to which two runs append, read back."""
+    folder = _folder(spark)
+    month = ((F.year("o_orderdate") - 1970) * 12 + F.month("o_orderdate") - 1).cast("int")
+    split = F.when(F.col("o_orderstatus") == "F", "train").otherwise("valid")
+    log = table(spark, d, "orders").groupBy(month.alias("epoch"), split.alias("split")).agg(F.count("*").alias("n"))
+    log = log.select("epoch", "split", (F.col("n") / 8).alias("loss"), F.col("n").cast("double").alias("ppl"), F.lit(0.0005).alias("lr"), F.lit("2026-01-01 00:00:00").alias("at"))
+    for part in (0, 1):
+        text.append_log(log.where(F.col("epoch") % 2 == part), folder)
+    return text.parse_log(spark.read.text(folder))

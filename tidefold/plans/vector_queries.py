@@ -228,10 +228,15 @@ def erf_step(spark, d):
     return _x(spark, d).select("event_id", F.round(scalar.erf_step(F.col("x")), 6).alias("y"))
 
 
-@query("SELECT k, round(1 + ln(1 + exp(ln(1.5::DOUBLE + k / 24::DOUBLE - 1))), 6) AS tau, round(ln(1 + exp(0.0::DOUBLE)), 6) AS theta FROM (SELECT unnest(range(25)) AS k)")
+@query(
+    """WITH c AS (SELECT l_partkey, count(*) AS n, avg(l_quantity) AS q FROM lineitem GROUP BY l_partkey)
+SELECT l_partkey, round(1 + ln(1 + exp(ln(0.5::DOUBLE + n / 24::DOUBLE))), 6) AS tau, round(ln(1 + exp(q / 10 - 2.5::DOUBLE)), 6) AS theta FROM c"""
+)
 def learned_parameters(spark, d):
-    raw = F.ln(F.lit(1.5) + F.col("id") / F.lit(24.0) - 1)
-    return spark.range(25).select(F.col("id").alias("k"), F.round(scalar.learned_tau(raw), 6).alias("tau"), F.round(scalar.softplus(F.lit(0.0)), 6).alias("theta"))
+    """A neuron for each part: its raw parameters from how often and how much it is ordered."""
+    counts = table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.avg("l_quantity").alias("q"))
+    raw = F.ln(F.lit(0.5) + F.col("n") / F.lit(24.0))
+    return counts.select("l_partkey", F.round(scalar.learned_tau(raw), 6).alias("tau"), F.round(scalar.softplus(F.col("q") / 10 - F.lit(2.5)), 6).alias("theta"))
 
 
 UNIT = f"WITH {EVENTS_SQL}, u AS (SELECT event_id, least(greatest(value / 500, 0), 1) AS x FROM ev)"

@@ -17,6 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import ship
+from . import matlab
+
 Events = dict[str, np.ndarray]
 
 
@@ -111,19 +114,16 @@ def txyp_npz(data: bytes) -> Events:
 
 
 def mat_events(data: bytes) -> Events:
-    """MATLAB files with ts, x, y, pol; needs scipy."""
-    try:
-        from scipy.io import loadmat
-    except ImportError as e:
-        raise RuntimeError("reading MATLAB files needs scipy") from e
-    m = loadmat(io.BytesIO(data))
-    return {k: np.asarray(m[n]).ravel().astype(np.int64) for k, n in zip("txyp", ("ts", "x", "y", "pol"), strict=True)}
+    """MATLAB level-5 files with ts, x, y, pol."""
+    m = matlab.read_arrays(data)
+    return {k: m[n].ravel().astype(np.int64) for k, n in zip("txyp", ("ts", "x", "y", "pol"), strict=True)}
 
 
 DECODERS: dict[str, Callable[[bytes], Events]] = {"aedat3": aedat3, "atis40": atis40, "aedat2": aedat2, "atis_td": atis_td, "pos_neg_npz": pos_neg_npz, "npz": txyp_npz, "mat": mat_events}
 
 
 def _files(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
+    ship(spark)
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     return (reader.option("pathGlobFilter", pattern) if pattern else reader).load(path).select("path", "content")
 
@@ -270,7 +270,11 @@ def to_pos_neg_npz(e: Events) -> bytes:
     return npz_bytes(pos=rows[e["p"] == 1], neg=rows[e["p"] == 0])
 
 
-ENCODERS: dict[str, Callable[[Events], bytes]] = {"aedat3": to_aedat3, "atis40": to_atis40, "aedat2": to_aedat2, "atis_td": to_atis_td, "pos_neg_npz": to_pos_neg_npz, "npz": lambda e: npz_bytes(**e)}
+def to_mat(e: Events) -> bytes:
+    return matlab.write_arrays({"ts": e["t"].astype(np.float64), "x": e["x"].astype(np.uint16), "y": e["y"].astype(np.uint16), "pol": e["p"].astype(np.uint8)})
+
+
+ENCODERS: dict[str, Callable[[Events], bytes]] = {"aedat3": to_aedat3, "atis40": to_atis40, "aedat2": to_aedat2, "atis_td": to_atis_td, "pos_neg_npz": to_pos_neg_npz, "npz": lambda e: npz_bytes(**e), "mat": to_mat}
 
 
 def write_files(files: DataFrame, folder: str) -> None:
@@ -285,12 +289,14 @@ def write_files(files: DataFrame, folder: str) -> None:
                 f.write(r["content"])
             os.replace(own, to)
 
+    ship(files.sparkSession)
     files.select("name", "content").foreachPartition(run)
 
 
 def encode_events(events: DataFrame, name: str, kind: str) -> DataFrame:
     """(name, content): the events (t, x, y, p) of each file name, in order of t and event_id, as bytes of a format. A file is one value in memory, as any reader of it needs."""
     encode = ENCODERS[kind]
+    ship(events.sparkSession)
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         group = group.sort_by([("t", "ascending"), ("event_id", "ascending")])

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import frames
+from ..operators.metrics import class_weights
 from ..operators.sampling import stratified
 from .binary import read_events
-from .text import label_of, write_frames
+from .text import label_of, parse_speech_path, write_frames
 
 
 Hook = Callable[[DataFrame], DataFrame]
@@ -66,3 +67,27 @@ def build(spark: SparkSession, name: str, root: str, out: str, rule: str, value:
     to = f"{out.rstrip('/')}/{name}_{rule}_{value}"
     write_frames(to_frames(load(spark, name, root, transform, target_transform), rule, value).withColumn("split", F.lit(split)), to)
     return to
+
+
+#: The folder of noise recordings, which are no utterances, and the label of crops made from them.
+NOISE, SILENCE = "_background_noise_", "_silence_"
+
+
+def speech(files: DataFrame, valid: DataFrame, test: DataFrame, silence: int = 0) -> DataFrame:
+    """path, label, speaker, utterance, split, weight of a directory of recordings label/speaker_nohash_n.wav, by its lists of validation and test paths.
+
+    files, valid, test have a column path, below the root. A path on both lists is of the test part; what is on neither is for training, but for noise recordings and
+    names without the divider. weight, for training rows, is the part of 1 that a row of its class gets when every class is drawn alike: 1 / rows of the class,
+    divided by the sum of that over classes. ``silence`` adds so many training rows of a class of their own, to be cropped from noise."""
+    name = parse_speech_path(F.col("path"))
+    listed = lambda df, c: df.select(F.col("path").alias("of")).distinct().withColumn(c, F.lit(True))
+    rows = files.select("path").distinct().where(F.col("path").contains("_nohash_") & ~F.col("path").contains(NOISE))
+    for df, c in ((valid, "v"), (test, "t")):
+        rows = rows.join(listed(df, c), F.col("path") == F.col("of"), "left").drop("of")
+    split = F.when(F.col("t"), "test").when(F.col("v"), "val").otherwise("train")
+    rows = rows.select("path", name["label"].alias("label"), name["speaker"].alias("speaker"), name["utterance"].alias("utterance"), split.alias("split"))
+    if silence:
+        crops = rows.sparkSession.range(silence).select(F.lit(None).cast("string").alias("path"), F.lit(SILENCE).alias("label"), F.lit(None).cast("string").alias("speaker"), F.lit(None).cast("int").alias("utterance"), F.lit("train").alias("split"))
+        rows = rows.unionByName(crops)
+    weights = class_weights(rows.where("split = 'train'"), "label").select(F.col("label").alias("of"), "weight")
+    return rows.join(weights, F.col("label") == F.col("of"), "left").select("path", "label", "speaker", "utterance", "split", F.when(F.col("split") == "train", F.col("weight")).alias("weight"))
