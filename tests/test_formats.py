@@ -52,3 +52,43 @@ def test_speech_lists(spark):
     total = 1 / 2 + 1 + 1 / 4
     assert [got[p]["weight"] for p in (paths[0], paths[3], None, paths[1])] == pytest.approx([0.5 / total, 1 / total, 0.25 / total, None])
     assert datasets.speech(of([]), of([]), of([])).count() == 0
+
+
+@pytest.mark.parametrize("kind,ending", [("atis40", "bin"), ("aedat2", "aedat"), ("aedat3", "aedat")])
+@pytest.mark.parametrize("size", [1, 100, 1 << 20])
+def test_ranges_of_files(spark, tmp_path, kind, ending, size):
+    """Files read in ranges hold what the whole-file decoder finds; a first byte like that of a header, empty files and a cut last record do no harm."""
+    from tidefold.sources import event_ranges
+
+    rng = np.random.default_rng(1)
+    want = {}
+    for name, n in (("a", 57), ("b", 0), ("c", 9)):
+        e = {"t": np.sort(rng.integers(0, 1 << 20, n)), "x": rng.integers(30, 40, n), "y": rng.integers(30, 40, n), "p": rng.integers(0, 2, n)}
+        e = {k: v.astype(np.int64) for k, v in e.items()}
+        data = binary.to_aedat3(e, 8) if kind == "aedat3" else binary.ENCODERS[kind](e)
+        data += b"#x" if kind == "atis40" else b""
+        (tmp_path / f"{name}.{ending}").write_bytes(data)
+        got = binary.DECODERS[kind](data)
+        want[name] = list(zip(*(got[k].tolist() for k in "txyp"), strict=True))
+    out = event_ranges.read_ranges(spark, str(tmp_path), kind, f"*.{ending}", size)
+    if size == 1:
+        assert out.rdd.getNumPartitions() > 6
+    rows = sorted((r["path"].rsplit("/", 1)[1][0], r["event_id"], r["t"], r["x"], r["y"], r["p"]) for r in out.collect())
+    assert rows == sorted((name, k, *e) for name, events in want.items() for k, e in enumerate(events))
+    with pytest.raises(Exception, match="no ranges"):
+        event_ranges.read_ranges(spark, str(tmp_path), "npz").collect()
+
+
+def test_moment_sums(spark):
+    from tidefold.functions import vectors
+
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(30, 5)), rng.normal(size=(40, 5))
+    df = lambda m: spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "vec_id bigint, embedding array<double>")
+    for args in (None, {"polynomial": 3.0}):
+        got = {r["vec_id"]: r for r in vectors.kernel_sums(df(x), df(y), args=args).collect()}
+        s = x @ y.T
+        for k in range(30):
+            assert (got[k]["linear"], got[k]["polynomial"]) == pytest.approx((s[k].sum(), (s[k] ** (3 if args else 2)).sum()))
+            assert got[k]["gaussian"] == pytest.approx(np.exp(-((x[k] - y) ** 2).sum(1) / 2).sum())
+    assert vectors.moment_sums(df(x), df(y).where("false")).agg({"linear": "sum"}).first()[0] == 0

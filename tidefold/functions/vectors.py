@@ -64,15 +64,58 @@ def kernel_reduce(left: DataFrame, right: DataFrame, ident: str, vector: str, re
     return a.unionByName(b.withColumn("j", F.col("j").cast("int"))).groupBy("i", "j").applyInArrow(run, schema)
 
 
+def moments(df: DataFrame, vector: str = "embedding") -> tuple[np.ndarray, np.ndarray]:
+    """The sum of all vectors and the sum of their outer products. Each task sums its own; the sums of tasks meet entry by entry, and one matrix reaches the driver."""
+
+    def run(batches):
+        first, second = None, None
+        for b in batches:
+            rows = b.column(0).drop_null().to_pylist()
+            if not rows:
+                continue
+            m = np.array(rows, float).reshape(len(rows), -1)
+            first, second = (m.sum(0), m.T @ m) if first is None else (first + m.sum(0), second + m.T @ m)
+        if first is not None:
+            table = np.vstack([first, second])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(table), dtype=np.int32)), pa.array(table.tolist(), pa.list_(pa.float64()))], names=["i", "s"])
+
+    parts = df.select(F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "i int, s array<double>").select("i", F.posexplode("s").alias("j", "s"))
+    found = parts.groupBy("i", "j").agg(F.sum("s").alias("s")).collect()  # (length + 1) x length numbers
+    n = max((r["j"] for r in found), default=-1) + 1
+    out = np.zeros((n + 1, n))
+    for r in found:
+        out[r["i"], r["j"]] = r["s"]
+    return out[0], out[1:]
+
+
+def moment_sums(left: DataFrame, right: DataFrame, ident: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """ident, linear, polynomial (of degree 2) of each row of left: the sums of x y and of (x y)^2 over all right vectors y, from the moments of right. No two vectors meet."""
+    first, second = moments(right, vector)
+
+    def run(batches):
+        for b in batches:
+            x = np.array(b.column(1).to_pylist(), float).reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, len(first)))
+            lin, poly = (x @ first, ((x @ second) * x).sum(1)) if len(first) else (np.zeros(len(x)), np.zeros(len(x)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lin), pa.array(poly)], names=[ident, "linear", "polynomial"])
+
+    return left.select(ident, F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"{ident} bigint, linear double, polynomial double")
+
+
 def kernel_sums(left: DataFrame, right: DataFrame, ident: str = "vec_id", vector: str = "embedding", args: dict[str, float] | None = None) -> DataFrame:
-    """For each left vector, the sum over all right vectors of each kernel: ident, linear, polynomial, sigmoid, gaussian."""
+    """For each left vector, the sum over all right vectors of each kernel: ident, linear, polynomial, sigmoid, gaussian.
+
+    The linear and the squared kernel come from the moments of right; the others, and other powers, need every pair and meet block by block."""
     args = {"linear": 1.0, "polynomial": 2.0, "sigmoid": 1.0, "gaussian": 1.0} | (args or {})
+    by_moments = ["linear", *["polynomial"] * (args["polynomial"] == 2.0)]
+    by_pairs = [k for k in KERNELS if k not in by_moments]
 
     def reduce(x, y, ids, _, __):
-        return pa.table({ident: pa.array(ids, pa.int64()), **{k: pa.array(f(x, y, args[k]).sum(1) if len(ids) else np.zeros(0)) for k, f in KERNELS.items()}})
+        return pa.table({ident: pa.array(ids, pa.int64()), **{k: pa.array(KERNELS[k](x, y, args[k]).sum(1) if len(ids) else np.zeros(0)) for k in by_pairs}})
 
-    part = kernel_reduce(left, right, ident, vector, reduce, f"{ident} bigint, linear double, polynomial double, sigmoid double, gaussian double")
-    return part.groupBy(ident).agg(*[F.sum(k).alias(k) for k in KERNELS])
+    part = kernel_reduce(left, right, ident, vector, reduce, ", ".join([f"{ident} bigint", *(f"{k} double" for k in by_pairs)]))
+    pairs = part.groupBy(ident).agg(*[F.sum(k).alias(k) for k in by_pairs])
+    alone = moment_sums(left, right, ident, vector).groupBy(ident).agg(*[F.sum(k).alias(k) for k in by_moments])
+    return alone.join(pairs, ident).select(ident, *KERNELS)
 
 
 def similarity_loss(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", label: str = "label", kernel: str = "linear", arg: float = 1.0) -> DataFrame:

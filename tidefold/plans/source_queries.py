@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..operators import corpus, frames
-from ..sources import binary, datasets, text
+from ..sources import binary, datasets, event_ranges, text
 from ..sources.tables import EVENTS_SQL, events, table
 from .registry import query
 
@@ -52,6 +52,19 @@ def source_atis40(spark, d):
     return _round_trip(spark, d, "atis40", ".bin")
 
 
+@query(" UNION ALL ".join(f"SELECT '{k}' AS kind, * FROM ({_SQL.format(**c)})" for k, c in (("aedat2", {"x": "127 - y", "y": "127 - x", "p": "1 - p"}), ("aedat3", {"x": "x", "y": "y", "p": "p"}), ("atis40", {"x": "x", "y": "y", "p": "p"}))))
+def source_ranges(spark, d):
+    """Three formats read in byte ranges much smaller than the files."""
+    named = _numbered(spark, d).withColumn("name", F.concat(F.lit("s"), F.col("sample"), F.lit(".ev")))
+    out = []
+    for kind in ("aedat2", "aedat3", "atis40"):
+        folder = _folder(spark)
+        binary.write_files(binary.encode_events(named, "name", kind), folder)
+        sample = F.regexp_extract("path", r"s(\d+)\.[a-z0-9]+$", 1).cast("bigint").alias("sample")
+        out.append(event_ranges.read_ranges(spark, folder, kind, "*.ev", 250).select(F.lit(kind).alias("kind"), sample, "event_id", "t", "x", "y", "p"))
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @query(_SQL.format(x="x", y="y", p="p"))
 def source_matlab(spark, d):
     return _round_trip(spark, d, "mat", ".mat")

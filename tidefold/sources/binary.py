@@ -36,9 +36,9 @@ def _header_end(data: bytes) -> int:
     return at
 
 
-def aedat3(data: bytes) -> Events:
+def aedat3(data: bytes, header: bool = True) -> Events:
     """Polarity packets (type 1) of the 3.1 format; others are skipped. 28-byte packet headers, little-endian."""
-    at, parts = _header_end(data), []
+    at, parts = _header_end(data) if header else 0, []
     while at + 28 <= len(data):
         kind = int.from_bytes(data[at : at + 2], "little")
         size, _, overflow, capacity = np.frombuffer(data, "<u4", 4, at + 4).astype(np.int64).tolist()
@@ -58,9 +58,9 @@ def atis40(data: bytes) -> Events:
     return {"t": (r[:, 2] & 127) << 16 | r[:, 3] << 8 | r[:, 4], "x": r[:, 0], "y": r[:, 1], "p": r[:, 2] >> 7}
 
 
-def aedat2(data: bytes, only_dvs: bool = False, swap: bool = True) -> Events:
+def aedat2(data: bytes, only_dvs: bool = False, swap: bool = True, header: bool = True) -> Events:
     """Big-endian address and time pairs of a 128 by 128 sensor; with swap, (x, y, p) become (127 - y, 127 - x, 1 - p)."""
-    at = _header_end(data)
+    at = _header_end(data) if header else 0
     if (len(data) - at) % 8:
         raise ValueError("an odd number of words")
     pair = np.frombuffer(data, ">u4", offset=at).reshape(-1, 2).astype(np.int64)
