@@ -615,12 +615,27 @@ def test_windows_label_every_byte_once_with_its_neighbours():
     assert langid.windows([b""], 64, 8)[0].shape == (80, 0)
 
 
-def test_rows_without_id_are_learned_from_and_languages_are_bounded(spark, monkeypatch):
-    rows = [(None, "the cat and the dog " * 5 + str(k), "en", "s") for k in range(30)] + [(None, "der Hund und die Katze " * 5 + str(k), "de", "s") for k in range(20)] + [(None, "x y", "xx", "s")]
-    monkeypatch.setattr(langid, "SAMPLE_LANGS", 2)
+def test_rows_without_id_are_learned_from_and_rows_are_bounded(spark, monkeypatch):
+    rows = [(None, "the cat and the dog " * 5 + str(k), "en", "s") for k in range(30)] + [(None, "der Hund und die Katze " * 5 + str(k), "de", "s") for k in range(20)] + [(None, "zzz qqq " * 9, "xx", "s")] * 40
     net = langid.learn(_docs(spark, rows))
-    assert net.langs == ["de", "en"]
-    assert langid.predict(net, ["und der Hund die Katze", "and the dog the cat", None, ""])[0] == ["de", "en", "und", "und"]
+    assert net.langs == ["de", "en", "xx"]  # a rare language is learned as well
+    assert langid.predict(net, ["und der Hund die Katze", "and the dog the cat", "zzz qqq", None, ""])[0] == ["de", "en", "xx", "und", "und"]
+    seen: list[list[str]] = []
+    monkeypatch.setattr(langid, "train", lambda texts, labels: seen.append(labels))
+    langid.learn(_docs(spark, rows))
+    assert seen[-1].count("xx") == 1 and seen[-1].count("en") == 30  # rows alike count once
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 12)
+    langid.learn(_docs(spark, rows))
+    assert 0 < len(seen[-1]) < 40
+
+
+def test_more_languages_than_a_batch_holds():
+    rng = random.Random(8)
+    texts = {f"l{k:02d}": [bytes(rng.choice(bytes([97 + k // 2, 65 + k % 7 * 3 + k // 26, 32])) for _ in range(200)) for _ in range(3)] for k in range(48)}
+    net = langid.train([t for v in texts.values() for t in v], [k for k, v in texts.items() for _ in v], rounds=120)
+    assert len(net.langs) == 48
+    right = sum(a == b for a, b in zip(langid.predict(net, [v[0].decode() for v in texts.values()])[0], texts, strict=True))
+    assert right > 24
 
 
 def test_scratch_of_a_stage_goes_with_it(spark):

@@ -4,7 +4,7 @@ A text is cut into windows of STEPS bytes, read with MARGIN bytes more on either
 border are seen whole. In each window one gated recurrent unit reads forwards and one backwards; at every
 byte a softmax over both states gives language probabilities. A document's probabilities are the mean over
 all bytes of its whole text, each labelled in the window that it belongs to. Training is backpropagation
-through time with Adam on windows from all over the texts of a bounded sample of the labelled documents.
+through time with Adam on windows drawn from the whole texts of a bounded sample of the labelled documents.
 """
 
 from __future__ import annotations
@@ -21,9 +21,10 @@ from .runtime import held_out, ship
 
 #: Bytes of a window and beside it, hidden units of each direction, windows handled together.
 STEPS, MARGIN, HIDDEN, LANES = 64, 8, 12, 2048
-#: The training sample: about so many documents of each of the most frequent languages, and from each so many passages of so many characters.
-SAMPLE_DOCS, SAMPLE_LANGS, SAMPLE_PARTS, SAMPLE_CHARS = 1500, 256, 6, 80
-ROUNDS, BATCH, RATE = 180, 384, 0.02
+#: The training sample: about so many labelled documents in all, as many of each language; their whole texts are learned from.
+SAMPLE_DOCS = 6000
+#: Steps of training, windows of a batch, least windows of a language in it, and the rate.
+ROUNDS, BATCH, LEAST, RATE = 180, 384, 16, 0.02
 #: 0 fills the end of the last window and is not counted.
 PAD = 0
 
@@ -125,7 +126,7 @@ def windows(texts: list[bytes], steps: int = STEPS, margin: int = MARGIN) -> tup
 
 
 def train(texts: list[bytes], labels: list[str], rounds: int = ROUNDS, batch: int = BATCH, seed: int = 7) -> Net | None:
-    """A net for the languages seen; None without a labelled text. Batches draw each language alike."""
+    """A net for the languages seen; None without a labelled text. Batches draw each language alike; of many languages, each batch takes some in turn."""
     langs = sorted(set(labels))
     if not langs:
         return None
@@ -138,7 +139,8 @@ def train(texts: list[bytes], labels: list[str], rounds: int = ROUNDS, batch: in
     rng = np.random.default_rng(seed)
     moments = [(np.zeros_like(w), np.zeros_like(w)) for w in (net.wx, net.wh, net.wo, net.bo)]
     for i in range(1, rounds + 1):
-        pick = np.concatenate([g[rng.integers(0, len(g), batch // len(groups))] for g in groups])
+        turn = groups if len(groups) <= batch // LEAST else [groups[k] for k in rng.permutation(len(groups))[: batch // LEAST]]
+        pick = np.concatenate([g[rng.integers(0, len(g), batch // len(turn))] for g in turn])
         _, grads = net.gradients(np.ascontiguousarray(x[:, pick]), y[pick])
         rate = RATE * min(1, i / 10) * (1 - i / (rounds + 1)) ** 0.5
         for w, g, (m, v) in zip((net.wx, net.wh, net.wo, net.bo), grads, moments, strict=True):
@@ -170,21 +172,19 @@ def predict(net: Net | None, texts: list[str | None]) -> tuple[list[str], np.nda
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Net | None:
-    """Learns from documents that are not held out. The sample is bounded: about SAMPLE_DOCS documents of each of the SAMPLE_LANGS most frequent
-    languages, and SAMPLE_PARTS passages of each, at hashed places in equal parts of its whole text."""
+    """Learns from documents that are not held out. The sample is bounded in rows only: about SAMPLE_DOCS documents, as many of each language (all, where there are
+    fewer); their whole texts come along. Rows alike in id, text and language count once."""
     ship(docs.sparkSession)
     usable = docs.where(~F.coalesce(held_out(id_col), F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counted = usable.groupBy(F.col(lang_col).alias("y")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(SAMPLE_LANGS)
-    counts = {r["y"]: r["n"] for r in counted.collect()}
-    if not counts:
+    usable = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("x"), F.col(lang_col).cast("string").alias("y"))
+    counts = usable.groupBy("y").agg(F.count("*").alias("n"))
+    langs = counts.count()
+    if not langs:
         return None
-    share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, SAMPLE_DOCS / n))])
-    draw = lambda seed: F.pmod(F.xxhash64(F.lit(seed), id_col, text_col), F.lit(1 << 30)) / F.lit(float(1 << 30))  # noqa: E731  rows without id differ by text
-    room = F.greatest(F.char_length(text_col) - SAMPLE_CHARS, F.lit(0)) / F.lit(float(SAMPLE_PARTS))
-    places = [(room * (F.lit(k) + draw(12 + k))).cast("int") + 1 for k in range(SAMPLE_PARTS)]
-    parts = F.array_distinct(F.array(*[F.substring(F.col(text_col), p, F.lit(SAMPLE_CHARS)) for p in places]))
-    rows = usable.where(draw(11) < share[F.col(lang_col)]).select(F.col(lang_col).cast("string").alias("y"), F.explode(parts).alias("x")).collect()
-    rows = sorted(rows)  # the same net whatever order the rows came in
+    draw = F.pmod(F.xxhash64(F.lit(11), "id", "x"), F.lit(1 << 30)) / F.lit(float(1 << 30))  # rows without id differ by text
+    share = counts.select(F.col("y").alias("of"), (F.lit(SAMPLE_DOCS / langs) / F.col("n")).alias("share"))
+    drawn = usable.join(share, F.col("y") == F.col("of")).where(draw < F.col("share"))
+    rows = sorted(drawn.select("y", "x", "id").distinct().select("y", "x").collect())  # the same net whatever order the rows came in
     return train([r["x"].encode() for r in rows], [r["y"] for r in rows])
 
 
