@@ -627,6 +627,9 @@ def test_rows_without_id_are_learned_from_and_rows_are_bounded(spark, monkeypatc
     monkeypatch.setattr(langid, "SAMPLE_DOCS", 12)
     langid.learn(_docs(spark, rows))
     assert 0 < len(seen[-1]) < 40
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 2)
+    langid.learn(_docs(spark, rows))
+    assert len(seen[-1]) < 20
 
 
 def test_more_languages_than_a_batch_holds():

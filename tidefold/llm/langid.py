@@ -173,17 +173,21 @@ def predict(net: Net | None, texts: list[str | None]) -> tuple[list[str], np.nda
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Net | None:
     """Learns from documents that are not held out. The sample is bounded in rows only: about SAMPLE_DOCS documents, as many of each language (all, where there are
-    fewer); their whole texts come along. Rows alike in id, text and language count once."""
+    fewer; of all alike, where there are more languages than that); their whole texts come along. Rows alike in id, text and language count once."""
     ship(docs.sparkSession)
     usable = docs.where(~F.coalesce(held_out(id_col), F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     usable = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("x"), F.col(lang_col).cast("string").alias("y"))
     counts = usable.groupBy("y").agg(F.count("*").alias("n"))
-    langs = counts.count()
+    langs, total = counts.agg(F.count("*"), F.sum("n")).first()
     if not langs:
         return None
     draw = F.pmod(F.xxhash64(F.lit(11), "id", "x"), F.lit(1 << 30)) / F.lit(float(1 << 30))  # rows without id differ by text
-    share = counts.select(F.col("y").alias("of"), (F.lit(SAMPLE_DOCS / langs) / F.col("n")).alias("share"))
-    drawn = usable.join(share, F.col("y") == F.col("of")).where(draw < F.col("share"))
+    if langs <= SAMPLE_DOCS:
+        # at most SAMPLE_DOCS rows are broadcast: texts stay where they are
+        share = counts.select(F.col("y").alias("of"), (F.lit(SAMPLE_DOCS / langs) / F.col("n")).alias("share"))
+        drawn = usable.join(F.broadcast(share), F.col("y") == F.col("of")).where(draw < F.col("share"))
+    else:
+        drawn = usable.where(draw < SAMPLE_DOCS / total)
     rows = sorted(drawn.select("y", "x", "id").distinct().select("y", "x").collect())  # the same net whatever order the rows came in
     return train([r["x"].encode() for r in rows], [r["y"] for r in rows])
 
