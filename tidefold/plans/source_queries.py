@@ -246,7 +246,7 @@ _PATHS = "SELECT doc_id, CASE WHEN doc_id % 50 = 3 THEN '_background_noise_' ELS
   CASE WHEN doc_id % 10 = 1 THEN 'test' WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split FROM p WHERE path NOT LIKE '_background_noise_/%'
   UNION ALL SELECT NULL, '_silence_', NULL, NULL, 'train' FROM range(20)),
 w AS (SELECT label, (1.0 / count(*)) / sum(1.0 / count(*)) OVER () AS weight FROM l WHERE split = 'train' GROUP BY label)
-SELECT l.path, l.label, l.speaker, l.utterance, l.split, CASE WHEN l.split = 'train' THEN round(w.weight, 12) END AS weight FROM l LEFT JOIN w USING (label)"""
+SELECT l.path, l.label, l.speaker, coalesce(l.utterance, -1)::INT AS utterance, l.split, CASE WHEN l.split = 'train' THEN round(w.weight, 12) END AS weight FROM l LEFT JOIN w USING (label)"""
 )
 def dataset_speech(spark, d):
     """Recordings split by lists that are files, with class weights and crops of noise."""
@@ -257,7 +257,8 @@ def dataset_speech(spark, d):
     for name, chosen in lists.items():
         paths.where(chosen).select("path").write.text(f"{folder}/{name}_list")
     valid, test = (text.read_list(spark, f"{folder}/{name}_list") for name in lists)
-    return datasets.speech(paths, valid, test, silence=20).withColumn("weight", F.round("weight", 12))
+    out = datasets.speech(paths, valid, test, silence=20)
+    return out.withColumn("utterance", F.coalesce("utterance", F.lit(-1))).withColumn("weight", F.round("weight", 12))  # crops have no number
 
 
 _LOG = """WITH m AS (SELECT date_diff('month', DATE '1970-01-01', o_orderdate::DATE)::INT AS epoch, CASE o_orderstatus WHEN 'F' THEN 'train' ELSE 'valid' END AS split, count(*) AS n FROM orders GROUP BY 1, 2)"""
