@@ -11,7 +11,7 @@ from tidefold.functions import scalar
 from tidefold.operators import corpus, decoding, encoding, frames, lookups, metrics, sampling
 from tidefold.operators import recurrences as rec
 from tidefold.plans import registry
-from tidefold.sources import binary, text
+from tidefold.sources import binary, indexed, text
 from tidefold.streaming import streams
 
 SF = "/root/testdata/sf0.001"
@@ -225,7 +225,7 @@ def test_binary_decoders(spark, tmp_path):
     (tmp_path / "i").mkdir()
     (tmp_path / "i" / "c.bin").write_bytes(data)
     (tmp_path / "i" / "c.idx").write_bytes(index)
-    rows = binary.read_indexed(spark, str(tmp_path / "i")).orderBy("item").collect()
+    rows = indexed.read_indexed(spark, str(tmp_path / "i")).orderBy("item").collect()
     assert [r["tokens"] for r in rows] == [[1, 2, 3], [], [65535]]
     np.save(tmp_path / "t.npy", np.arange(5, dtype=np.uint16))
     assert [r["token"] for r in binary.read_npy(spark, str(tmp_path)).orderBy("pos").collect()] == [0, 1, 2, 3, 4]

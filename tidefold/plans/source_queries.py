@@ -1,37 +1,30 @@
 """Queries that write the driver's tables in the formats of the sources, and read them back through their decoders.
 
-Fixture files go below the folder in spark.checkpoint.dir, or a temporary one where that is unset (one machine); they are removed when the process ends."""
+Fixture files go below the shared folder, and are removed when the process ends."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from ..functions import scratch
 from ..operators import corpus, frames
-from ..sources import binary, datasets, event_ranges, text
+from ..sources import binary, datasets, event_ranges, indexed, text
 from ..sources.tables import EVENTS_SQL, events, table
 from .registry import query
 
 
 def _folder(spark) -> str:
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()).removeprefix("file://").rstrip("/")
-    out = f"{base}/fixtures-{uuid.uuid4().hex}"
-    atexit.register(shutil.rmtree, out, ignore_errors=True)
-    return out
+    return scratch.folder(spark, "fixtures")
 
 
-#: Times are the event's place within its sample, in thousands: they fit the 23 bits of the narrowest format.
-_SQL = f"WITH {EVENTS_SQL} SELECT sample, (i - 1)::BIGINT AS event_id, (i * 1000)::BIGINT AS t, {{x}}::INT AS x, {{y}}::INT AS y, {{p}}::INT AS p FROM ev"
+#: Times are the event's place within its sample: the 23 bits of the narrowest format hold eight million.
+_SQL = f"WITH {EVENTS_SQL} SELECT sample, (i - 1)::BIGINT AS event_id, i::BIGINT AS t, {{x}}::INT AS x, {{y}}::INT AS y, {{p}}::INT AS p FROM ev"
 
 
 def _numbered(spark, d):
     i = F.row_number().over(Window.partitionBy("sample").orderBy("t", "event_id"))
-    return events(spark, d).withColumn("i", i).select("sample", "event_id", "x", "y", "p", (F.col("i") * 1000).cast("bigint").alias("t"))
+    return events(spark, d).withColumn("i", i).select("sample", "event_id", "x", "y", "p", F.col("i").cast("bigint").alias("t"))
 
 
 def _round_trip(spark, d, kind: str, ending: str):
@@ -75,7 +68,7 @@ def source_aedat2(spark, d):
     return _round_trip(spark, d, "aedat2", ".aedat")
 
 
-@query(_SQL.format(x="x", y="y", p="p").replace("(i * 1000)", "((i - 1) * 1000)"))
+@query(_SQL.format(x="x", y="y", p="p").replace("i::BIGINT AS t", "(i - 1)::BIGINT AS t"))
 def source_atis_td(spark, d):
     return _round_trip(spark, d, "atis_td", ".dat")
 
@@ -104,7 +97,7 @@ def source_frames_npz(spark, d):
         return pa.table({"name": [f"s{key[0].as_py()}.npz"], "content": pa.array([binary.npz_bytes(frames=f)], pa.binary())})
 
     folder = _folder(spark)
-    framed = _numbered(spark, d).withColumn("frame", F.expr("(t div 1000 - 1) % 3").cast("int"))
+    framed = _numbered(spark, d).withColumn("frame", F.expr("(t - 1) % 3").cast("int"))
     binary.write_files(framed.select("sample", "frame", "p", "y", "x").groupBy("sample").applyInArrow(run, "name string, content binary"), folder)
     out = binary.read_frames(spark, folder)
     return out.select(F.regexp_extract("path", r"s(\d+)\.npz$", 1).cast("bigint").alias("sample"), "frame", "channel", "y", "x", "n")
@@ -154,18 +147,31 @@ def source_token_npy(spark, d):
     return out.select((F.regexp_extract("path", r"(\d+)\.npy$", 1).cast("bigint") * 256 + F.col("pos")).alias("pos"), "token")
 
 
-@query(f"SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::BIGINT AS item, tokens, tokens[2:3] AS part FROM ({_TOKENS})")
+_ITEMS = f"SELECT source, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::BIGINT AS item, tokens, tokens[2:3] AS part FROM ({_TOKENS})"
+
+
+def _stem(path: str = "path"):
+    return F.regexp_extract(path, r"([^/]+)$", 1).alias("source")
+
+
+@query(_ITEMS)
 def source_indexed(spark, d):
-    import pyarrow as pa
+    """A corpus for each source, in parts of 64 tokens, read in ranges of 50 bytes: small, so that small tables have many of both."""
+    folder = _folder(spark)
+    indexed.write_indexed(_tokens(spark, d), folder, "source", "doc_id", part_tokens=64, hot_rows=1)
+    out = indexed.read_indexed(spark, folder, 50)
+    return out.select(_stem(), "item", "tokens", binary.item_slice("tokens", 1, 2).alias("part"))
 
-    def run(key, group):
-        data, index = binary.write_index(group.sort_by("doc_id").column("tokens").to_pylist())
-        return pa.table({"name": [f"{key[0].as_py()}.bin", f"{key[0].as_py()}.idx"], "content": pa.array([data, index], pa.binary())})
 
+@query(f"SELECT source, item, part FROM ({_ITEMS}) WHERE item % 3 = 0")
+def source_indexed_slices(spark, d):
+    """Two tokens of every third item, by their byte ranges."""
     folder = _folder(spark)
-    binary.write_files(_tokens(spark, d).groupBy("source").applyInArrow(run, "name string, content binary"), folder)
-    out = binary.read_indexed(spark, folder)
-    return out.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), "item", "tokens", binary.item_slice("tokens", 1, 2).alias("part"))
+    indexed.write_indexed(_tokens(spark, d), folder, "source", "doc_id", part_tokens=64)
+    wanted = table(spark, d, "documents").groupBy("source").count()
+    wanted = wanted.select(F.concat(F.lit(scratch.qualified(spark, folder) + "/"), "source").alias("path"), F.explode(F.sequence(F.lit(0), F.col("count") + 2, F.lit(3))).alias("item"))
+    out = indexed.read_slices(spark, folder, wanted, 1, 2)
+    return out.select(_stem(), "item", F.col("tokens").alias("part"))
 
 
 @query("SELECT md5(text) AS digest, length(text)::INT AS n FROM documents")

@@ -7,8 +7,6 @@ Decoders take bytes and give columns, so they need no file system of their own.
 from __future__ import annotations
 
 import io
-import os
-import uuid
 import zipfile
 from collections.abc import Callable
 
@@ -19,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scratch import ship
 from . import matlab
+from .sinks import write_files
 
 Events = dict[str, np.ndarray]
 
@@ -187,28 +186,18 @@ def index_items(index: bytes) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
     return INDEX_TYPES[index[17]], sizes, np.frombuffer(index, "<i8", n, 34 + 4 * n), np.frombuffer(index, "<i8", docs, 34 + 12 * n)
 
 
-def write_index(items: list[np.ndarray], code: int = 8) -> tuple[bytes, bytes]:
-    """(.bin, .idx) of a list of token arrays, one document each."""
-    kind = np.dtype(INDEX_TYPES[code])
-    sizes = np.array([len(i) for i in items], "<i4")
-    pointers = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))[:-1] * kind.itemsize]).astype("<i8") if len(items) else np.zeros(0, "<i8")
-    head = INDEX_MAGIC + (1).to_bytes(8, "little") + bytes([code]) + len(items).to_bytes(8, "little") + (len(items) + 1).to_bytes(8, "little")
-    return b"".join(np.asarray(i, kind).tobytes() for i in items), head + sizes.tobytes() + pointers.tobytes() + np.arange(len(items) + 1, dtype="<i8").tobytes()
-
+def index_bytes(sizes: np.ndarray, code: int = 8) -> bytes:
+    """The .idx of items that lie one after the other, one document each."""
+    n, width = len(sizes), np.dtype(INDEX_TYPES[code]).itemsize
+    pointers = np.zeros(n, "<i8")
+    np.cumsum(np.asarray(sizes, np.int64)[:-1] * width, out=pointers[1:])
+    head = INDEX_MAGIC + (1).to_bytes(8, "little") + bytes([code]) + n.to_bytes(8, "little") + (n + 1).to_bytes(8, "little")
+    return head + np.asarray(sizes, "<i4").tobytes() + pointers.tobytes() + np.arange(n + 1, dtype="<i8").tobytes()
 
-def read_indexed(spark: SparkSession, path: str) -> DataFrame:
-    """path (without extension), item, tokens (array of long) of .bin/.idx pairs: the two files of a pair meet by name."""
-    files = _files(spark, path, "*.{bin,idx}").select(F.regexp_replace("path", r"\.(bin|idx)$", "").alias("stem"), F.col("path").endswith(".idx").alias("is_index"), "content")
-    pairs = files.groupBy("stem").agg(F.max(F.when(F.col("is_index"), F.col("content"))).alias("idx"), F.max(F.when(~F.col("is_index"), F.col("content"))).alias("bin")).where("idx is not null and bin is not null")
-
-    def run(batches):
-        for b in batches:
-            for stem, idx, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                kind, sizes, pointers, _ = index_items(idx)
-                items = [np.frombuffer(data, kind, n, p).astype(np.int64).tolist() for n, p in zip(sizes.tolist(), pointers.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([stem] * len(items)), pa.array(np.arange(len(items))), pa.array(items, pa.list_(pa.int64()))], names=["path", "item", "tokens"])
 
-    return pairs.mapInArrow(run, "path string, item bigint, tokens array<bigint>")
+def write_index(items: list[np.ndarray], code: int = 8) -> tuple[bytes, bytes]:
+    """(.bin, .idx) of a list of token arrays, one document each."""
+    return b"".join(np.asarray(i, INDEX_TYPES[code]).tobytes() for i in items), index_bytes(np.array([len(i) for i in items], np.int64), code)
 
 
 def item_slice(tokens, offset: int = 0, length: int | None = None):
@@ -251,7 +240,10 @@ def to_aedat3(e: Events, capacity: int = 4096) -> bytes:
 
 
 def to_atis40(e: Events) -> bytes:
+    """Times have 23 bits; a longer one cannot be told and is an error."""
     t = e["t"]
+    if len(t) and (t.min() < 0 or t.max() >> 23):
+        raise ValueError("a time that 23 bits do not hold")
     return np.stack([e["x"], e["y"], e["p"] << 7 | t >> 16 & 127, t >> 8 & 255, t & 255], 1).astype(np.uint8).tobytes()
 
 
@@ -277,22 +269,6 @@ def to_mat(e: Events) -> bytes:
 ENCODERS: dict[str, Callable[[Events], bytes]] = {"aedat3": to_aedat3, "atis40": to_atis40, "aedat2": to_aedat2, "atis_td": to_atis_td, "pos_neg_npz": to_pos_neg_npz, "npz": lambda e: npz_bytes(**e), "mat": to_mat}
 
 
-def write_files(files: DataFrame, folder: str) -> None:
-    """Rows (name, content) as files below a folder that all executors and the driver share; a file is whole or not there."""
-
-    def run(rows):
-        for r in rows:
-            to = os.path.join(folder, r["name"])
-            os.makedirs(os.path.dirname(to), exist_ok=True)
-            own = f"{to}.{uuid.uuid4().hex}.part"
-            with open(own, "wb") as f:
-                f.write(r["content"])
-            os.replace(own, to)
-
-    ship(files.sparkSession)
-    files.select("name", "content").foreachPartition(run)
-
-
 def encode_events(events: DataFrame, name: str, kind: str) -> DataFrame:
     """(name, content): the events (t, x, y, p) of each file name, in order of t and event_id, as bytes of a format. A file is one value in memory, as any reader of it needs."""
     encode = ENCODERS[kind]

@@ -20,6 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scratch import ship
 from .binary import aedat2, aedat3, atis40
+from .sinks import opened
 
 SCHEMA = "path string, event_id bigint, t bigint, x int, y int, p int"
 #: Bytes of a record, and whether the file begins with # lines (fixed values); 0: packets.
@@ -82,10 +83,6 @@ def ranges(path: str, f, kind: str, size: int) -> Iterator[Range]:
             begin, first = at, events
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:/") else "file://" + path)
-
-
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.kind = options["path"], options["kind"]
@@ -94,7 +91,7 @@ class _Reader(DataSourceReader):
             raise ValueError(f"no ranges for files of kind {self.kind}")
 
     def partitions(self) -> list[Range]:
-        system, root = _open(self.path)
+        system, root = opened(self.path)
         info = system.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
         out: list[Range] = []
@@ -106,7 +103,7 @@ class _Reader(DataSourceReader):
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if part.end <= part.begin:
             return
-        system, _ = _open(self.path)
+        system, _ = opened(self.path)
         with system.open_input_file(part.path) as f:
             e = DECODE[self.kind](f.read_at(part.end - part.begin, part.begin))
         for a in range(0, len(e["t"]), BATCH):
