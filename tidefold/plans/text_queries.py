@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scratch
 from ..operators import corpus, sampling
+from ..sources import streamed
 from ..sources.tables import table
 from ..sources.text import parse_speech_path
 from .registry import query
@@ -98,6 +100,15 @@ def take_budget(spark, d):
     return corpus.take_budget(sized, "doc_id", "n", BUDGET).select("doc_id", "n_kept")
 
 
+@query(f"{WORDS} SELECT doc_id, least(n, {BUDGET} - start)::BIGINT AS n_kept FROM s WHERE start < {BUDGET}")
+def take_budget_streamed(spark, d):
+    """The same of a dataset of 24 files, of which only the first few are read."""
+    folder = scratch.folder(spark, "fixtures")
+    _docs(spark, d).repartitionByRange(24, "doc_id").sortWithinPartitions("doc_id").write.parquet(folder)
+    words = F.size(F.split("text", " ", -1))
+    return streamed.take_until(spark, streamed.list_files(spark, folder), words, BUDGET, ["doc_id"], F.col("text").isNotNull())
+
+
 @query(
     """WITH a AS (SELECT doc_id, 0 AS part FROM documents UNION ALL SELECT item_id, 1 FROM benchmark) SELECT part, doc_id AS id, row_number() OVER (ORDER BY part, doc_id) - 1 AS pos FROM a"""
 )
