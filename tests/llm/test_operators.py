@@ -434,16 +434,45 @@ def test_boilerplate_lines(spark):
     rows += [(100, "\n".join([notice, "one two three"]), None, "h1"), (101, notice, None, "h2")]
     rows += [(200 + k, "copy " * 3 + " ".join(f"c{j}" for j in range(20)), None, "h1") for k in range(50)]
     docs = _docs(spark, rows)
-    out = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    out = {r["doc_id"]: r for r in quality_rules.judge(docs, witness="texts").collect()}
     n = len(notice.split())
     assert all(out[k]["n_common_words"] == n and out[k]["kept"] for k in range(60))
     assert out[100]["n_common_words"] == n and not out[100]["kept"] and not out[100]["base_failed"]
     assert out[101]["n_common_words"] == 0 and out[101]["kept"]
     assert all(out[200 + k]["kept"] for k in range(50))  # copies of one text are one witness
+    counted = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
+    assert all(counted[k]["kept"] == (k < 100 or k == 101) and not counted[k]["base_failed"] for k in counted)  # each copy is a document
+    with pytest.raises(ValueError):
+        quality_rules.judge(docs, witness="hosts")
     clean = {r["doc_id"]: r["text"] for r in quality_rules.without_common_lines(docs).collect()}
     assert clean[0] == body[0] and clean[100] == "one two three" and clean[101] == notice
 
 
+def test_line_rule_equals_sql(spark, tmp_path):
+    """Hosts with boilerplate, copies, depleted documents and rests that fail: every branch of the rule is reached, and equals the SQL."""
+    import duckdb
+
+    rng = np.random.default_rng(12)
+    notices = [" ".join(f"n{k}w{j}" for j in range(3 + 8 * k)) for k in range(5)]
+    rows = []
+    for k in range(400):
+        lines = [" ".join(f"d{k}l{i}w{j}" for j in range(int(rng.integers(0, 14)))) for i in range(int(rng.integers(0, 6)))]
+        lines += [notices[i].upper() if k % 3 else notices[i].replace(" ", " \t", 1) for i in rng.permutation(5)[: int(rng.integers(0, 4))]]
+        rng.shuffle(lines)
+        rows.append((k, None if k == 77 else "\n".join(lines), "en", [None, "a", "b"][int(rng.integers(0, 3))]))
+    rows += [(1000 + k, "a text that has been copied\n" + " ".join(f"c{j}" for j in range(30)), "en", "a") for k in range(25)]  # over the limit only as documents
+    docs = _docs(spark, rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(quality_rules.JUDGE_SQL).fetchall())
+    got = quality_rules.judge(docs)
+    assert sorted(map(tuple, got.collect())) == want
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert sum(not r["base_failed"] and not r["kept"] for k, r in rows.items() if k < 1000) > 10 and sum(r["kept"] and r["n_common_words"] > 0 for r in rows.values()) > 10
+    assert not any(rows[1000 + k]["kept"] for k in range(25)) and all(r["kept"] for r in quality_rules.judge(docs, witness="texts").where("doc_id >= 1000").collect())
+
+
 def test_long_lines_are_counted(spark):
     passage = " ".join(f"long{j}" for j in range(60))
     rows = [(k, f"{passage}\n" + " ".join(f"w{k}x{j}" for j in range(40)), None, "h1") for k in range(quality_rules.LINE_DOCS + 1)]

@@ -22,7 +22,7 @@ def test_stages(spark):
         seen[name] = (before, docs)
     ids = lambda df: {r[0] for r in df.select("doc_id").collect()}
     before, after = seen["quality_rules"]
-    assert ids(after) == {r["doc_id"] for r in quality_rules.judge(before).where("kept").collect()}
+    assert ids(after) == {r["doc_id"] for r in quality_rules.judge(before, witness="texts").where("kept").collect()}
     before, after = seen["language_id"]
     assert ids(after) == {r["doc_id"] for r in langid.identify(before).collect() if r["lang_pred"] != "und"}
     before, after = seen["near_duplicates"]

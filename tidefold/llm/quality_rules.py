@@ -1,8 +1,8 @@
 """Quality rules from DataFrame functions only: base counts, and how often lines repeat across documents.
 
 Line rule: lines are lower-cased, white space in them collapses, and a 64-bit hash stands for them. For each host (the source
-column) and hash, the distinct documents that hold it are counted (copies of one text are not distinct: they are one witness, and
-removing copies is another operator's work). Lines of any length counted above the limit are boilerplate and are taken out; a
+column) and hash, the documents that hold it are counted, each once: a row is a document. With ``witness="texts"`` copies of one text count
+once together; a pipeline that removes copies later asks for that, or a page would vanish because it was copied. Lines of any length counted above the limit are boilerplate and are taken out; a
 document that has too small a part of its words left, or whose rest fails the base rule, is depleted and rejected.
 
 Texts are split once: base counts and line hashes are stored beside the text, and the lines are counted and looked up from there.
@@ -23,7 +23,7 @@ BLANKS = " \t\n\x0b\f\r"
 WINDOW = 8
 #: Base limits: least words, and most percent of the words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
-#: A line in more than LINE_DOCS distinct documents of a host is boilerplate, however long it is.
+#: A line in more than LINE_DOCS documents of a host is boilerplate, however long it is.
 #: A document is depleted if under LEAST_LEFT percent of its words are left.
 LINE_DOCS, LEAST_LEFT = 20, 30
 #: The boilerplate lines of hosts are broadcast as one list a host up to so many lines of a host and in all; beyond, they are joined by shuffles.
@@ -112,19 +112,22 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Dat
     return stored(docs.sparkSession, out.select("*", _hashed_lines(text).alias("lines")), "lines")
 
 
-def common_lines(rows: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
-    """(c_host, c_h): the boilerplate lines of prepared rows. Distinct documents and counts are combined before their shuffles."""
-    held = rows.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")).distinct()
+def common_lines(rows: DataFrame, line_docs: int = LINE_DOCS, witness: str = "documents") -> DataFrame:
+    """(c_host, c_h): the boilerplate lines of prepared rows. Counts are combined before their shuffle; texts, where they are the witnesses, before theirs."""
+    if witness not in ("documents", "texts"):
+        raise ValueError("documents or texts are counted")
+    once = F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h")
+    held = rows.select("host", once) if witness == "documents" else rows.select("host", "text_hash", once).distinct()
     return held.groupBy("host", "h").agg(F.count("*").alias("n")).where(F.col("n") > line_docs).select(F.col("host").alias("c_host"), F.col("h").alias("c_h"))
 
 
-def _with_common(rows: DataFrame, line_docs: int) -> DataFrame:
+def _with_common(rows: DataFrame, line_docs: int, witness: str) -> DataFrame:
     """Prepared rows with r_common: the distinct hashes of a row's boilerplate lines; null where it has none.
 
     Few boilerplate lines travel to the rows as a list for each host. Beyond the bounds the lines come to them by shuffles: a line that very many
     documents hold is one row on the counted side, and on the other its rows may be split by the adaptive skew join."""
     spark = rows.sparkSession
-    common = stored(spark, common_lines(rows, line_docs), "common")
+    common = stored(spark, common_lines(rows, line_docs, witness), "common")
     size = common.groupBy("c_host").count().agg(F.max("count").alias("most"), F.sum("count").alias("all")).first()  # one row
     if (size["most"] or 0) <= MOST_OF_HOST and (size["all"] or 0) <= MOST_LINES:
         lists = common.groupBy("c_host").agg(F.collect_list("c_h").alias("hashes"))
@@ -149,13 +152,13 @@ def _depleted(text: Column) -> Column:
     return F.when(F.col("r_common").isNull(), F.lit(False)).otherwise(_let(words_of(_cleaned(text)), failed))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS) -> DataFrame:
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, witness: str = "documents") -> DataFrame:
     """One row per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_common_words.
 
     Null and empty texts have no words and fail the base rule. Null hosts are one host of their own. Ids may be null or repeat: each row is judged
     for itself, and rows alike in id, host and text get the same verdict. Other columns are not read. An empty table gives an empty result.
     """
-    rows = _with_common(_prepared(docs.select(id_col, text_col, host_col), id_col, text_col, host_col), line_docs)
+    rows = _with_common(_prepared(docs.select(id_col, text_col, host_col), id_col, text_col, host_col), line_docs, witness)
     words = F.aggregate(F.filter("lines", lambda x: F.array_contains("r_common", x["h"])), F.lit(0).cast("long"), lambda s, x: s + x["w"])
     counted = rows.select("id", "c.*", _depleted(F.col("d1")).alias("depleted"), F.when(F.col("r_common").isNull(), F.lit(0).cast("long")).otherwise(words).alias("n_common_words"))
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
@@ -169,18 +172,18 @@ def _out(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     return rows.select(*[(_cleaned(F.col(f"d{k}")) if c == text_col else F.col(f"d{k}")).alias(c) for k, c in enumerate(docs.columns)])
 
 
-def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def keep(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", witness: str = "documents") -> DataFrame:
     """The documents that the rules keep, with boilerplate lines taken out of the texts; other columns are unchanged, whatever their names. Each row is judged
     for itself, also where ids are null or repeat."""
     # lines are counted over all documents: those that fail the base rule hold them too
-    rows = _with_common(_prepared(docs, id_col, text_col, host_col), LINE_DOCS)
+    rows = _with_common(_prepared(docs, id_col, text_col, host_col), LINE_DOCS, witness)
     sound = ~base_failed(F.col("c.n_words"), F.col("c.n_repeat_words"))
     return _out(rows.where(sound & ~_depleted(F.col(f"d{docs.columns.index(text_col)}"))), docs, text_col)
 
 
-def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS) -> DataFrame:
+def without_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", line_docs: int = LINE_DOCS, witness: str = "documents") -> DataFrame:
     """docs with boilerplate lines taken out of the texts; nothing else changes."""
-    return _out(_with_common(_prepared(docs, id_col, text_col, host_col), line_docs), docs, text_col)
+    return _out(_with_common(_prepared(docs, id_col, text_col, host_col), line_docs, witness), docs, text_col)
 
 
 def _covered_sql(name: str, words: str) -> str:
@@ -197,7 +200,7 @@ lf AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_
 {_covered_sql("cov", "d")},
 ex AS (SELECT doc_id, source, text, pos, x, lower(regexp_replace(trim(x, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+', ' ', 'g')) AS line
   FROM (SELECT doc_id, source, text, generate_subscripts(l, 1) AS pos, unnest(l) AS x FROM d JOIN lf USING (doc_id))),
-common AS (SELECT source, line FROM ex GROUP BY source, line HAVING count(DISTINCT text) > {LINE_DOCS}),
+common AS (SELECT source, line FROM ex GROUP BY source, line HAVING count(DISTINCT doc_id) > {LINE_DOCS}),
 marked AS (SELECT ex.*, c.line IS NOT NULL AS cut FROM ex LEFT JOIN common c ON ex.source IS NOT DISTINCT FROM c.source AND ex.line = c.line),
 rest AS (SELECT doc_id, sum(CASE WHEN cut THEN len(string_split(line, ' ')) ELSE 0 END) AS n, regexp_extract_all(coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (NOT cut), ''), '[^\x20\x09-\x0D]+') AS w
   FROM marked GROUP BY doc_id HAVING bool_or(cut)),
