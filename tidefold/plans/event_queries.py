@@ -153,17 +153,25 @@ def stream_tumbling(spark, d):
     return out.select("event_type", "n", F.col("start").cast("timestamp_ntz").alias("start"), F.round("total", 4).alias("total"))
 
 
-@query(
-    f"""WITH RECURSIVE {EVENTS_SQL},
+_KEYED = f"""WITH RECURSIVE {EVENTS_SQL},
 r AS (SELECT sample, 0::BIGINT AS i, NULL::BIGINT AS event_id, 0 AS spike, 0.0::DOUBLE AS v FROM (SELECT DISTINCT sample FROM ev) UNION ALL
   SELECT sample, i, event_id, CASE WHEN h >= 1 THEN 1 ELSE 0 END, CASE WHEN h >= 1 THEN 0.0 ELSE h END FROM
   (SELECT e.sample, e.i, e.event_id, r.v + (e.value / 100 - r.v) / 2.3::DOUBLE AS h FROM r JOIN ev e ON e.sample = r.sample AND e.i = r.i + 1))
 SELECT sample AS user_id, event_id, spike, round(v, 6) AS v FROM r WHERE i > 0"""
-)
+
+
+@query(_KEYED)
 def stream_keyed_neuron(spark, d):
     return streams.run_once(streams.keyed_neuron(streams.event_stream(spark, d), 2.3)).select("user_id", "event_id", "spike", F.round("v", 6).alias("v"))
 
 
+@query(f"SELECT k.* FROM ({_KEYED}) k JOIN events e USING (event_id) WHERE epoch_us(e.ts) < (SELECT epoch_ms(max(ts)) * 1000 - 86400000000 FROM events)")
+def stream_ordered_neuron(spark, d):
+    """In event time: all rows that the watermark, a day before the last one, has passed."""
+    out = streams.run_once(streams.ordered_neuron(streams.event_stream(spark, d), "1 day", 2.3))
+    return out.select("user_id", "event_id", "spike", F.round("v", 6).alias("v"))
+
+
 @query(
     f"""SELECT l_orderkey, l_linenumber, l_returnflag FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {sampling.uniform_sql(7, 'l_orderkey * 10 + l_linenumber')}, l_orderkey * 10 + l_linenumber) AS k,
 count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem) WHERE k <= floor(0.05 * n)"""

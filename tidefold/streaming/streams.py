@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,40 @@ def keyed_neuron(stream: DataFrame, tau: float = 2.0, theta: float = 1.0, scale:
     return stream.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, spike int, v double", "v double", "append", "NoTimeout")
 
 
+def ordered_neuron(stream: DataFrame, late: str = "1 day", tau: float = 2.0, theta: float = 1.0, scale: float = 100.0) -> DataFrame:
+    """keyed_neuron in event time: a row is fed only when the watermark (the latest time so far less ``late``) has passed it, and then in order of (ts, event_id).
+
+    However rows fall into micro-batches, the result is the same, so long as none is later than ``late``; such rows are dropped. A key's rows that wait are its
+    state, those of the last ``late`` and of one micro-batch at most (maxFilesPerTrigger bounds that); an event-time timeout feeds them when no new row comes.
+    Rows that the watermark does not reach are not fed. A null value is no input; rows without a time are left out."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        v, *waiting = state.get if state.exists else (0.0, [], [], [])
+        parts = [[np.asarray(w, k)] for w, k in zip(waiting, (np.int64, np.int64, np.float64), strict=True)]
+        for b in batches:
+            for part, column in zip(parts, ("__t", "event_id", "value"), strict=True):
+                part.append(b[column].to_numpy(part[0].dtype, na_value=0))
+        t, events, values = (np.concatenate(p) for p in parts)
+        order = np.lexsort((events, t))
+        t, events, values = t[order], events[order], values[order]
+        n = int(np.searchsorted(t, state.getCurrentWatermarkMs() * 1000))  # times before the watermark: none of them can come any more
+        spikes, volts = np.zeros(n, np.int32), np.zeros(n)
+        for k, x in enumerate(values[:n].tolist()):
+            v = v + (x / scale - v) / tau
+            if v >= theta:
+                spikes[k], v = 1, 0.0
+            volts[k] = v
+        state.update((v, t[n:].tolist(), events[n:].tolist(), values[n:].tolist()))
+        if n < len(t):
+            state.setTimeoutTimestamp(int(t[n] // 1000))
+        if n:
+            yield pd.DataFrame({"user_id": key[0], "event_id": events[:n], "spike": spikes, "v": volts})
+
+    held = "v double, t array<bigint>, e array<bigint>, x array<double>"
+    timed = stream.where("ts is not null").withWatermark("ts", late).select("user_id", "event_id", "ts", F.unix_micros("ts").alias("__t"), F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
+    return timed.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, event_id bigint, spike int, v double", held, "append", "EventTimeTimeout")
+
+
 def run_once(stream: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
     """Runs a stream over what is there now into parquet files (exactly once, by its checkpoint) and reads them back.
 
