@@ -8,7 +8,6 @@ export() writes them out as plain files.
 
 from __future__ import annotations
 
-import os
 import zlib
 
 import numpy as np
@@ -17,6 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import sinks
 from .bpe import encoder
 from .rangecoder import decode, encode
 from .runtime import ship, spread, stored
@@ -102,17 +102,9 @@ def read_files(files: DataFrame, id_col: str = "doc_id", with_ids: bool = False)
 
 
 def export(files: DataFrame, folder: str) -> None:
-    """Write each file as part-seq.tok into a folder that all executors share."""
-
-    def run(rows):
-        os.makedirs(folder, exist_ok=True)
-        for r in rows:
-            to = f"{folder}/{r['part']:06d}-{r['seq']:06d}.tok"
-            with open(f"{to}.{os.getpid()}", "wb") as f:
-                f.write(r["data"])
-            os.replace(f.name, to)
-
-    files.foreachPartition(run)
+    """Write each file as part-seq.tok into a folder of any file system: all of them or, where the job fails, none."""
+    name = F.format_string("%06d-%06d.tok", "part", "seq")
+    sinks.write_files(files.select(name.alias("name"), F.col("data").alias("content")), folder)
 
 
 def token_files(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
