@@ -96,7 +96,7 @@ class FileRows(DataSource):
 
 
 def write_files(files: DataFrame, folder: str) -> None:
-    """Rows (name, content) as files below a folder: all of them or, where the job fails, none. A null content is an empty file; a file of the same name is
+    """Rows (name, content) as files below a folder: all of them or, where the tasks fail, none (a move that fails in the commit leaves those before it). A null content is an empty file; a file of the same name is
     replaced; names that repeat, or lead out of the folder, are an error. No rows make an empty folder."""
     spark = files.sparkSession
     ship(spark)
