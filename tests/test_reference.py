@@ -275,7 +275,8 @@ def test_whole_rows_by_numpy(spark, con):
     assert registry.QUERIES["threshold_margins"](spark, SF).count() == sum(len(v) for _, v in emb)
 
 
-def test_hot_groups_are_ranked_in_parts(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [0, 1000])
+def test_hot_groups_are_ranked_in_parts(spark, monkeypatch, hot):
     monkeypatch.setattr(sampling, "PART_ROWS", 7)
     rng = np.random.default_rng(3)
     rows = [(int(g), k, int(rng.integers(0, 50))) for k, g in enumerate(rng.choice([1, 1, 1, 2, 3], 400))]
@@ -284,17 +285,17 @@ def test_hot_groups_are_ranked_in_parts(spark, monkeypatch):
     for g, k, t in rows:
         by.setdefault(None if g == 3 else g, []).append((t, k))
     want = {k: place for g in by.values() for place, (_, k) in enumerate(sorted(g), 1)}
-    assert {r["event_id"]: r["__k"] for r in sampling.ranked(df, "sample", ("t", "event_id")).collect()} == want
-    framed = {r["event_id"]: r["frame"] for r in frames.equal_count(df, 5).collect()}
+    assert {r["event_id"]: r["__k"] for r in sampling.ranked(df, "sample", ("t", "event_id"), hot).collect()} == want
+    framed = {r["event_id"]: r["frame"] for r in frames.equal_count(df, 5, hot_rows=hot).collect()}
     size = {k: len(g) for g in by.values() for _, k in g}
     assert framed == {k: min((want[k] - 1) // (size[k] // 5), 4) for k in want}
     spans = {g: (min(v)[0], (max(v)[0] - min(v)[0]) // 4) for g, v in by.items()}
     assert {r["event_id"]: r["frame"] for r in frames.equal_time(df, 4).collect()} == {k: min((t - spans[g][0]) // spans[g][1], 3) for g, v in by.items() for t, k in v}
-    kept = {r["event_id"] for r in sampling.subset(df, 0.3, 1, "sample", "event_id", randomly=False).collect()}
+    kept = {r["event_id"] for r in sampling.subset(df, 0.3, 1, "sample", "event_id", randomly=False, hot_rows=hot).collect()}
     assert kept == {k for v in by.values() for k in sorted(k for _, k in v)[: int(0.3 * len(v))]}
-    train = {r["event_id"]: r["is_train"] for r in sampling.stratified(df, 0.8, "sample", "event_id", seed=5).collect()}
+    train = {r["event_id"]: r["is_train"] for r in sampling.stratified(df, 0.8, "sample", "event_id", seed=5, hot_rows=hot).collect()}
     assert set(train) == set(want) and all(sum(train[k] for _, k in v) == math.ceil(0.8 * len(v)) for v in by.values())
-    assert sampling.subset(df.where("false"), 0.3, 1, "sample", "event_id").count() == 0 and frames.equal_count(df.where("false"), 3).count() == 0
+    assert sampling.subset(df.where("false"), 0.3, 1, "sample", "event_id", hot_rows=hot - 1).count() == 0 and frames.equal_count(df.where("false"), 3, hot_rows=hot - 1).count() == 0
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")

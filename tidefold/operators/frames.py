@@ -15,12 +15,12 @@ from .lookups import number_within
 from .sampling import cut_at, ranked, uniform, up_to
 
 
-def equal_count(events: DataFrame, frames: int, key: str = "sample", order: tuple[str, ...] = ("t", "event_id")) -> DataFrame:
+def equal_count(events: DataFrame, frames: int, key: str = "sample", order: tuple[str, ...] = ("t", "event_id"), hot_rows: int = HOT_ROWS) -> DataFrame:
     """Frame i holds events [i * d, (i + 1) * d) with d = N // frames; the last also holds the remainder. With N < frames all are in the last.
 
-    The first column of the order is a number. A sample of very many events is ranked in parts."""
+    The first column of the order is a number. A sample of more than hot_rows events is ranked in parts."""
     place = F.when(F.col("__n") < frames, F.lit(frames - 1)).otherwise(F.least(F.expr(f"(__k - 1) div greatest(__n div {frames}, 1)"), F.lit(frames - 1)))
-    return ranked(events, key, order).withColumn("frame", place.cast("int")).drop("__k", "__n")
+    return ranked(events, key, order, hot_rows).withColumn("frame", place.cast("int")).drop("__k", "__n")
 
 
 def equal_time(events: DataFrame, frames: int, key: str = "sample", t: str = "t") -> DataFrame:

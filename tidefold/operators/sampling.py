@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.blocks import HOT_ROWS, largest
+
 
 def uniform(seed: int, *ident: Column) -> Column:
     """A number in [0, 1) from the seed and the row's identity: the first 32 bits of an md5. The same on any engine."""
@@ -37,8 +39,18 @@ def _parted(df: DataFrame, group: str, order: Column) -> tuple[DataFrame, DataFr
     return out, counts.select("__g", "__p", "__all", before.alias("__before"))
 
 
-def ranked(df: DataFrame, group: str, order: tuple[str, ...]) -> DataFrame:
-    """df with __k, the place of a row in its group from 1, and __n, the rows of the group. The first column of the order is a number."""
+def _ranked_plainly(df: DataFrame, group: str, order: list[Column]) -> DataFrame:
+    """df with __k and __n as below, by one shuffle: a group is put in order by one task."""
+    w = Window.partitionBy(group)
+    return df.withColumn("__k", F.row_number().over(w.orderBy(*order))).withColumn("__n", F.count(F.lit(1)).over(w))
+
+
+def ranked(df: DataFrame, group: str, order: tuple[str, ...], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """df with __k, the place of a row in its group from 1, and __n, the rows of the group. The first column of the order is a number.
+
+    If a group has more than hot_rows rows, all are ranked in parts; the result is the same if the order is total."""
+    if largest(df, [group]) <= hot_rows:
+        return _ranked_plainly(df, group, [F.col(c) for c in order])
     out, parts = _parted(df, group, F.col(order[0]))
     inner = F.row_number().over(Window.partitionBy(group, "__part").orderBy(*order))
     out = out.withColumn("__inner", inner).join(parts, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
@@ -61,16 +73,20 @@ def up_to(order: list[Column]) -> Column:
     return F.struct(*[c.alias(f"o{k}") for k, c in enumerate(order)]) <= F.col("__cut")
 
 
-def subset(df: DataFrame, ratio: float, seed: int, group: str, ident: str, randomly: bool = True) -> DataFrame:
+def subset(df: DataFrame, ratio: float, seed: int, group: str, ident: str, randomly: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
     """floor(ratio * n) rows of each group: hashed order, or by id (a distinct number)."""
     order = [uniform(seed, F.col(ident)), F.col(ident)] if randomly else [F.col(ident)]
+    if largest(df, [group]) <= hot_rows:
+        return _ranked_plainly(df, group, order).where(F.col("__k") <= F.floor(F.lit(ratio) * F.col("__n"))).drop("__k", "__n")
     cut = cut_at(df, group, order, F.floor(F.lit(ratio) * F.col("__all")))
     return df.join(cut, F.col(group).eqNullSafe(F.col("__g"))).where(up_to(order)).drop("__g", "__cut")
 
 
-def stratified(df: DataFrame, ratio: float, group: str, ident: str, seed: int | None = None) -> DataFrame:
+def stratified(df: DataFrame, ratio: float, group: str, ident: str, seed: int | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds is_train: the first ceil(ratio * n) rows of each class by id (a distinct number), or in a hashed order with a seed."""
     order = [F.col(ident)] if seed is None else [uniform(seed, F.col(ident)), F.col(ident)]
+    if largest(df, [group]) <= hot_rows:
+        return _ranked_plainly(df, group, order).withColumn("is_train", (F.col("__k") <= F.ceil(F.lit(ratio) * F.col("__n"))).cast("int")).drop("__k", "__n")
     cut = cut_at(df, group, order, F.ceil(F.lit(ratio) * F.col("__all")))
     out = df.join(cut, F.col(group).eqNullSafe(F.col("__g")), "left")
     return out.withColumn("is_train", F.coalesce(up_to(order), F.lit(False)).cast("int")).drop("__g", "__cut")
