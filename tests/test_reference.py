@@ -309,6 +309,17 @@ def test_tokens_are_the_librarys(spark, con):
     assert out == {k: [*lib.encode(t, add_special_tokens=False).ids, 50256] for k, t in texts.items() if t and not t.isspace()}
 
 
+def test_decoded_tokens_are_the_text(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    texts = ["", "a", " two  spaces ", "日本語 naïve", "\t\n x", "<|endoftext|>", "long " * 30000]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    out = corpus.detokenize(corpus.tokenize(df, path, 50256), path, 50256)
+    assert {r["k"]: r["decoded"] for r in out.collect()} == dict(enumerate(texts))
+    odd = spark.createDataFrame([(0, None), (1, []), (2, [50256])], "k int, ids array<int>")
+    assert {r["k"]: r["decoded"] for r in corpus.detokenize(odd, path, 50256).collect()} == {0: None, 1: "", 2: ""}
+    assert corpus.detokenize(odd.where("false"), path, 50256).count() == 0
+
+
 def test_event_files_round_trip():
     rng = np.random.default_rng(1)
     e = {"t": np.sort(rng.integers(0, 2**33, 9000)), "x": rng.integers(0, 128, 9000), "y": rng.integers(0, 128, 9000), "p": rng.integers(0, 2, 9000)}

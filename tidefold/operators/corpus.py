@@ -169,6 +169,24 @@ def tokenize(df: DataFrame, path: str, end_id: int, text: str = "text") -> DataF
     return df.withColumn("ids", encode(F.col(text)))
 
 
+def detokenize(df: DataFrame, path: str, end_id: int, ids: str = "ids", name: str = "decoded") -> DataFrame:
+    """Adds the text of token ids by a public vocabulary file, without the end_id they may end with; bytes that are no whole character become U+FFFD. Null ids give a null."""
+
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        lib = Tokenizer.from_file(path)
+        for s in batches:
+            here = s.notna().to_numpy()
+            out = pd.Series([None] * len(s), dtype=object)
+            out[here] = lib.decode_batch([list(x) for x in s[here]], skip_special_tokens=False)
+            yield out
+
+    ended = F.element_at(ids, F.when(F.size(ids) > 0, -1)) == end_id
+    return df.withColumn(name, decode(F.when(ended, F.slice(ids, F.lit(1), F.size(ids) - 1)).otherwise(F.col(ids))))
+
+
 def stop_at_blank(text: Column) -> Column:
     """The text before its first blank line, stripped."""
     return F.regexp_replace(F.element_at(F.split(text, "\n\n", 2), 1), r"(?U)^\s+|\s+$", "")

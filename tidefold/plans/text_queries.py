@@ -164,6 +164,16 @@ def tokenize_eos(spark, d):
     return out.select("doc_id", "ids")
 
 
+@query(r"SELECT doc_id, text AS decoded, 50256 AS last_id FROM documents WHERE regexp_matches(text, '\S')")
+def tokens_decoded(spark, d):
+    """Tokenized and decoded again: byte-pair tokens lose nothing, so the text must come back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = tokenize_eos(spark, d)
+    return corpus.detokenize(ids, path, 50256).select("doc_id", "decoded", F.element_at("ids", -1).alias("last_id"))
+
+
 @query(
     """WITH a AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS token FROM conversations) SELECT conv_id, list_sort(list(DISTINCT token)) AS seen, count(DISTINCT token) AS n FROM a GROUP BY conv_id"""
 )
