@@ -317,14 +317,15 @@ def test_vectors_equal_brute_force(spark):
     assert embeddup.near_vectors(df.where("false")).count() == 0
 
 
-def test_caps_find_close_pairs():
+@pytest.mark.parametrize("width", [16, 64, 256])
+def test_caps_find_close_pairs(width):
     rng = np.random.default_rng(6)
-    a = rng.normal(size=(3000, 64))
+    a = rng.normal(size=(3000, width))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     side = rng.normal(size=a.shape)
     side -= (side * a).sum(1, keepdims=True) * a
     b = 0.98 * a + math.sqrt(1 - 0.98**2) * side / np.linalg.norm(side, axis=1, keepdims=True)
-    f = embeddup.Filters(64)
+    f = embeddup.Filters(width)
     lists = []
     for m in (a, b):
         row, name = f.decode(m)
