@@ -79,6 +79,20 @@ def test_ranges_of_files(spark, tmp_path, kind, ending, size):
         event_ranges.read_ranges(spark, str(tmp_path), "npz").collect()
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Ranges far smaller than the files, and many small files, take a few tasks; files that hold no event are no task's harm."""
+    from tidefold.sources import event_ranges
+
+    e = {k: np.arange(40, dtype=np.int64) for k in "txyp"}
+    e["p"] %= 2
+    for k in range(60):
+        (tmp_path / f"{k}.bin").write_bytes(binary.to_atis40(e) if k else b"")
+    out = event_ranges.read_ranges(spark, str(tmp_path), "atis40", "*.bin", 5)
+    assert out.rdd.getNumPartitions() < 60 < 59 * 40
+    rows = out.groupBy("path").agg({"event_id": "max", "t": "sum"}).collect()
+    assert len(rows) == 59 and all(r["max(event_id)"] == 39 and r["sum(t)"] == 780 for r in rows)
+
+
 def test_moment_sums(spark):
     from tidefold.functions import vectors
 

@@ -1,5 +1,6 @@
 """Event files as a Spark data source that plans byte ranges: a file larger than a task's memory is read by many tasks.
 
+Small files and ranges share a task, which opens its files itself: planning and tasks grow with the bytes, not with the number of files or ranges.
 Ranges end where records or packets end. Formats of equal records are cut by counting; packet headers of the 3.1 format are walked through, without their
 bodies. A task reads its ranges' bytes only. The number of an event in its file is known from the plan, so ranges need not meet.
 Files are opened through pyarrow's file systems: local and shared folders, object stores and HDFS by their address.
@@ -27,19 +28,30 @@ SCHEMA = "path string, event_id bigint, t bigint, x int, y int, p int"
 RECORDS = {"atis40": (5, False), "aedat2": (8, True), "aedat3": (0, True)}
 PACKET_HEADER = 28
 DECODE = {"atis40": atis40, "aedat2": lambda data: aedat2(data, header=False), "aedat3": lambda data: aedat3(data, header=False)}
-#: Bytes of a range, and events of an Arrow batch.
+#: Bytes of a range and of a task's ranges, and events of an Arrow batch.
 RANGE_BYTES, BATCH = 64 << 20, 100_000
+#: Files or ranges of a task at most, and tasks that are planned at least where there are as many ranges.
+TASK_PIECES, LEAST_TASKS = 1000, 16
 
 
 @dataclass
-class Range(InputPartition):
+class Range:
+    """Bytes of a file from ``begin`` to ``end`` (None: all of it), whose first event has the number ``first``."""
+
     path: str
     begin: int
-    end: int
+    end: int | None
     first: int
 
+
+@dataclass
+class Task(InputPartition):
+    """Ranges that one task reads, one after the other."""
+
+    ranges: list[Range]
+
     def __post_init__(self):
-        super().__init__(self.path)
+        super().__init__(len(self.ranges))
 
 
 def header_end(f) -> int:
@@ -58,19 +70,20 @@ def header_end(f) -> int:
     return at
 
 
-def ranges(path: str, f, kind: str, size: int) -> Iterator[Range]:
-    """The ranges of one open file, of about ``size`` bytes, in order."""
+def ranges(f, kind: str, size: int, of: Range) -> Iterator[Range]:
+    """The ranges of about ``size`` bytes of one open file, or of a range of it, in order."""
     record, has_header = RECORDS[kind]
-    at, total, events = header_end(f) if has_header else 0, f.size(), 0
+    whole = of.end is None
+    at, total = (header_end(f) if has_header else 0, f.size()) if whole else (of.begin, of.end)
     if record:
-        if kind == "aedat2" and (total - at) % record:
+        if whole and kind == "aedat2" and (total - at) % record:
             raise ValueError("an odd number of words")
         step = max(1, size // record) * record
         end = at + (total - at) // record * record
         for begin in range(at, end, step):
-            yield Range(path, begin, min(end, begin + step), (begin - at) // record)
+            yield Range(of.path, begin, min(end, begin + step), of.first + (begin - at) // record)
         return
-    begin, first = at, 0
+    begin, first, events = at, of.first, of.first
     while at + PACKET_HEADER <= total:
         head = f.read_at(PACKET_HEADER, at)
         packet, width, capacity = struct.unpack_from("<H", head)[0], struct.unpack_from("<I", head, 4)[0], struct.unpack_from("<I", head, 16)[0]
@@ -79,37 +92,78 @@ def ranges(path: str, f, kind: str, size: int) -> Iterator[Range]:
             events += body // width
         at += PACKET_HEADER + capacity * width
         if at - begin >= size or at + PACKET_HEADER > total:
-            yield Range(path, begin, min(at, total), first)
+            yield Range(of.path, begin, min(at, total), first)
             begin, first = at, events
 
 
+def dealt(pieces: Iterator[tuple[Range, int]], share: int) -> list[Task]:
+    """Neighbouring pieces, with their bytes, as tasks of about ``share`` bytes and at most TASK_PIECES pieces."""
+    out: list[Task] = []
+    held: list[Range] = []
+    full = 0
+    for piece, size in pieces:
+        if held and (full + size > share or len(held) >= TASK_PIECES):
+            out.append(Task(held))
+            held, full = [], 0
+        held.append(piece)
+        full += size
+    return out + [Task(held)] * bool(held)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.kind = options["path"], options["kind"]
         self.pattern, self.size = options.get("pattern", "*"), int(options.get("rangebytes", options.get("rangeBytes", RANGE_BYTES)))
+        self.tasks = max(1, int(options.get("tasks", LEAST_TASKS)))
         if self.kind not in RECORDS:
             raise ValueError(f"no ranges for files of kind {self.kind}")
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Task]:
+        """Tasks by the sizes that the listing gives: only files larger than a task's share are opened here."""
         system, root = opened(self.path)
         info = system.get_file_info(root)
         found = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(root, recursive=True))
-        out: list[Range] = []
-        for file in sorted((x for x in found if x.type == fs.FileType.File and fnmatch.fnmatch(x.base_name, self.pattern)), key=lambda x: x.path):
-            with system.open_input_file(file.path) as f:
-                out += ranges(file.path, f, self.kind, self.size)
-        return out or [Range("", 0, 0, 0)]
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if part.end <= part.begin:
-            return
+        files = sorted(((x.path, x.size) for x in found if x.type == fs.FileType.File and fnmatch.fnmatch(x.base_name, self.pattern)))
+        share = max(self.size, min(RANGE_BYTES, -(-sum(size for _, size in files) // self.tasks)))
+
+        def pieces() -> Iterator[tuple[Range, int]]:
+            for path, size in files:
+                file = Range(path, 0, None, 0)
+                if size <= share:
+                    yield file, size
+                    continue
+                with system.open_input_file(path) as f:
+                    yield from ((r, r.end - r.begin) for r in ranges(f, self.kind, share, file))
+
+        return dealt(pieces(), share) or [Task([])]
+
+    def read(self, part: Task) -> Iterator[pa.RecordBatch]:
+        """One range is held at a time; the events of small ones share a batch."""
         system, _ = opened(self.path)
-        with system.open_input_file(part.path) as f:
-            e = DECODE[self.kind](f.read_at(part.end - part.begin, part.begin))
-        for a in range(0, len(e["t"]), BATCH):
-            s = slice(a, min(len(e["t"]), a + BATCH))
-            columns = [pa.array([part.path] * (s.stop - a)), pa.array(part.first + np.arange(a, s.stop)), pa.array(e["t"][s]), *(pa.array(e[k][s].astype(np.int32)) for k in "xyp")]
-            yield pa.RecordBatch.from_arrays(columns, names=["path", "event_id", "t", "x", "y", "p"])
+        held: list[tuple[str, int, dict[str, np.ndarray]]] = []
+
+        def batch() -> pa.RecordBatch:
+            lengths = [len(e["t"]) for _, _, e in held]
+            path = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
+            paths = pa.DictionaryArray.from_arrays(pa.array(path), pa.array([p for p, _, _ in held])).dictionary_decode()
+            number = np.concatenate([first + np.arange(n) for (_, first, _), n in zip(held, lengths, strict=True)])
+            t, x, y, p = (np.concatenate([e[k] for _, _, e in held]) for k in "txyp")
+            return pa.RecordBatch.from_arrays([paths, pa.array(number), pa.array(t), *(pa.array(v.astype(np.int32)) for v in (x, y, p))], names=["path", "event_id", "t", "x", "y", "p"])
+
+        rows = 0
+        for piece in part.ranges:
+            with system.open_input_file(piece.path) as f:
+                for r in ranges(f, self.kind, self.size, piece):
+                    e = DECODE[self.kind](f.read_at(r.end - r.begin, r.begin))
+                    for a in range(0, len(e["t"]), BATCH):
+                        held.append((r.path, r.first + a, {k: v[a : a + BATCH] for k, v in e.items()}))
+                        rows += len(held[-1][2]["t"])
+                        if rows >= BATCH:
+                            yield batch()
+                            held.clear()
+                            rows = 0
+        if held:
+            yield batch()
 
 
 class EventRanges(DataSource):
@@ -128,4 +182,5 @@ def read_ranges(spark: SparkSession, path: str, kind: str, pattern: str = "*", r
     """path, event_id (order in the file), t, x, y, p of all event files below a folder (or of one file), read in byte ranges. Kinds: those in RECORDS."""
     ship(spark)
     spark.dataSource.register(EventRanges)
-    return spark.read.format("event_ranges").option("kind", kind).option("pattern", pattern).option("rangeBytes", range_bytes).load(path)
+    tasks = max(LEAST_TASKS, 2 * spark.sparkContext.defaultParallelism)
+    return spark.read.format("event_ranges").option("kind", kind).option("pattern", pattern).option("rangeBytes", range_bytes).option("tasks", tasks).load(path)
