@@ -93,6 +93,25 @@ def test_small_ranges_share_tasks(spark, tmp_path):
     assert len(rows) == 59 and all(r["max(event_id)"] == 39 and r["sum(t)"] == 780 for r in rows)
 
 
+def _as_sql(spark, tmp_path, name):
+    """Whether a query and its SQL agree in text, signs of zeros too, over vectors with numbers that round to zero."""
+    import duckdb
+
+    from tidefold.plans import registry, vector_queries  # noqa: F401
+
+    rows = [(k, 0, v.tolist()) for k, v in enumerate(np.random.default_rng(5).normal(0, 2e-6, (60, 64)))]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = sorted(con.execute(registry.ORACLE_SQL[name]).fetchall())
+    got = sorted((r[0], list(r[1])) for r in registry.QUERIES[name](spark, str(tmp_path)).collect())
+    assert "-0.0" in repr(want) and repr(got) == repr([(k, list(v)) for k, v in want])
+
+
+def test_transforms_keep_the_sign_of_zero(spark, tmp_path):
+    _as_sql(spark, tmp_path, "cosine_transform")
+
+
 def test_moment_sums(spark):
     from tidefold.functions import vectors
 

@@ -92,6 +92,12 @@ def learned_tau(raw: Column) -> Column:
     return F.lit(1.0) + softplus(raw)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """round() that keeps the sign of what rounds to zero, as round() in SQL does: -0.0 of small negative numbers. It shows in arrays, which compare by their text."""
+    r = F.round(x, digits)
+    return F.when(r == 0, x * F.lit(0.0)).otherwise(r)
+
+
 def step_quantise(x: Column, step: float) -> Column:
     """round(x / step) * step with halves to even."""
     return F.rint(x / F.lit(step)) * F.lit(step)

@@ -348,7 +348,7 @@ SELECT vec_id, list(v ORDER BY pos) AS y FROM v GROUP BY vec_id"""
 )
 def cosine_transform(spark, d):
     out = table(spark, d, "embeddings").select("vec_id", vectors.two_sided_blocks(F.col("embedding"), _DCT, 8).alias("y"))
-    return out.select("vec_id", F.transform("y", lambda x: F.round(x, 5)).alias("y"))
+    return out.select("vec_id", F.transform("y", lambda x: scalar.rounded(x, 5)).alias("y"))
 
 
 @query("SELECT event_id, regexp_extract(props, '([0-9]+)', 1)::INT AS k, '{\"k\":' || regexp_extract(props, '([0-9]+)', 1) || '}' AS again FROM events")
