@@ -97,7 +97,7 @@ def _as_sql(spark, tmp_path, name):
     """Whether a query and its SQL agree in text, signs of zeros too, over vectors with numbers that round to zero."""
     import duckdb
 
-    from tidefold.plans import registry, vector_queries  # noqa: F401
+    from tidefold.plans import registry, source_queries, vector_queries  # noqa: F401
 
     rows = [(k, 0, v.tolist()) for k, v in enumerate(np.random.default_rng(5).normal(0, 2e-6, (60, 64)))]
     spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
@@ -112,6 +112,10 @@ def test_transforms_keep_the_sign_of_zero(spark, tmp_path):
     _as_sql(spark, tmp_path, "cosine_transform")
 
 
+def test_crops_keep_the_sign_of_zero(spark, tmp_path):
+    _as_sql(spark, tmp_path, "silence_crop")
+
+
 def test_moment_sums(spark):
     from tidefold.functions import vectors
 

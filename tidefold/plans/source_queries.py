@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ..functions import scratch
+from ..functions import scalar, scratch
 from ..operators import corpus, frames
 from ..sources import binary, datasets, event_ranges, indexed, text
 from ..sources.tables import EVENTS_SQL, events, table
@@ -241,7 +241,7 @@ def padded_batches(spark, d):
 @query("SELECT vec_id, list_transform(embedding[(vec_id % 49 + 1):(vec_id % 49 + 16)]::DOUBLE[], lambda x: round(x, 6)) AS crop FROM embeddings")
 def silence_crop(spark, d):
     crop = text.cut_silence(F.col("embedding").cast("array<double>"), 16, (F.col("vec_id") % 49 + 0.5) / F.lit(49.0))
-    return table(spark, d, "embeddings").select("vec_id", F.transform(crop, lambda x: F.round(x, 6)).alias("crop"))
+    return table(spark, d, "embeddings").select("vec_id", F.transform(crop, lambda x: scalar.rounded(x, 6)).alias("crop"))
 
 
 _PATHS = "SELECT doc_id, CASE WHEN doc_id % 50 = 3 THEN '_background_noise_' ELSE lang END || '/' || source || '_nohash_' || doc_id || '.wav' AS path FROM documents"
