@@ -1,13 +1,14 @@
 """Documents to packed training sequences, in five stages; each is one operator of the library's llm part.
 
-Quality rules and language ID drop what they reject, near-dedup leaves one document of each group, mixing repeats the
-documents of small sources up to the limit, packing lays token pieces out in sequences. Extra columns of documents ride
+Quality rules and language ID drop what they reject, and language ID writes the language it finds into lang. Near-dedup leaves
+one document of each group, mixing repeats the documents of small groups, by source and language found, up to the limit, packing lays token pieces out in sequences. Extra columns of documents ride
 along to the last stage. SQL cannot express the language model, the tokenizer or the packing; tests compare with brute force.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidefold.llm import langid, mixing, neardup, packing, quality_rules
 from tidefold.llm.bpe import vocabulary
@@ -20,7 +21,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.keep_known(docs)
+    # what follows mixes by the language of the text, whatever it was labelled
+    return langid.keep_known(docs, rename=True)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +30,9 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mixed(docs, vocabulary())
+    # a source's texts of one language are a group of their own; nulls are names like others
+    grouped = docs.withColumn("__group", F.to_json(F.struct("source", "lang")))
+    return mixing.mixed(grouped, vocabulary(), source_col="__group").drop("__group")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

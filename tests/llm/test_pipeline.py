@@ -33,6 +33,19 @@ def test_stages(spark):
     assert ids(packed) == ids(docs) and packed.where("offset + length > 2048").count() == 0
 
 
+def test_the_language_found_changes_what_follows(spark):
+    """English texts without a label, or with a wrong one, are mixed with those of their language, not as they were labelled."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 200 and lang in ('en', 'de')")
+    rows = docs.withColumn("lang", F.when(F.col("doc_id") % 4 == 0, F.lit(None)).otherwise(F.col("lang"))).cache()
+    found = corpus_pipeline.language_stage(spark, rows, SF).cache()
+    pred = {r["doc_id"]: r["lang_pred"] for r in langid.identify(rows).collect()}
+    assert {r["doc_id"]: r["lang"] for r in found.collect()} == pred and found.columns == rows.columns
+    uses = lambda df: {r["doc_id"]: r["count"] for r in corpus_pipeline.mixing_stage(spark, df, SF).groupBy("doc_id").count().collect()}
+    assert uses(found) != uses(rows) and set(uses(found)) == set(pred)
+
+
 def test_pipeline_runs_without_documents(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").where("false").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

@@ -218,17 +218,22 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return chosen.mapInArrow(run, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:
-    """docs whose language is known: not "und". All columns stay as they are. If nothing is labelled, no language can be told and docs pass through."""
+def keep_known(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang", rename: bool = False) -> DataFrame:
+    """docs whose language is known: not "und". All columns stay as they are; with rename, lang_col is the language predicted from the text, for stages that follow.
+    If nothing is labelled, no language can be told and docs pass through."""
     spark = docs.sparkSession
     net = learn(docs, id_col, text_col, lang_col)
     if net is None:
         return docs
     shipped = spark.sparkContext.broadcast(net)
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        lang, _ = predict(shipped.value, texts.tolist())
-        return pd.Series([v != "und" for v in lang], dtype=bool)
+    @F.pandas_udf("string")
+    def predicted(texts: pd.Series) -> pd.Series:
+        return pd.Series(predict(shipped.value, texts.tolist())[0], dtype=object)
 
-    return docs.where(_letters(F.col(text_col))).where(known(F.col(text_col)))
+    lettered = docs.where(_letters(F.col(text_col)))
+    if not rename:
+        return lettered.where(predicted(F.col(text_col)) != "und")
+    once = predicted.asNondeterministic()  # else the filter below would predict a second time
+    named = lettered.withColumn("__lang", once(F.col(text_col))).where(F.col("__lang") != "und")
+    return named.select(*[F.col("__lang").cast(docs.schema[c].dataType).alias(c) if c == lang_col else F.col(c) for c in docs.columns])
