@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidefold.sources import binary, datasets, matlab
 
@@ -116,6 +117,31 @@ def test_crops_keep_the_sign_of_zero(spark, tmp_path):
     _as_sql(spark, tmp_path, "silence_crop")
 
 
+def test_pairs_meet_in_few_large_blocks(spark, monkeypatch):
+    """Losses of all pairs whatever the blocks, unlabelled and null vectors apart; copies of a vector do not grow with the number of vectors."""
+    from tidefold.functions import vectors
+
+    rng = np.random.default_rng(4)
+    m, label = rng.normal(size=(50, 6)), rng.integers(0, 3, 50)
+    rows = [(k, v.tolist(), int(z)) for k, (v, z) in enumerate(zip(m, label, strict=True))] + [(50, m[0].tolist(), None), (51, None, 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+    x = m.astype(np.float32).astype(float)
+    same, dot = (label[:, None] == label[None]).astype(float), x @ x.T
+    cosine = dot / np.linalg.norm(x, axis=1)[:, None] / np.linalg.norm(x, axis=1)[None]
+    for tile, most in ((512, 32 << 20), (7, 32 << 20), (3, 500)):
+        monkeypatch.setattr(vectors, "BLOCK", tile)
+        monkeypatch.setattr(vectors, "BLOCK_BYTES", most)
+        got = {r["kernel"]: r for r in vectors.similarity_losses(df, {"linear": 1.0, "sigmoid": 2.0}).collect()}
+        for kernel, s in (("linear", cosine), ("sigmoid", 1 / (1 + np.exp(-2 * dot)))):
+            p = np.clip(s, 1e-6, 1 - 1e-6)
+            want = (((s - same) ** 2).mean(), np.abs(s - same).mean(), -(same * np.log(p) + (1 - same) * np.log(1 - p)).mean())
+            assert tuple(got[kernel])[1:] == pytest.approx(want)
+    monkeypatch.setattr(vectors, "BLOCK", 512)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 32 << 20)
+    many = spark.range(600_000).select(F.array(*[F.lit(0.0)] * 50).alias("embedding"))
+    assert vectors.block_count(many, "embedding") == vectors.block_count(many.limit(60_000), "embedding") == 16
+
+
 def test_moment_sums(spark):
     from tidefold.functions import vectors
 

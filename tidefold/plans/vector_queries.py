@@ -124,9 +124,8 @@ _KERNEL_ARG = {"polynomial": 2.0, "sigmoid": 2.0, "gaussian": 1.0}
     + ")"
 )
 def kernel_losses(spark, d):
-    e = table(spark, d, "embeddings")
-    rows = [vectors.similarity_loss(e, kernel=k, arg=a).select(F.lit(k).alias("kernel"), *[F.round(c, 6).alias(c) for c in ("mse", "l1", "bce")]) for k, a in _KERNEL_ARG.items()]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+    losses = vectors.similarity_losses(table(spark, d, "embeddings"), _KERNEL_ARG)
+    return losses.select("kernel", *[F.round(c, 6).alias(c) for c in ("mse", "l1", "bce")])
 
 
 @query("SELECT turn_id, (k % 64)::BIGINT AS id, list_transform(embedding, lambda v: CASE WHEN v >= 0 THEN 1 ELSE 0 END) AS bits FROM (SELECT conv_id * 1000 + turn AS turn_id, (conv_id * 7 + turn) AS k FROM conversations) JOIN embeddings ON vec_id = k % 64")
