@@ -142,6 +142,22 @@ def test_pairs_meet_in_few_large_blocks(spark, monkeypatch):
     assert vectors.block_count(many, "embedding") == vectors.block_count(many.limit(60_000), "embedding") == 16
 
 
+def test_ids_leave_in_bounded_batches(spark, monkeypatch):
+    """However many texts come in a batch, the ids of a few are held; nulls, empty texts and other columns stay."""
+    from tidefold.operators import corpus
+
+    texts = [None, "", "aé", "\U0001f600b" * 5] * 20
+    df = spark.createDataFrame([(k, t, k) for k, t in enumerate(texts)], "doc_id bigint, text string, extra int").coalesce(1)
+    symbols = {"a": 0, "b": 1, "\U0001f600": 2}
+    vocabulary = spark.createDataFrame(list(symbols.items()), "symbol string, id int")
+    assert corpus.IDS_BATCH * 4 <= 16 << 20
+    for most in (1 << 20, 7):
+        monkeypatch.setattr(corpus, "IDS_BATCH", most)
+        rows = corpus.char_encode(df, vocabulary, -1).collect()
+        assert [(r["doc_id"], r["extra"]) for r in rows] == [(k, k) for k in range(80)]
+        assert [r["ids"] for r in rows] == [None if t is None else [symbols.get(c, -1) for c in t] for t in texts]
+
+
 def test_moment_sums(spark):
     from tidefold.functions import vectors
 

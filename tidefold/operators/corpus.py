@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.blocks import HOT_ROWS, ranged
 
 #: Ordinals of one part of a two-level running sum.
 PART = 4096
+#: Ids of an Arrow batch, about.
+IDS_BATCH = 1 << 20
 
 
 def not_blank(df: DataFrame, text: str = "text") -> DataFrame:
@@ -33,15 +37,41 @@ def char_encode(df: DataFrame, vocabulary: DataFrame, unknown: int = 0, text: st
     entries = [(ord(r["symbol"]), r["id"]) for r in vocabulary.collect()]
     shipped = df.sparkSession.sparkContext.broadcast(entries)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def make():
         points = np.array([e[0] for e in shipped.value], np.int64)
         ids = np.full(0x110000, unknown, np.int32)
         ids[points] = [e[1] for e in shipped.value]
-        for s in batches:
-            yield pd.Series([None if t is None else ids[np.frombuffer(t.encode("utf-32-le"), "<u4")] for t in s])
+        return lambda t: ids[np.frombuffer(t.encode("utf-32-le"), "<u4")]
 
-    return df.withColumn("ids", encode(F.col(text)))
+    return _with_ids(df, text, make)
+
+
+def _with_ids(df: DataFrame, text: str, make: Callable[[], Callable[[str], np.ndarray]]) -> DataFrame:
+    """Adds ids: what the function that make() gives in a task returns for each text; null for a null. Rows leave in batches of about IDS_BATCH ids, however many came together."""
+    at, names = df.columns.index(text), [*df.columns, "ids"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = make()
+        for b in batches:
+            begin, held, count = 0, [], 0
+
+            def out(end: int) -> pa.RecordBatch:
+                null = np.array([x is None for x in held], bool)
+                offsets = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in held])]).astype(np.int32)
+                flat = np.concatenate([x for x in held if x is not None] or [np.zeros(0, np.int32)]).astype(np.int32, copy=False)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array(null))
+                return pa.RecordBatch.from_arrays([*b.slice(begin, end - begin).columns, lists], names=names)
+
+            for k, t in enumerate(b.column(at)):
+                held.append(encode(t.as_py()) if t.is_valid else None)
+                count += 0 if held[-1] is None else len(held[-1])
+                if count >= IDS_BATCH:
+                    yield out(k + 1)
+                    begin, held, count = k + 1, [], 0
+            if held:
+                yield out(b.num_rows)
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField("ids", ArrayType(IntegerType()))]))
 
 
 def clean_context(text: Column) -> Column:
