@@ -158,6 +158,25 @@ def test_ids_leave_in_bounded_batches(spark, monkeypatch):
         assert [r["ids"] for r in rows] == [None if t is None else [symbols.get(c, -1) for c in t] for t in texts]
 
 
+def test_tokens_by_words_and_bytes_are_the_librarys(spark, monkeypatch):
+    """Cached words and joined bytes give what the library gives, of odd texts, broken characters and ids that no token has."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tidefold.operators import corpus
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    texts = ["", " ", "a  b\n\n c", "<|endoftext|> it's", "Grüße \U0001f600 日本", "x" * 300, None, "The end. 12,5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    monkeypatch.setattr(corpus, "IDS_BATCH", 5)
+    got = {r["doc_id"]: r["ids"] for r in corpus.tokenize(df, path, 7).collect()}
+    assert got == {k: [*lib.encode(t or "", add_special_tokens=False).ids, 7] for k, t in enumerate(texts)}
+    ids = np.random.default_rng(2).integers(0, 52_000, (200, 9))
+    text = corpus._decoder(path)
+    assert [text(x) for x in ids] == [lib.decode(x.tolist(), skip_special_tokens=False) for x in ids]
+
+
 def test_moment_sums(spark):
     from tidefold.functions import vectors
 

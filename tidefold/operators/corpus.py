@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from ..functions.blocks import HOT_ROWS, ranged
+from ..functions.scratch import ship
 
 #: Ordinals of one part of a two-level running sum.
 PART = 4096
@@ -41,13 +43,13 @@ def char_encode(df: DataFrame, vocabulary: DataFrame, unknown: int = 0, text: st
         points = np.array([e[0] for e in shipped.value], np.int64)
         ids = np.full(0x110000, unknown, np.int32)
         ids[points] = [e[1] for e in shipped.value]
-        return lambda t: ids[np.frombuffer(t.encode("utf-32-le"), "<u4")]
+        return lambda t: None if t is None else ids[np.frombuffer(t.encode("utf-32-le"), "<u4")]
 
     return _with_ids(df, text, make)
 
 
-def _with_ids(df: DataFrame, text: str, make: Callable[[], Callable[[str], np.ndarray]]) -> DataFrame:
-    """Adds ids: what the function that make() gives in a task returns for each text; null for a null. Rows leave in batches of about IDS_BATCH ids, however many came together."""
+def _with_ids(df: DataFrame, text: str, make: Callable[[], Callable[[str | None], np.ndarray | None]]) -> DataFrame:
+    """Adds ids: what the function that make() gives in a task returns for each text. Rows leave in batches of about IDS_BATCH ids, however many came together."""
     at, names = df.columns.index(text), [*df.columns, "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +65,7 @@ def _with_ids(df: DataFrame, text: str, make: Callable[[], Callable[[str], np.nd
                 return pa.RecordBatch.from_arrays([*b.slice(begin, end - begin).columns, lists], names=names)
 
             for k, t in enumerate(b.column(at)):
-                held.append(encode(t.as_py()) if t.is_valid else None)
+                held.append(encode(t.as_py()))
                 count += 0 if held[-1] is None else len(held[-1])
                 if count >= IDS_BATCH:
                     yield out(k + 1)
@@ -184,34 +186,57 @@ def time_mix(now: Column, before: Column, share: float) -> Column:
     return now * F.lit(share) + before * F.lit(1 - share)
 
 
-def tokenize(df: DataFrame, path: str, end_id: int, text: str = "text") -> DataFrame:
-    """Adds ids: byte-pair tokens of the whole text by a public vocabulary file, without special tokens or truncation, then end_id."""
-
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _encoder(path: str) -> Callable[[str], np.ndarray]:
+    """The ids of a text: by the cached words of the llm part, which may be left out, else by the library; both give the same."""
+    try:
+        from ..llm.bpe import encoder
+    except ModuleNotFoundError as missing:
+        if not (missing.name or "").startswith("tidefold.llm"):
+            raise
         from tokenizers import Tokenizer
 
         lib = Tokenizer.from_file(path)
-        for s in batches:
-            found = lib.encode_batch_fast(s.fillna("").tolist(), add_special_tokens=False)
-            yield pd.Series([[*x.ids, end_id] for x in found])
+        return lambda t: np.array(lib.encode(t, add_special_tokens=False).ids, np.int32)
+    words = encoder(path)
+    return lambda t: np.frombuffer(words.encode(t), "<u4").astype(np.int32)
+
 
-    return df.withColumn("ids", encode(F.col(text)))
+def tokenize(df: DataFrame, path: str, end_id: int, text: str = "text") -> DataFrame:
+    """Adds ids: byte-pair tokens of the whole text (null: empty) by a public vocabulary file, without special tokens or truncation, then end_id."""
+    ship(df.sparkSession)
+
+    def make():
+        encode = _encoder(path)
+        return lambda t: np.append(encode(t or ""), np.int32(end_id))
+
+    return _with_ids(df, text, make)
+
+
+def _decoder(path: str) -> Callable[[np.ndarray], str]:
+    """The text of ids, as the library gives it. Byte-level tokens are bytes: they are looked up and joined."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path)
+    with open(path, encoding="utf8") as f:
+        plain = (json.load(f).get("decoder") or {}).get("type") == "ByteLevel"
+    if not plain:
+        return lambda x: lib.decode(x.tolist(), skip_special_tokens=False)
+    # printable Latin-1 bytes stand for themselves, the others for U+0100 and up in order (fixed values)
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(shown))}
+    made = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in lib.get_vocab(with_added_tokens=True).items()}
+    return lambda x: b"".join([made.get(i, b"") for i in x.tolist()]).decode("utf8", "replace")
 
 
 def detokenize(df: DataFrame, path: str, end_id: int, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """Adds the text of token ids by a public vocabulary file, without the end_id they may end with; bytes that are no whole character become U+FFFD. Null ids give a null."""
+    ship(df.sparkSession)
 
     @F.pandas_udf("string")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from tokenizers import Tokenizer
-
-        lib = Tokenizer.from_file(path)
+        text = _decoder(path)
         for s in batches:
-            here = s.notna().to_numpy()
-            out = pd.Series([None] * len(s), dtype=object)
-            out[here] = lib.decode_batch([list(x) for x in s[here]], skip_special_tokens=False)
-            yield out
+            yield pd.Series([None if x is None else text(np.asarray(x)) for x in s], dtype=object)
 
     ended = F.element_at(ids, F.when(F.size(ids) > 0, -1)) == end_id
     return df.withColumn(name, decode(F.when(ended, F.slice(ids, F.lit(1), F.size(ids) - 1)).otherwise(F.col(ids))))
