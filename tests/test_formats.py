@@ -177,6 +177,26 @@ def test_tokens_by_words_and_bytes_are_the_librarys(spark, monkeypatch):
     assert [text(x) for x in ids] == [lib.decode(x.tolist(), skip_special_tokens=False) for x in ids]
 
 
+def test_large_groups_stay_where_they_are(spark, monkeypatch):
+    """A few groups of many rows are cut without a join that brings a group to one task; many groups are joined, with the same result."""
+    from tidefold.operators import sampling
+
+    df = spark.range(5000).select("id", (F.col("id") % 3).alias("g"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = []
+        for few in (100_000, 2):
+            monkeypatch.setattr(sampling, "FEW_GROUPS", few)
+            outs = [sampling.subset(df, 0.3, 7, "g", "id", hot_rows=10), sampling.stratified(df, 0.3, "g", "id", hot_rows=10)]
+            plans = [o._jdf.queryExecution().executedPlan().toString() for o in outs]
+            assert all(("SortMergeJoin" in p) == (few == 2) for p in plans)
+            found.append([sorted(map(tuple, o.collect())) for o in outs])
+        plain = [sampling.subset(df, 0.3, 7, "g", "id"), sampling.stratified(df, 0.3, "g", "id")]
+        assert found[0] == found[1] == [sorted(map(tuple, o.collect())) for o in plain]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_moment_sums(spark):
     from tidefold.functions import vectors
 
