@@ -50,6 +50,22 @@ def test_attempts_that_do_not_count(spark, tmp_path):
     assert _tree(tmp_path) == {"a": b"a"} and os.listdir(tmp_path) == ["a"]
 
 
+def test_a_task_that_outlives_its_job_leaves_nothing(spark, tmp_path):
+    import pyarrow as pa
+
+    writer = sinks._Writer({"path": str(tmp_path)})
+
+    def batches():
+        for n in "abc":
+            yield pa.RecordBatch.from_pydict({"name": [n], "content": pa.array([b"x"], pa.binary())})
+            if n == "a":
+                writer.abort([])
+
+    with pytest.raises(RuntimeError, match="has ended"):
+        writer.write(batches())
+    assert os.listdir(tmp_path) == []
+
+
 @pytest.mark.parametrize("hot_rows", [1, 1000])
 @pytest.mark.parametrize("code", [4, 8])
 def test_corpora_in_parts(spark, tmp_path, hot_rows, code):

@@ -7,6 +7,7 @@ attempt of each partition, and only then do files get their names. Files go thro
 from __future__ import annotations
 
 import posixpath
+import time
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -21,6 +22,8 @@ from ..functions.scratch import qualified, ship
 
 #: Moves that run at once when a job is committed.
 MOVES = 16
+#: Times that a folder is cleared while tasks may still write to it.
+CLEARS = 20
 
 
 def opened(path: str) -> tuple[fs.FileSystem, str]:
@@ -37,6 +40,14 @@ class Written(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str]):
         self.path, self.hidden = options["path"], f"_attempts-{uuid.uuid4().hex}"
+        system, root = opened(self.path)
+        system.create_dir(posixpath.join(root, self.hidden), recursive=True)
+        with system.open_output_stream(self._running(root)):
+            pass
+
+    def _running(self, root: str) -> str:
+        """A file that is there until the job ends: a task that outlives it writes no more, and clears what it wrote."""
+        return posixpath.join(root, self.hidden, "running")
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         system, root = opened(self.path)
@@ -50,6 +61,9 @@ class _Writer(DataSourceArrowWriter):
                 system.create_dir(posixpath.dirname(to), recursive=True)
                 with system.open_output_stream(to) as f:
                     f.write(content.as_buffer() if content.is_valid else b"")
+                if system.get_file_info(self._running(root)).type == fs.FileType.NotFound:
+                    self._clear(system, root)
+                    raise RuntimeError("the job has ended")
                 names.append(name)
         return Written(attempt, names)
 
@@ -76,9 +90,18 @@ class _Writer(DataSourceArrowWriter):
         self._clear(*opened(self.path))
 
     def _clear(self, system: fs.FileSystem, root: str) -> None:
-        at = posixpath.join(root, self.hidden)
-        if system.get_file_info(at).type == fs.FileType.Directory:
-            system.delete_dir(at)
+        at, running = posixpath.join(root, self.hidden), self._running(root)
+        if system.get_file_info(running).type != fs.FileType.NotFound:
+            system.delete_file(running)
+        for left in range(CLEARS - 1, -1, -1):
+            if system.get_file_info(at).type != fs.FileType.Directory:
+                return
+            try:
+                system.delete_dir(at)
+            except OSError:  # a task wrote, or cleared too, meanwhile
+                if not left:
+                    raise
+                time.sleep(0.1)
 
 
 class FileRows(DataSource):
