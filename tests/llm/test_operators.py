@@ -645,6 +645,19 @@ def test_windows_label_every_byte_once_with_its_neighbours():
     assert langid.windows([b""], 64, 8)[0].shape == (80, 0)
 
 
+def test_windows_are_scored_at_their_own_bytes_alone():
+    """The states are those of all steps, but no direction is stepped through the margin behind it."""
+    net = langid.Net.new(["a", "b", "c"])
+    x, _ = langid.windows([bytes(range(1, 201)) * 3, b"abc", bytes(255 - k for k in range(90))], 64, 8)
+    want = np.stack([net.states(x, d)[8:72] for d in (0, 1)])
+    assert (net.own_states(x, 8) == want).all()
+    live = (x[8:72] != 0).astype(np.float32)
+    assert np.allclose(net.summed(x, live, 8), np.einsum("tlk,tl->lk", net.probabilities(x)[8:72], live), atol=1e-4)
+    changed = x.copy()
+    changed[72:] = 1
+    assert (net.own_states(changed, 8)[0] == want[0]).all() and (net.own_states(changed, 8)[1] != want[1]).any()
+
+
 def test_rows_without_id_are_learned_from_and_rows_are_bounded(spark, monkeypatch):
     rows = [(None, "the cat and the dog " * 5 + str(k), "en", "s") for k in range(30)] + [(None, "der Hund und die Katze " * 5 + str(k), "de", "s") for k in range(20)] + [(None, "zzz qqq " * 9, "xx", "s")] * 40
     net = langid.learn(_docs(spark, rows))
