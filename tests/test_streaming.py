@@ -44,3 +44,27 @@ def test_any_cut_gives_the_same(spark, tmp_path):
         # arrival: each row up to ``mixed`` places away, which is under an hour
         arrived = sorted(rows, key=lambda r: (r[3] or 0) + rng.random() * 300 * mixed)
         assert _run(spark, tmp_path, name, [arrived[a : a + size] for a in range(0, len(arrived), size)]) == want, name
+
+
+def test_keys_share_calls_and_state(spark, tmp_path, monkeypatch):
+    """Python is called for a bucket of keys, not for each key; the voltages of keys, of no user too, stay apart."""
+    monkeypatch.setattr(streams, "BUCKETS", 4)
+    rng = random.Random(6)
+    users = [None, *range(-3, 300)]
+    rows = [(rng.choice(users), k, rng.choice([50.0, 250.0, 400.0]), 1_700_000_000 + 10.0 * k) for k in range(1500)]
+    want = _want(rows)
+    assert len({u for u, _ in want}) > 250 and any(s for s, _ in want.values())
+    for name, size in (("one", 1500), ("some", 600)):
+        assert _run(spark, tmp_path, name, [rows[a : a + size] for a in range(0, len(rows), size)]) == want, name
+    calls = spark.sparkContext.accumulator(0)
+    feed = streams._feed
+
+    def counted(*args):
+        calls.add(1)
+        return feed(*args)
+
+    monkeypatch.setattr(streams, "_feed", counted)
+    stream = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.parquet").parquet(str(tmp_path / "some"))
+    out = streams.run_once(streams.keyed_neuron(stream), folder=f"file://{tmp_path}/keyed").collect()
+    assert {(r["user_id"], r["event_id"]): (r["spike"], r["v"]) for r in out} == _want(rows, -1)
+    assert 0 < calls.value <= 5
