@@ -210,3 +210,32 @@ def test_moment_sums(spark):
             assert (got[k]["linear"], got[k]["polynomial"]) == pytest.approx((s[k].sum(), (s[k] ** (3 if args else 2)).sum()))
             assert got[k]["gaussian"] == pytest.approx(np.exp(-((x[k] - y) ** 2).sum(1) / 2).sum())
     assert vectors.moment_sums(df(x), df(y).where("false")).agg({"linear": "sum"}).first()[0] == 0
+
+
+def test_files_of_a_dataset_share_batches_and_are_opened_once(spark, tmp_path, monkeypatch):
+    """Many small files go by few batches, both ways; framing, which reads the events several times, decodes each file once."""
+    rows = [(f"c{k % 3}/s{k}.bin", 1000 * k + i, (i * 7) % 50, i % 5, k % 8, i % 2) for k in range(40) for i in range(k % 7 + 1)]
+    df = spark.createDataFrame(rows, "name string, event_id bigint, t bigint, x int, y int, p int")
+    want = {}
+    for name, i, *e in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        want.setdefault(name, []).append(tuple(e))
+    encoded = binary.encode_events(df, "name", "atis40")
+    files = {r["name"]: bytes(r["content"]) for r in encoded.collect()}
+    assert files == {n: binary.to_atis40({k: np.array(c) for k, c in zip("txyp", zip(*e, strict=True), strict=True)}) for n, e in want.items()}
+    monkeypatch.setattr(binary, "FILE_BYTES", 1)
+    assert {r["name"]: bytes(r["content"]) for r in binary.encode_events(df, "name", "atis40").collect()} == files
+    binary.write_files(encoded, str(tmp_path / "raw"))
+    got = {}
+    for r in sorted(binary.read_events(spark, str(tmp_path / "raw"), "atis40").collect(), key=lambda r: (r["path"], r["event_id"])):
+        got.setdefault("/".join(r["path"].split("/")[-2:]), []).append((r["t"], r["x"], r["y"], r["p"]))
+    assert got == want
+    opened = spark.sparkContext.accumulator(0)
+    decode = binary.atis40
+
+    def counted(data):
+        opened.add(1)
+        return decode(data)
+
+    monkeypatch.setitem(binary.DECODERS, "atis40", counted)
+    out = spark.read.parquet(datasets.build(spark, "n_mnist", str(tmp_path / "raw"), str(tmp_path), "count", 4))
+    assert out.agg({"n": "sum"}).first()[0] == len(rows) and opened.value == 40

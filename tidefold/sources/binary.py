@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,8 @@ from . import matlab
 from .sinks import write_files
 
 Events = dict[str, np.ndarray]
+#: Events of an Arrow batch, bytes of a batch of encoded files, and Spark's splits of small files (some 32 files each) that one task decodes.
+EVENT_ROWS, FILE_BYTES, TASK_SPLITS = 100_000, 4 << 20, 32
 
 
 def _header_end(data: bytes) -> int:
@@ -132,17 +135,34 @@ def read_events(spark: SparkSession, path: str, kind: str, pattern: str | None =
     decode = DECODERS[kind]
 
     def run(batches):
+        held: list[tuple[str, int, Events]] = []
+        rows = 0
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 e = decode(content.as_py())
-                n = len(e["t"])
-                for a in range(0, n, 100_000):
-                    s = slice(a, min(n, a + 100_000))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name] * (s.stop - a)), pa.array(np.arange(a, s.stop)), pa.array(e["t"][s]), *(pa.array(e[k][s].astype(np.int32)) for k in "xyp")], names=["path", "event_id", "t", "x", "y", "p"]
-                    )
-
-    return _files(spark, path, pattern).mapInArrow(run, "path string, event_id bigint, t bigint, x int, y int, p int")
+                for a in range(0, len(e["t"]), EVENT_ROWS):
+                    held.append((name, a, {k: v[a : a + EVENT_ROWS] for k, v in e.items()}))
+                    rows += len(held[-1][2]["t"])
+                    if rows >= EVENT_ROWS:
+                        yield event_batch(held)
+                        held.clear()
+                        rows = 0
+        if held:
+            yield event_batch(held)
+
+    files = _files(spark, path, pattern)
+    tasks = -(-files.select("path").rdd.getNumPartitions() // TASK_SPLITS)
+    few = files.coalesce(max(tasks, 4 * spark.sparkContext.defaultParallelism))  # never more than there are
+    return few.mapInArrow(run, "path string, event_id bigint, t bigint, x int, y int, p int")
+
+
+def event_batch(parts: list[tuple[str, int, Events]]) -> pa.RecordBatch:
+    """One batch of the events of several files: (path, number of the first event, events)."""
+    lengths = [len(e["t"]) for _, _, e in parts]
+    paths = pa.DictionaryArray.from_arrays(pa.array(np.repeat(np.arange(len(parts), dtype=np.int32), lengths)), pa.array([p for p, _, _ in parts])).dictionary_decode()
+    number = np.concatenate([first + np.arange(n) for (_, first, _), n in zip(parts, lengths, strict=True)])
+    t, x, y, p = (np.concatenate([e[k] for _, _, e in parts]) for k in "txyp")
+    return pa.RecordBatch.from_arrays([paths, pa.array(number), pa.array(t), *(pa.array(v.astype(np.int32)) for v in (x, y, p))], names=["path", "event_id", "t", "x", "y", "p"])
 
 
 def read_frames(spark: SparkSession, path: str, pattern: str = "*.npz") -> DataFrame:
@@ -274,12 +294,44 @@ def encode_events(events: DataFrame, name: str, kind: str) -> DataFrame:
     encode = ENCODERS[kind]
     ship(events.sparkSession)
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        group = group.sort_by([("t", "ascending"), ("event_id", "ascending")])
-        e = {k: group.column(k).to_numpy().astype(np.int64) for k in "txyp"}
-        return pa.table({"name": [key[0].as_py()], "content": pa.array([encode(e)], pa.binary())})
+    def run(batches):
+        name, parts, out, size = None, [], [], 0
 
-    return events.select(F.col(name).alias("name"), "event_id", "t", "x", "y", "p").groupBy("name").applyInArrow(run, "name string, content binary")
+        def done() -> int:
+            """Encodes the file whose events are held."""
+            e = {k: np.concatenate([p[k] for p in parts]) for k in "txyp"}
+            out.append((name, encode(e)))
+            parts.clear()
+            return len(out[-1][1])
+
+        def files() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array([n for n, _ in out], pa.string()), pa.array([c for _, c in out], pa.binary())], names=["name", "content"])
+            out.clear()
+            return made
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = b.column(0)
+            codes = names.dictionary_encode(null_encoding="encode").indices.to_numpy()
+            columns = {k: b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c, k in enumerate("txyp", 1)}
+            borders = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), b.num_rows]
+            for a, e in pairwise(borders):
+                here = names[a].as_py()
+                if parts and here != name:
+                    size += done()
+                    if size >= FILE_BYTES:
+                        yield files()
+                        size = 0
+                name = here
+                parts.append({k: v[a:e] for k, v in columns.items()})
+        if parts:
+            done()
+        if out:
+            yield files()
+
+    rows = events.select(F.col(name).alias("name"), "t", "x", "y", "p", "event_id").repartition("name").sortWithinPartitions("name", "t", "event_id")
+    return rows.select("name", "t", "x", "y", "p").mapInArrow(run, "name string, content binary")
 
 
 def write_npy(stream: DataFrame, folder: str, rows: int = 1 << 20, kind: str = "<u2") -> None:

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import stored
 from ..operators import frames
 from ..operators.metrics import class_weights
 from ..operators.sampling import stratified
@@ -65,7 +66,8 @@ def to_frames(events: DataFrame, rule: str, value: int) -> DataFrame:
 def build(spark: SparkSession, name: str, root: str, out: str, rule: str, value: int, split: str = "all", transform: Hook | None = None, target_transform: Callable[[Column], Column] | None = None) -> str:
     """Writes the frames of a dataset once to a folder named by rule and value, partitioned by split and label; returns the folder."""
     to = f"{out.rstrip('/')}/{name}_{rule}_{value}"
-    write_frames(to_frames(load(spark, name, root, transform, target_transform), rule, value).withColumn("split", F.lit(split)), to)
+    events = stored(load(spark, name, root, transform, target_transform), "events")  # files are opened and decoded once: framing reads the events several times
+    write_frames(to_frames(events, rule, value).withColumn("split", F.lit(split)), to)
     return to
 
 

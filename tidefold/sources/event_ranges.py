@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.scratch import ship
-from .binary import aedat2, aedat3, atis40
+from .binary import EVENT_ROWS, aedat2, aedat3, atis40, event_batch
 from .sinks import opened
 
 SCHEMA = "path string, event_id bigint, t bigint, x int, y int, p int"
@@ -28,8 +28,8 @@ SCHEMA = "path string, event_id bigint, t bigint, x int, y int, p int"
 RECORDS = {"atis40": (5, False), "aedat2": (8, True), "aedat3": (0, True)}
 PACKET_HEADER = 28
 DECODE = {"atis40": atis40, "aedat2": lambda data: aedat2(data, header=False), "aedat3": lambda data: aedat3(data, header=False)}
-#: Bytes of a range and of a task's ranges, and events of an Arrow batch.
-RANGE_BYTES, BATCH = 64 << 20, 100_000
+#: Bytes of a range and of a task's ranges.
+RANGE_BYTES = 64 << 20
 #: Files or ranges of a task at most, and tasks that are planned at least where there are as many ranges.
 TASK_PIECES, LEAST_TASKS = 1000, 16
 
@@ -142,28 +142,20 @@ class _Reader(DataSourceReader):
         system, _ = opened(self.path)
         held: list[tuple[str, int, dict[str, np.ndarray]]] = []
 
-        def batch() -> pa.RecordBatch:
-            lengths = [len(e["t"]) for _, _, e in held]
-            path = np.repeat(np.arange(len(held), dtype=np.int32), lengths)
-            paths = pa.DictionaryArray.from_arrays(pa.array(path), pa.array([p for p, _, _ in held])).dictionary_decode()
-            number = np.concatenate([first + np.arange(n) for (_, first, _), n in zip(held, lengths, strict=True)])
-            t, x, y, p = (np.concatenate([e[k] for _, _, e in held]) for k in "txyp")
-            return pa.RecordBatch.from_arrays([paths, pa.array(number), pa.array(t), *(pa.array(v.astype(np.int32)) for v in (x, y, p))], names=["path", "event_id", "t", "x", "y", "p"])
-
         rows = 0
         for piece in part.ranges:
             with system.open_input_file(piece.path) as f:
                 for r in ranges(f, self.kind, self.size, piece):
                     e = DECODE[self.kind](f.read_at(r.end - r.begin, r.begin))
-                    for a in range(0, len(e["t"]), BATCH):
-                        held.append((r.path, r.first + a, {k: v[a : a + BATCH] for k, v in e.items()}))
+                    for a in range(0, len(e["t"]), EVENT_ROWS):
+                        held.append((r.path, r.first + a, {k: v[a : a + EVENT_ROWS] for k, v in e.items()}))
                         rows += len(held[-1][2]["t"])
-                        if rows >= BATCH:
-                            yield batch()
+                        if rows >= EVENT_ROWS:
+                            yield event_batch(held)
                             held.clear()
                             rows = 0
         if held:
-            yield batch()
+            yield event_batch(held)
 
 
 class EventRanges(DataSource):

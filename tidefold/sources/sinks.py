@@ -20,8 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 
 from ..functions.scratch import qualified, ship
 
-#: Moves that run at once when a job is committed.
-MOVES = 16
+#: Threads that move files when a job is committed, and files that a thread takes at once.
+MOVES, MOVED = 16, 64
 #: Times that a folder is cleared while tasks may still write to it.
 CLEARS = 20
 
@@ -77,13 +77,15 @@ class _Writer(DataSourceArrowWriter):
         for folder in {posixpath.dirname(to) for _, to in moves} | {root}:
             system.create_dir(folder, recursive=True)
 
-        def move(pair: tuple[str, str]) -> None:
-            if system.get_file_info(pair[1]).type != fs.FileType.NotFound:
-                system.delete_file(pair[1])
-            system.move(*pair)
+        def move(some: list[tuple[str, str]]) -> None:
+            for old in system.get_file_info([to for _, to in some]):
+                if old.type != fs.FileType.NotFound:
+                    system.delete_file(old.path)
+            for pair in some:
+                system.move(*pair)
 
         with ThreadPoolExecutor(MOVES) as pool:
-            list(pool.map(move, moves))
+            list(pool.map(move, [moves[a : a + MOVED] for a in range(0, len(moves), MOVED)]))
         self._clear(system, root)
 
     def abort(self, messages: list[Written | None]) -> None:
