@@ -104,6 +104,18 @@ def test_coder_learns_and_blocks_are_checked():
             rangecoder.decode(bytes(bad))
 
 
+def test_coder_knows_what_follows():
+    """Each of 2,000 ids is followed by one of 8: about 3 bits an id, where the coder learned only one follower before."""
+    rng = np.random.default_rng(5)
+    after, now, walks = rng.integers(0, 2000, (2000, 8)), rng.integers(0, 2000, 100), []
+    for _ in range(4000):
+        walks.append(now)
+        now = after[now, rng.integers(0, 8, 100)]
+    ids = np.array(walks, np.uint32).T.ravel()
+    data = rangecoder.encode(ids)
+    assert len(data) * 8 < 5 * len(ids) and (rangecoder.decode(data) == ids).all()
+
+
 def test_token_files(spark, enc, awkward, empty, tmp_path):
     out = tokenfile.token_files(awkward, vocabulary(), 2).collect()
     assert len(out) == awkward.count()
