@@ -45,6 +45,8 @@ ROOM = 64
 _SHARE, _START = MOST_BITS + 1, 2 * MOST_BITS + 1
 _SHARES, _STARTS = (1 << _SHARE) - 1, (1 << MOST_BITS) - 1
 _ESCAPE = np.int32(1 << _START)
+#: What a chance gains, less its share of itself, where order 2 is right or wrong: so much that no weight becomes 0 or all.
+_RIGHT, _WRONG = (1 << CHANCE - SPEED) - 1, 1 << CHANCE - WEIGHT - SPEED
 #: What a confidence gains where order 2 is wrong, and where it is right; a wrong one of 1 or none makes room.
 _SURER = np.array([-1] * (1 << SURE) + [1] * ((1 << SURE) - 1) + [0]).astype(np.uint32)
 
@@ -157,9 +159,10 @@ def _unpacked(raw: bytes, distinct: int) -> tuple[np.ndarray, _Tables]:
 class _Models:
     """What coder and decoder both know at a position; one lane a block."""
 
-    def __init__(self, lanes: int):
+    def __init__(self, lanes: int, distinct: int):
         self.base = np.arange(lanes) << SLOTS2
-        self.seen = np.zeros(lanes << SLOTS2, np.uint32)  # rank << SURE | confidence; 0 is none
+        self.kind = np.uint16 if distinct <= 1 << 16 - SURE else np.uint32
+        self.seen = np.zeros(lanes << SLOTS2, self.kind)  # rank << SURE | confidence; 0 is none
         self.at = np.arange(lanes) << SURE
         self.chance = np.tile((np.array([1, 14, 22, 28, 36, 44, 52, 58]) << CHANCE - WEIGHT).astype(np.int32), lanes)
         self.h1, self.h2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
@@ -169,7 +172,7 @@ class _Models:
         h = self.h1[:n] + self.h2[:n]
         h >>= np.uint32(32 - SLOTS2)
         self.slot = self.base[:n] + h
-        self.entry = self.seen.take(self.slot)
+        self.entry = self.seen.take(self.slot).astype(np.uint32, copy=False)
         self.said = self.entry >> np.uint32(SURE)
         self.sure = self.entry & np.uint32((1 << SURE) - 1)
         self.row = self.at[:n] + self.sure
@@ -178,18 +181,17 @@ class _Models:
 
     def learn(self, hit: np.ndarray, rank: np.ndarray) -> None:
         n, right = len(rank), hit.astype(np.int32)
-        aim = right * np.int32((1 << CHANCE) - (1 << CHANCE - WEIGHT) - 1)
-        aim += np.int32(1 << CHANCE - WEIGHT)  # no weight becomes 0 or all
-        aim -= self.now
-        aim >>= np.int32(SPEED)
+        aim = right * np.int32(_RIGHT - _WRONG)
+        aim += np.int32(_WRONG)
         aim += self.now
+        aim -= self.now >> np.int32(SPEED)
         self.chance[self.row] = aim
         right <<= np.int32(SURE)
         right += self.sure.view(np.int32)
         new = rank << np.uint32(SURE)
         new += np.uint32(1)
         self.entry += _SURER.take(right)
-        self.seen[self.slot] = np.where(right > 1, self.entry, new)
+        self.seen[self.slot] = np.where(right > 1, self.entry, new).astype(self.kind, copy=False)
         np.multiply(self.h1[:n], np.uint32(3266489917), out=self.h2[:n])
         np.multiply(rank, np.uint32(2654435761), out=self.h1[:n])
 
@@ -227,7 +229,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
 
 def _encode(ranks: np.ndarray, lanes: int, block: int, tables: _Tables, at: np.ndarray, coded: np.ndarray) -> list[bytes]:
     """The words of each block; all blocks but the last are full."""
-    m = _Models(lanes)
+    m = _Models(lanes, len(tables.context))
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, _ALL)
     out = np.zeros((lanes, block // 4 + 3 * ROOM), np.int64)
     flat = out.ravel()
@@ -275,14 +277,16 @@ def _encode(ranks: np.ndarray, lanes: int, block: int, tables: _Tables, at: np.n
         start &= _STARTS
         start *= rest
         start += two
-        start *= ~hit
+        rest *= e & _SHARES
+        right = hit.nonzero()[0]
+        start[right] = 0
+        rest[right] = two.take(right)
         start *= r
         low[:n] += start.view(np.uint64)
-        rest *= e & _SHARES
-        r *= np.where(hit, two, rest)
+        r *= rest
         width[:n] = r
-        settle(np.flatnonzero(r < _LEAST))
-        esc = np.flatnonzero((e >= _ESCAPE) > hit)
+        settle((r < _LEAST).nonzero()[0])
+        esc = ((e >= _ESCAPE) > hit).nonzero()[0]
         if len(esc):
             own = rank.take(esc)
             r = width.take(esc) // all_ids
@@ -346,7 +350,7 @@ def _quotient(code: np.ndarray, r: np.ndarray) -> np.ndarray:
 def _decode(words: np.ndarray, lengths: np.ndarray, tables: _Tables) -> np.ndarray:
     """The ranks of blocks from their words."""
     lanes, block = len(words), int(lengths[0])
-    m = _Models(lanes)
+    m = _Models(lanes, len(tables.context))
     width = np.full(lanes, _ALL)
     code = words[:, 0].astype(np.int64) << 31 | words[:, 1] >> 1  # less low, so under width
     words = words[:, 1:-1] << 31 | words[:, 2:] >> 1  # the window is a bit short of two words
@@ -389,17 +393,19 @@ def _decode(words: np.ndarray, lengths: np.ndarray, tables: _Tables) -> np.ndarr
         start &= _STARTS
         start *= rest
         start += two
-        start *= ~hit
+        rest *= e & _SHARES
+        right = hit.nonzero()[0]
+        start[right] = 0
+        rest[right] = two.take(right)
         start *= r
         code[:n] -= start
-        rest *= e & _SHARES
-        r *= np.where(hit, two, rest)
+        r *= rest
         width[:n] = r
-        settle(np.flatnonzero(r < _LEAST))
-        e >>= _START
-        e -= 1
-        rank = np.where(hit, m.said, e)
-        esc = np.flatnonzero(rank < 0)
+        settle((r < _LEAST).nonzero()[0])
+        rank = e >> _START
+        rank -= 1
+        rank[right] = m.said.take(right)
+        esc = (rank < 0).nonzero()[0]
         if len(esc):
             left = code.take(esc)
             r = width.take(esc) // all_ids
